@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from inkwell.llm.bpe import op2_bpe
+from inkwell.llm.simhash import op4_simhash
 
-QUERIES = {"op2_bpe": op2_bpe}
+QUERIES = {"op2_bpe": op2_bpe, "op4_simhash": op4_simhash}
 ORACLES: dict[str, str] = {}
