@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding with DuckDB inside Spark tasks.
 
 Every task cuts its documents into words with the tokenizer's pattern, keeps the distinct words it has not met yet,
-and hands them to one recursive DuckDB query: rows (word, position, token, rank of the pair that starts here) join
-the merge table, and each turn contracts the leftmost pair of least rank of every word until no pair is left.
+and hands them to one recursive DuckDB query: rows (spot = word and position, token, rank of the pair that starts here)
+join the merge table, and each turn contracts the leftmost pair of least rank of every word until no pair is left.
 Decoding unnests the ids with their positions, joins the vocabulary, and concatenates by an ordered aggregation.
 There is no shuffle; memory is bounded by the word cache and by the size of the groups handed to DuckDB.
 
@@ -17,6 +17,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -28,32 +29,36 @@ from pyspark.sql import types as T
 from inkwell.llm.common import fresh_name, slices, with_fields
 
 LONG_WORD = 256
-CACHE = 300_000
-GROUP_BYTES = 6_000_000
+MARK = "\ue000"
+CACHE = 250_000
+GROUP_BYTES = 4_000_000
 DECODE_TOKENS = 600_000
-SQUARES = 12_000_000
+SQUARES = 6_000_000
 
 MERGE_SQL = """
 WITH RECURSIVE s AS (
-  SELECT w, pos, tok, rank, true AS live FROM start
+  SELECT spot, tok, rank, true AS live FROM start
   UNION ALL
-  SELECT n.w, n.pos, n.tok, m.rank, n.mpos IS NOT NULL
+  SELECT n.spot, n.tok, m.rank, n.hit IS NOT NULL
   FROM (
-    SELECT w, pos, mpos, CASE WHEN pos = mpos THEN mrank ELSE tok END AS tok,
-      CASE WHEN pos = mpos THEN next2 WHEN npos = mpos THEN mrank ELSE next1 END AS nxt
+    SELECT spot, hit, CASE WHEN spot = hit THEN merged ELSE tok END AS tok,
+      CASE WHEN spot = hit THEN next2 WHEN spot1 = hit THEN merged ELSE next1 END AS nxt
     FROM (
-      SELECT w, pos, tok, ppos, npos, next1, next2, best & 65535 AS mpos, (best >> 16)::INTEGER AS mrank
+      SELECT r.spot, tok, spot0, spot1, CASE WHEN spot1 >> 16 = r.spot >> 16 THEN next1 END AS next1,
+        CASE WHEN spot2 >> 16 = r.spot >> 16 THEN next2 END AS next2,
+        (w << 16) | (best & 65535) AS hit, (best >> 16)::INTEGER AS merged
       FROM (
-        SELECT w, pos, tok, lag(pos) OVER o AS ppos, lead(pos) OVER o AS npos, lead(tok) OVER o AS next1,
-          lead(tok, 2) OVER o AS next2,
-          min((rank::BIGINT << 16) | pos) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS best
-        FROM s WHERE live WINDOW o AS (PARTITION BY w ORDER BY pos)
-      )
+        SELECT spot, tok, lag(spot) OVER o AS spot0, lead(spot) OVER o AS spot1, lead(spot, 2) OVER o AS spot2,
+          lead(tok) OVER o AS next1, lead(tok, 2) OVER o AS next2
+        FROM s WHERE live WINDOW o AS (ORDER BY spot)
+      ) r LEFT JOIN (
+        SELECT spot >> 16 AS w, min((rank::BIGINT << 16) | (spot & 65535)) AS best FROM s WHERE live GROUP BY 1
+      ) b ON b.w = r.spot >> 16
     )
-    WHERE ppos IS DISTINCT FROM mpos OR mpos IS NULL
+    WHERE spot0 IS DISTINCT FROM hit OR hit IS NULL
   ) n LEFT JOIN merges m ON m.pair = ((n.tok::BIGINT << 32) | n.nxt)
 )
-SELECT w, pos, tok FROM s WHERE NOT live ORDER BY w, pos
+SELECT spot >> 16 AS w, tok FROM s WHERE NOT live ORDER BY spot
 """
 DECODE_SQL = """
 SELECT doc, count(*) AS n, unhex(string_agg(hex(v.piece), '' ORDER BY pos)) AS whole
@@ -86,7 +91,7 @@ class Kept(dict):
         if len(self) > self.most:
             self.old = dict(self)
             self.clear()
-        return {k for k in keys if k not in self and k not in self.old}
+        return keys.difference(self.keys()).difference(self.old.keys())
 
 
 class Codec:
@@ -116,7 +121,8 @@ class Codec:
         self.con = duckdb.connect(config={"threads": "1", "memory_limit": "300MB"})
         self._table("merges", {"pair": pa.array(pair, pa.int64()), "rank": pa.array(rank, pa.int32())})
         self._table("vocab", {"id": pa.array(list(ranks.values()), pa.int32()), "piece": pa.array(list(ranks), pa.binary())})
-        self.words, self.chunks, self.bytes = Kept(CACHE), Kept(CACHE), Kept(CACHE)
+        self.words, self.chunks, self.bytes = Kept(CACHE), Kept(CACHE // 4), Kept(CACHE // 2)
+        self.odd_space = re.compile(r" (?=\s|$)").search
 
     def _table(self, name: str, columns: dict) -> None:
         self.con.register("given", pa.table(columns))
@@ -134,11 +140,10 @@ class Codec:
         length = np.array([len(b) for b in words])
         start = np.cumsum(length) - length
         raw = np.frombuffer(b"".join(words), np.uint8)
-        w = np.repeat(np.arange(len(words), dtype=np.int32), length)
-        pos = (np.arange(len(raw)) - np.repeat(start, length)).astype(np.int64)
+        spot = np.repeat((np.arange(len(words)) << 16) - start, length) + np.arange(len(raw))
         rank = np.r_[self.first[raw[:-1].astype(np.int32) << 8 | raw[1:]], -1]
         rank[start[1:] - 1] = -1
-        out = self._query("start", {"w": w, "pos": pos, "tok": self.byte[raw], "rank": pa.array(rank, mask=rank < 0)}, MERGE_SQL)
+        out = self._query("start", {"spot": spot, "tok": self.byte[raw], "rank": pa.array(rank, mask=rank < 0)}, MERGE_SQL)
         w, ids = out["w"].to_numpy(), out["tok"].to_numpy().astype(np.int32).tobytes()
         cuts = [0, *((np.flatnonzero(np.diff(w)) + 1) * 4).tolist(), len(ids)]
         return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
@@ -186,9 +191,9 @@ class Codec:
 
     def pieces(self, text: str) -> list[str]:
         """The text cut before spaces that start a word: no match of the pattern crosses such a cut."""
+        if MARK not in text and not self.odd_space(text):
+            return text.replace(" ", MARK + " ").split(MARK)
         first, *rest = text.split(" ")
-        if all(rest) and not any(c[0].isspace() for c in set(rest)):
-            return [first, *[" " + c for c in rest]]
         out = [first]
         for c in rest:
             if c and not c[0].isspace():
@@ -199,8 +204,8 @@ class Codec:
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         cut = [self.pieces(t) if t else [] for t in texts]
-        split = {c: self.pattern.findall(c) for c in self.chunks.unknown({c for x in cut for c in x})}
-        self.learn_words(self.words.unknown({w for x in split.values() for w in x}))
+        split = {c: self.pattern.findall(c) for c in self.chunks.unknown(set().union(*cut))}
+        self.learn_words(self.words.unknown(set().union(*split.values())))
         look = self.words.__getitem__
         self.chunks.update((c, b"".join(map(look, x))) for c, x in split.items())
         look = self.chunks.__getitem__
@@ -212,7 +217,7 @@ class Codec:
         for x in ids:
             raw, at = x.astype(np.int32).tobytes(), (np.flatnonzero(self.spaced[x]) * 4).tolist()
             cut.append([raw[a:b] for a, b in zip([0, *at], [*at, len(raw)], strict=True) if a < b])
-        new = sorted(self.bytes.unknown({c for x in cut for c in x}))
+        new = sorted(self.bytes.unknown(set().union(*cut)))
         at = 0
         while at < len(new):
             end, n = at, 0
