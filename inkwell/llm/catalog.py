@@ -5,7 +5,8 @@ from __future__ import annotations
 from inkwell.llm.bpe import op2_bpe
 from inkwell.llm.langid import op3_langid
 from inkwell.llm.media import op1_media
+from inkwell.llm.mixing import OP10_SQL, op10_mixing
 from inkwell.llm.simhash import op4_simhash
 
-QUERIES = {"op1_media": op1_media, "op2_bpe": op2_bpe, "op3_langid": op3_langid, "op4_simhash": op4_simhash}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op1_media": op1_media, "op2_bpe": op2_bpe, "op3_langid": op3_langid, "op4_simhash": op4_simhash, "op10_mixing": op10_mixing}
+ORACLES: dict[str, str] = {"op10_mixing": OP10_SQL}
