@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from inkwell.llm.ann import op8_ann
 from inkwell.llm.bpe import op2_bpe
 from inkwell.llm.langid import op3_langid
 from inkwell.llm.media import op1_media
@@ -10,5 +11,5 @@ from inkwell.llm.simhash import op4_simhash
 from inkwell.llm.urlfilter import op5_urlfilter
 from inkwell.llm.warc import OP7_SQL, op7_warc
 
-QUERIES = {"op1_media": op1_media, "op2_bpe": op2_bpe, "op3_langid": op3_langid, "op4_simhash": op4_simhash, "op5_urlfilter": op5_urlfilter, "op7_warc": op7_warc, "op10_mixing": op10_mixing}
+QUERIES = {"op1_media": op1_media, "op2_bpe": op2_bpe, "op3_langid": op3_langid, "op4_simhash": op4_simhash, "op5_urlfilter": op5_urlfilter, "op7_warc": op7_warc, "op8_ann": op8_ann, "op10_mixing": op10_mixing}
 ORACLES: dict[str, str] = {"op7_warc": OP7_SQL, "op10_mixing": OP10_SQL}
