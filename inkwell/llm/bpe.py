@@ -17,7 +17,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -29,10 +28,9 @@ from pyspark.sql import types as T
 from inkwell.llm.common import fresh_name, slices, with_fields
 
 LONG_WORD = 256
-MARK = "\ue000"
-CACHE = 250_000
+CACHE = 400_000
 GROUP_BYTES = 4_000_000
-DECODE_TOKENS = 600_000
+DECODE_TOKENS = 400_000
 SQUARES = 6_000_000
 
 MERGE_SQL = """
@@ -61,7 +59,7 @@ WITH RECURSIVE s AS (
 SELECT spot >> 16 AS w, tok FROM s WHERE NOT live ORDER BY spot
 """
 DECODE_SQL = """
-SELECT doc, count(*) AS n, unhex(string_agg(hex(v.piece), '' ORDER BY pos)) AS whole
+SELECT doc, list(v.piece ORDER BY spot) AS pieces
 FROM flat JOIN vocab v ON v.id = flat.id GROUP BY doc ORDER BY doc
 """
 
@@ -95,7 +93,7 @@ class Kept(dict):
 
 
 class Codec:
-    """One worker's DuckDB connection with the merge and vocabulary tables, and its caches of ids and bytes."""
+    """One worker's DuckDB connection with the merge and vocabulary tables, and its cache of encoded words."""
 
     def __init__(self, content: bytes, pattern: str):
         import duckdb
@@ -115,14 +113,11 @@ class Codec:
         for b, r in ranks.items():
             if len(b) == 2:
                 self.first[b[0] << 8 | b[1]] = r
-        size = max(ranks.values()) + 1
-        self.spaced, self.text = np.zeros(size, bool), [str(i) for i in range(size)]
-        self.spaced[[r for b, r in ranks.items() if b[:1] == b" "]] = True
+        self.text = [str(i) for i in range(max(ranks.values()) + 1)]
         self.con = duckdb.connect(config={"threads": "1", "memory_limit": "300MB"})
         self._table("merges", {"pair": pa.array(pair, pa.int64()), "rank": pa.array(rank, pa.int32())})
         self._table("vocab", {"id": pa.array(list(ranks.values()), pa.int32()), "piece": pa.array(list(ranks), pa.binary())})
-        self.words, self.chunks, self.bytes = Kept(CACHE), Kept(CACHE // 4), Kept(CACHE // 2)
-        self.odd_space = re.compile(r" (?=\s|$)").search
+        self.words = Kept(CACHE)
 
     def _table(self, name: str, columns: dict) -> None:
         self.con.register("given", pa.table(columns))
@@ -189,54 +184,38 @@ class Codec:
                 known[w] = ids
             at = end
 
-    def pieces(self, text: str) -> list[str]:
-        """The text cut before spaces that start a word: no match of the pattern crosses such a cut."""
-        if MARK not in text and not self.odd_space(text):
-            return text.replace(" ", MARK + " ").split(MARK)
-        first, *rest = text.split(" ")
-        out = [first]
-        for c in rest:
-            if c and not c[0].isspace():
-                out.append(" " + c)
-            else:
-                out[-1] += " " + c
-        return out
-
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        cut = [self.pieces(t) if t else [] for t in texts]
-        split = {c: self.pattern.findall(c) for c in self.chunks.unknown(set().union(*cut))}
-        self.learn_words(self.words.unknown(set().union(*split.values())))
+        cut = [self.pattern.findall(t) if t else [] for t in texts]
+        self.learn_words(self.words.unknown(set().union(*cut)))
         look = self.words.__getitem__
-        self.chunks.update((c, b"".join(map(look, x))) for c, x in split.items())
-        look = self.chunks.__getitem__
         return [np.frombuffer(b"".join(map(look, x)), np.int32) for x in cut]
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
-        """Ids are cut before tokens that start with a space; each distinct run of ids is decoded by SQL once."""
-        cut = []
-        for x in ids:
-            raw, at = x.astype(np.int32).tobytes(), (np.flatnonzero(self.spaced[x]) * 4).tolist()
-            cut.append([raw[a:b] for a, b in zip([0, *at], [*at, len(raw)], strict=True) if a < b])
-        new = sorted(self.bytes.unknown(set().union(*cut)))
-        at = 0
-        while at < len(new):
-            end, n = at, 0
-            while end < len(new) and (end == at or n + len(new[end]) <= 4 * DECODE_TOKENS):
-                n += len(new[end])
+        """The bytes of each document, DECODE_TOKENS ids (or one document) to a query."""
+        out: list[bytes] = []
+        while len(out) < len(ids):
+            at, end, n = len(out), len(out), 0
+            while end < len(ids) and (end == at or n + len(ids[end]) <= DECODE_TOKENS):
+                n += len(ids[end])
                 end += 1
-            self.bytes.update(zip(new[at:end], self.decode_by_sql(new[at:end]), strict=True))
-            at = end
-        look = self.bytes.__getitem__
-        return [b"".join(map(look, x)) for x in cut]
+            out += self.decode_by_sql(ids[at:end])
+        return out
 
-    def decode_by_sql(self, runs: list[bytes]) -> Iterator[bytes]:
-        length = np.array([len(x) // 4 for x in runs], np.int64)
-        start = np.cumsum(length) - length
-        flat = np.frombuffer(b"".join(runs), np.int32)
-        got = self._query("flat", {"doc": np.repeat(np.arange(len(runs), dtype=np.int32), length), "pos": (np.arange(len(flat)) - np.repeat(start, length)).astype(np.int32), "id": flat}, DECODE_SQL)
-        if sum(got["n"].to_pylist()) != len(flat):
+    def decode_by_sql(self, ids: list[np.ndarray]) -> list[bytes]:
+        length = np.array([len(x) for x in ids], np.int64)
+        flat = np.concatenate(ids)
+        if not len(flat):
+            return [b""] * len(ids)
+        got = self._query("flat", {"doc": np.repeat(np.arange(len(ids), dtype=np.int32), length), "spot": np.arange(len(flat)), "id": flat}, DECODE_SQL)
+        pieces = got["pieces"].combine_chunks()
+        whole, cuts = pieces.values.cast(pa.large_binary()), pieces.offsets.to_numpy()
+        ends = np.frombuffer(whole.buffers()[1], np.int64)
+        if len(whole) != len(flat):
             raise ValueError("ids that are not in the vocabulary")
-        return iter(got["whole"].to_pylist())
+        data, out = whole.buffers()[2], [b""] * len(ids)
+        for doc, a, b in zip(got["doc"].to_pylist(), ends[cuts[:-1]].tolist(), ends[cuts[1:]].tolist(), strict=True):
+            out[doc] = data[a:b].to_pybytes()
+        return out
 
 
 @lru_cache(maxsize=2)
