@@ -139,53 +139,57 @@ def catalogue(stored: DataFrame) -> DataFrame:
     return stored.groupBy("digest").agg(place).select("digest", "place.*")
 
 
-def _read(rows: DataFrame, folder: str, look, schema: str) -> DataFrame:  # noqa: ANN001
-    """Calls look(file, offset, length) for each place; neighbours in a shard are read by the same task, in order."""
+PLACE = "digest string, shard string, offset long, length long"
+
+
+def _read(places: DataFrame, folder: str, look, schema: str) -> DataFrame:  # noqa: ANN001
+    """The places with what look(file, offset, length) returns; a task reads neighbours in a shard, in their order."""
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         root, name, file = None, None, None
         for batch in batches:
             out = []
-            for digest, shard, offset, length in zip(*[batch.column(c).to_pylist() for c in ("digest", "shard", "offset", "length")], strict=True):
+            for shard, offset, length in zip(*[batch.column(c).to_pylist() for c in ("shard", "offset", "length")], strict=True):
                 if shard != name:
                     root = root or file_system(folder)
                     name, file = shard, root[0].open_input_file(f"{root[1]}/{shard}")
-                out.append((digest, *look(file, offset, length)))
+                out.append(look(file, offset, length))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], names)
+                yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, zip(*out, strict=True))], [*batch.schema.names, *names])
 
-    names = [x.split()[0] for x in schema.split(", ")]
-    return rows.repartitionByRange("shard", "offset").sortWithinPartitions("shard", "offset").mapInArrow(run, schema)
+    rows = places.select("digest", "shard", "offset", "length")
+    return rows.repartitionByRange("shard", "offset").sortWithinPartitions("shard", "offset").mapInArrow(run, f"{PLACE}, {schema}")
 
 
 def headers(places: DataFrame, folder: str) -> DataFrame:
-    """Metadata columns by range reads of the headers alone: (digest, width, height, bits)."""
-    return _read(places, folder, lambda f, offset, _: png_header(f.read_at(HEADER, offset)), "digest string, width long, height long, bits long")
+    """The places with metadata columns, by range reads of the headers alone."""
+    return _read(places, folder, lambda f, offset, _: png_header(f.read_at(HEADER, offset)), "width long, height long, bits long")
 
 
 def features(places: DataFrame, folder: str) -> DataFrame:
-    """What needs the samples, from the stored bytes: payload size and digests, and a feature string.
+    """The places with metadata columns from the header, and with what needs the samples, from the stored bytes.
 
     The feature is the image's size, the mean of its samples, and the share of each 32-wide range of values in permille.
     """
 
     def look(file, offset: int, length: int) -> tuple:  # noqa: ANN001
+        width, height, bits = png_header(file.read_at(HEADER, offset))
         media = file.read_at(length, offset)
         payload = from_png(media)
         samples = np.frombuffer(payload, np.uint8)
         shares = np.bincount(samples >> 5, minlength=8) * 1000 // len(samples)
-        feature = f"{WIDTH}x{len(samples) // WIDTH};mean={int(samples.sum(dtype=np.int64)) // len(samples)};" + ",".join(map(str, shares.tolist()))
-        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(media), hashlib.sha256(media).hexdigest(), feature
+        feature = f"{width}x{height};mean={int(samples.sum(dtype=np.int64)) // len(samples)};" + ",".join(map(str, shares.tolist()))
+        return width, height, bits, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(media), hashlib.sha256(media).hexdigest(), feature
 
-    return _read(places, folder, look, "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return _read(places, folder, look, "width long, height long, bits long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Stores every payload, then reads headers and payloads back: one row per row of docs with all columns."""
     folder = new_path(docs.sparkSession, "media")
     stored = written(store(docs, folder, id_col, text_col), "media-rows")
-    places = written(catalogue(stored), "media-catalogue")
-    read = features(places, folder).join(headers(places, folder), "digest").join(places, "digest")
+    read = features(catalogue(stored), folder)
     return stored.select("doc_id", "n_bytes", "digest").join(read, "digest")
 
 
