@@ -8,7 +8,8 @@ summed up within the source until the fraction is full; the document on the edge
 A source may hold most rows, so the sums are found in two steps: sizes are added up by (source, key bucket), running
 sums over a source's buckets give each bucket its start, and only inside a bucket documents are ordered and summed.
 Buckets cut the keys at quantiles of the law that the source's weights give them (a mixture of exponential laws, from a
-count of weights by tenths), so they come out about equal, `bucket_rows` documents to a bucket on average.
+count of weights by tenths), so they come out about equal. A source of n documents has the square root of n buckets
+unless `buckets` says otherwise, so neither the documents of a bucket nor the buckets of a source become many.
 
 Defined results: null texts have size 0; a null source is a source of its own, last in order; a source without words
 has target 0; repeated rows count each on its own, equal keys are ordered by id; with no rows there is no mix; a null
@@ -25,7 +26,6 @@ from inkwell.llm.common import WORDS, written
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST_EPOCHS = 2
-BUCKET_ROWS = 20_000
 SEED = "mix"
 
 
@@ -54,7 +54,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return leveled.select(*sizes.columns, target.alias("target"))
 
 
-def mix(docs: DataFrame, size: Column, weight: Column, id_col: str = "doc_id", source_col: str = "source", bucket_rows: int = BUCKET_ROWS, seed: str = SEED) -> DataFrame:
+def mix(docs: DataFrame, size: Column, weight: Column, id_col: str = "doc_id", source_col: str = "source", buckets: int | None = None, seed: str = SEED) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken) of every row; taken counts words, repeats included."""
     # the hash gives 48 bits, so the uniform variate is exact in a double and never 0 or 1
     bits = F.conv(F.substring(F.md5(F.concat_ws("/", F.lit(seed), F.col(id_col).cast("string"))), 1, 12), 16, 10).cast("long")
@@ -65,7 +65,7 @@ def mix(docs: DataFrame, size: Column, weight: Column, id_col: str = "doc_id", s
     tenths = F.array(*[F.count_if(tenth == i) for i in range(1, 11)])
     aims = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"), tenths.alias("tenths")))
     below = sum(F.col("tenths")[i] * (1 - F.exp(-F.col("key") * (i + 1) / 10)) for i in range(10)) / F.col("n")
-    aimed = sized.join(aims, sized["source"].eqNullSafe(aims["source"])).drop(aims["source"]).withColumn("bucket", F.floor(F.ceil(F.col("n") / bucket_rows) * below))
+    aimed = sized.join(aims, sized["source"].eqNullSafe(aims["source"])).drop(aims["source"]).withColumn("bucket", F.floor((F.ceil(F.sqrt("n")) if buckets is None else F.lit(buckets)) * below))
     per = aimed.groupBy("source", "bucket").agg(F.sum("size").alias("inside"))
     start = per.withColumn("start", F.coalesce(F.sum("inside").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select(F.col("source").alias("of"), F.col("bucket").alias("number"), "start")
     placed = aimed.join(start, aimed["source"].eqNullSafe(start["of"]) & (aimed["bucket"] == start["number"]))

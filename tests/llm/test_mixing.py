@@ -44,7 +44,7 @@ def test_targets_and_taken(spark):
         assert abs(sum(r.taken for r in own) - want[s]) <= 1
         epochs = int(own[0].target // max(1, sizes[s]))
         assert all(min(epochs, 2) * r.size <= r.taken <= 2 * r.size for r in own)
-    for more in ({"bucket_rows": 7}, {}):  # buckets and partitions change nothing
+    for more in ({"buckets": 1}, {"buckets": 90}, {}):  # buckets and partitions change nothing
         assert sorted(mixed(frame(spark, rows).repartition(7), **more).collect(), key=str) == sorted(first, key=str)
 
 
