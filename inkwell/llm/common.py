@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -62,6 +62,30 @@ def slices(batch: pa.RecordBatch, text_col: str, size: int) -> Iterator[pa.Recor
     yield batch.slice(at)
 
 
+def judged(docs: DataFrame, judge: Callable[[list], Iterable[tuple]], fields: list[tuple[str, T.DataType]], id_col: str, text_col: str, keep: bool, size: int = 4_000_000) -> DataFrame:
+    """(doc_id, the judge's fields) of every row, and with `keep` all given columns in a struct `kept`, safe from clashes.
+
+    The judge is given the texts of a part of a batch and returns a tuple of values for each.
+    """
+    rest = [F.struct(*[F.col(c) for c in docs.columns if c != text_col]).alias("rest")] if keep else []
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *rest)
+    names = [n for n, _ in fields]
+    passed = ["text", "rest"] if keep else []
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", size):
+                values = list(zip(*judge(part.column("text").to_pylist()), strict=True))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *map(pa.array, values), *[part.column(c) for c in passed]], ["doc_id", *names, *passed])
+
+    schema = T.StructType([slim.schema["doc_id"], *[T.StructField(n, t) for n, t in fields], *[slim.schema[c] for c in passed]])
+    out = slim.mapInArrow(run, schema)
+    if not keep:
+        return out
+    whole = F.struct(*[F.col("text").alias(c) if c == text_col else F.col("rest")[c].alias(c) for c in docs.columns])
+    return out.select("doc_id", *names, whole.alias("kept"))
+
+
 def remainder(id_col: str, by: int) -> Column:
     """crc32 of the id as text, modulo `by`; null ids count as the empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % by

@@ -17,14 +17,14 @@ row is `und`; equal sizes go to the language that comes first by code point; rep
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 from functools import lru_cache
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from inkwell.llm.common import remainder, slices
+from inkwell.llm.common import judged, remainder
 
 UNDECIDED = "und"
 #: Bounds of the sample that the dictionaries are made of.
@@ -117,22 +117,14 @@ def coder(dictionaries: tuple[tuple[str, bytes], ...]) -> Coder:
     return Coder(dictionaries)
 
 
-def identify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", margin: float = MARGIN, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, lang_pred, score, rejected, and the columns to keep) of every row."""
+def identify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", margin: float = MARGIN, keep: bool = False) -> DataFrame:
+    """(doc_id, lang_pred, score, rejected) of every row, and with `keep` its columns in a struct `kept`."""
     model = docs.sparkSession.sparkContext.broadcast(tuple(sorted(dictionaries.items())))
-    kept = docs.select(id_col, text_col, *keep)
-    again = [k for k in keep if k not in (id_col, text_col)]
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kit = coder(model.value)
-        for batch in batches:
-            for part in slices(batch, text_col, 4_000_000):
-                got = [kit.predict(t, margin) for t in part.column(text_col).to_pylist()]
-                lang, score, rejected = zip(*got, strict=True)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang), pa.array(score, pa.float64()), pa.array(rejected), *[part.column(k) for k in again]], ["doc_id", "lang_pred", "score", "rejected", *again])
-
-    more = "".join(f", `{k}` {kept.schema[k].dataType.simpleString()}" for k in again)
-    return kept.select(id_col, text_col, *again).mapInArrow(run, f"doc_id {kept.schema[id_col].dataType.simpleString()}, lang_pred string, score double, rejected boolean{more}")
+
+    def judge(texts: list) -> list[tuple]:
+        return [coder(model.value).predict(t, margin) for t in texts]
+
+    return judged(docs, judge, [("lang_pred", T.StringType()), ("score", T.DoubleType()), ("rejected", T.BooleanType())], id_col, text_col, keep)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -17,14 +17,13 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from inkwell.llm.common import remainder, slices
+from inkwell.llm.common import judged, remainder
 from inkwell.llm.toxicity import labelled_sample
 
 SAMPLE_ROWS = 1_500
@@ -124,19 +123,15 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, label_col: str = "
     return train([t for t, _ in sample], [y for _, y in sample])
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score) of every row."""
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
+    """(doc_id, score) of every row, and with `keep` its columns in a struct `kept`."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = docs.select(id_col, text_col)
+    known: dict[str, float] = {}
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, float] = {}
-        for batch in batches:
-            for part in slices(batch, text_col, 4_000_000):
-                scores = [shared.value.score(t, known) for t in part.column(text_col).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(id_col), pa.array(scores, pa.float64())], ["doc_id", "score"])
+    def judge(texts: list) -> list[tuple]:
+        return [(shared.value.score(t, known),) for t in texts]
 
-    return kept.mapInArrow(run, f"doc_id {kept.schema[id_col].dataType.simpleString()}, score double")
+    return judged(docs, judge, [("score", T.DoubleType())], id_col, text_col, keep)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

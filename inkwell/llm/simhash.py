@@ -68,16 +68,16 @@ def fingerprint(text: bytes) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp long) of every row."""
+    """(doc_id, print: a hash of the text as it is, fp long) of every row."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text_col, 4_000_000):
-                fps = [fingerprint(x.as_buffer().to_pybytes() if x.is_valid else b"") for x in part.column(text_col)]
-                yield pa.RecordBatch.from_arrays([part.column(id_col), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "fp"])
+            for part in slices(batch, "text", 4_000_000):
+                fps = [fingerprint(x.as_buffer().to_pybytes() if x.is_valid else b"") for x in part.column("text")]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("print"), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "print", "fp"])
 
-    kept = docs.select(id_col, text_col)
-    return kept.mapInArrow(run, f"doc_id {kept.schema[id_col].dataType.simpleString()}, fp bigint")
+    kept = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("print"), F.col(text_col).alias("text"))
+    return kept.mapInArrow(run, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, print bigint, fp bigint")
 
 
 def _bits(fp: Column, places: Iterable[int], width: int) -> Column:
@@ -248,15 +248,31 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", list_limit: int = LIST_LIMIT) -> DataFrame:
-    """(doc_id, fp long, component_id) of every row."""
+    """(doc_id, print, fp, root, component_id) of every row; root numbers the component."""
     signed = written(fingerprints(docs, id_col, text_col), "fingerprints")
     fps = written(signed.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     edges = written(links(fps.select("fp"), list_limit).mapInArrow(local_forest, "a bigint, b bigint"), "links")
     roots = components(edges)
     tree = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     smallest = tree.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = tree.join(smallest, "root").select("fp", "component_id")
-    return signed.join(known, "fp").select("doc_id", "fp", "component_id")
+    known = tree.join(smallest, "root").select("fp", "root", "component_id")
+    return signed.join(known, "fp").select("doc_id", "print", "fp", "root", "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The given rows without near-duplicates: of each component the row of the smallest id stays.
+
+    Choices are made on (doc_id, print) alone, by an aggregation that survives a component with most rows; null ids
+    come last, equal ids are ordered by the text's hash, and of wholly equal rows one stays.
+    """
+    found = written(near_duplicates(docs, id_col, text_col), "components")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "print")).alias("first")
+    chosen = found.groupBy("root").agg(first).select(F.col("first.doc_id").alias("chosen"), F.col("first.print").alias("mark"))
+    many = found.groupBy("doc_id", "print").count().where("count > 1")
+    repeated = chosen.join(many, chosen["chosen"].eqNullSafe(many["doc_id"]) & (chosen["mark"] == many["print"]), "left_semi")
+    same = F.col(id_col).eqNullSafe(F.col("chosen")) & (F.xxhash64(text_col) == F.col("mark"))
+    kept = docs.join(chosen, same, "left_semi")
+    return kept.join(repeated, same, "left_anti").unionByName(kept.join(repeated, same, "left_semi").dropDuplicates([id_col, text_col]))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

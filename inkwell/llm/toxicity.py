@@ -19,14 +19,13 @@ from __future__ import annotations
 import random
 import re
 import zlib
-from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from inkwell.llm.common import remainder, slices
+from inkwell.llm.common import judged, remainder
 
 SAMPLE_ROWS = 2_500
 BUCKETS = 1 << 20
@@ -172,22 +171,15 @@ def score_text(text: str | None, weights: dict[int, float], bias: float, known:
     return float(1 / (1 + np.exp(-max(-50.0, min(50.0, z)))))
 
 
-def score(docs: DataFrame, model: tuple[dict[int, float], float], id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, score, and the columns to keep) of every row."""
+def score(docs: DataFrame, model: tuple[dict[int, float], float], id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
+    """(doc_id, score) of every row, and with `keep` its columns in a struct `kept`."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    again = [k for k in keep if k not in (id_col, text_col)]
-    kept = docs.select(id_col, text_col, *again)
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, bias = shared.value
-        known: dict[str, float] = {}
-        for batch in batches:
-            for part in slices(batch, text_col, 4_000_000):
-                scores = [score_text(t, weights, bias, known) for t in part.column(text_col).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(id_col), pa.array(scores, pa.float64()), *[part.column(k) for k in again]], ["doc_id", "score", *again])
-
-    more = "".join(f", `{k}` {kept.schema[k].dataType.simpleString()}" for k in again)
-    return kept.mapInArrow(run, f"doc_id {kept.schema[id_col].dataType.simpleString()}, score double{more}")
+    known: dict[str, float] = {}
+
+    def judge(texts: list) -> list[tuple]:
+        return [(score_text(t, *shared.value, known),) for t in texts]
+
+    return judged(docs, judge, [("score", T.DoubleType())], id_col, text_col, keep)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -59,7 +59,7 @@ def test_components_equal_brute_force(spark):
     rows = docs()
     df = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, fp int").repartition(5)
     for limit in (h.LIST_LIMIT, 3):  # the second deals long lists anew, down to the last step
-        got = sorted(map(tuple, h.near_duplicates(df, list_limit=limit).collect()), key=str)
+        got = sorted(map(tuple, h.near_duplicates(df, list_limit=limit).select("doc_id", "fp", "component_id").collect()), key=str)
         assert got == brute(rows), limit
 
 
@@ -102,3 +102,13 @@ def test_chain_of_links_is_one_component(spark):
 
 def test_no_rows(spark):
     assert h.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_one_row_of_each_component(spark):
+    rows = docs() + [(10, "another text of the same id with its own words and nothing else"), (None, "a text without any id at all here"), (None, "a text without any id at all here")]
+    df = spark.createDataFrame([(d, t, i) for i, (d, t) in enumerate(rows)], "doc_id long, text string, print int").repartition(4)
+    kept = h.one_of_each(df).collect()
+    found = h.near_duplicates(df).collect()
+    assert len(kept) == len({r.root for r in found})
+    assert sorted(str(r.doc_id) for r in kept) == sorted(str(c) for _, c in {(r.root, r.component_id) for r in found})
+    assert all(rows[r.print] == (r.doc_id, r.text) for r in kept)

@@ -40,7 +40,7 @@ def test_learns_and_defines_odd_rows(spark):
     docs = spark.createDataFrame(rows + odd, "doc_id long, text string").withColumn("score", F.lit("s"))
     known = spark.createDataFrame([*labels, (7, None), (None, 1), (9, 1), (9, 1)], "doc_id long, toxic int")
     model = X.fit(docs, known, ~X.held_out())
-    got = X.score(docs, model, keep=("text",)).collect()
+    got = X.score(docs, model, keep=True).collect()
     assert len(got) == len(rows) + len(odd)
     by = {r.doc_id: r.score for r in got}
     test = [(i, v) for i, v in labels if zlib.crc32(str(i).encode()) % 3 == 1]
