@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from inkwell.plans import metrics, review  # noqa: F401
+from inkwell.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
