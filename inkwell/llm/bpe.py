@@ -18,20 +18,19 @@ import base64
 import hashlib
 import heapq
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from inkwell.llm.common import fresh_name, slices, with_fields
+from inkwell.llm.common import fresh_name, kept, slices, with_fields
 
 LONG_WORD = 256
-CACHE = 400_000
-GROUP_BYTES = 4_000_000
+CACHE = 300_000
+GROUP_BYTES = 3_000_000
 DECODE_TOKENS = 400_000
-SQUARES = 6_000_000
+SQUARES = 4_000_000
 
 MERGE_SQL = """
 WITH RECURSIVE s AS (
@@ -108,13 +107,13 @@ class Codec:
                 if x is not None and y is not None:
                     pair.append(x << 32 | y)
                     rank.append(r)
-        self.pairs = dict(zip(pair, rank, strict=True))
+        self.pairs: dict[int, int] = {}  # filled for a very long word
         self.first = np.full(65536, -1, np.int32)
         for b, r in ranks.items():
             if len(b) == 2:
                 self.first[b[0] << 8 | b[1]] = r
         self.text = [str(i) for i in range(max(ranks.values()) + 1)]
-        self.con = duckdb.connect(config={"threads": "1", "memory_limit": "300MB"})
+        self.con = duckdb.connect(config={"threads": "1", "memory_limit": "250MB"})
         self._table("merges", {"pair": pa.array(pair, pa.int64()), "rank": pa.array(rank, pa.int32())})
         self._table("vocab", {"id": pa.array(list(ranks.values()), pa.int32()), "piece": pa.array(list(ranks), pa.binary())})
         self.words = Kept(CACHE)
@@ -145,6 +144,8 @@ class Codec:
 
     def merge_by_queue(self, word: bytes) -> bytes:
         """The ids of one very long word: the same contractions, found with a priority queue."""
+        if not self.pairs:
+            self.pairs = dict(self.con.sql("SELECT pair, rank FROM merges").fetchall())
         tok, n, pairs = self.byte[np.frombuffer(word, np.uint8)].tolist(), len(word), self.pairs
         nxt, prv, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
         rank = lambda i: pairs.get(tok[i] << 32 | tok[nxt[i]]) if nxt[i] < n else None
@@ -218,10 +219,9 @@ class Codec:
         return out
 
 
-@lru_cache(maxsize=2)
 def codec(content: bytes, pattern: str) -> Codec:
     """Kept by the worker process from task to task."""
-    return Codec(content, pattern)
+    return kept("bpe", (content, pattern), lambda: Codec(content, pattern))
 
 
 def encode_batches(batches: Iterable[pa.RecordBatch], content: bytes, pattern: str, text_col: str, ids_col: str) -> Iterator[pa.RecordBatch]:
@@ -241,20 +241,20 @@ def as_lists(column: pa.Array) -> list[np.ndarray]:
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """The given rows with their token ids (array of int); a column that is already named so is replaced."""
-    content, kept = read_ranks(ranks_path), docs.drop(ids_col)
-    return kept.mapInArrow(lambda it: encode_batches(it, content, pattern, text_col, ids_col), with_fields(kept.schema, (ids_col, T.ArrayType(T.IntegerType()))))
+    content, rest = read_ranks(ranks_path), docs.drop(ids_col)
+    return rest.mapInArrow(lambda it: encode_batches(it, content, pattern, text_col, ids_col), with_fields(rest.schema, (ids_col, T.ArrayType(T.IntegerType()))))
 
 
 def decode(encoded: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
     """The given rows with the bytes that their ids stand for; null ids are no ids."""
-    content, kept = read_ranks(ranks_path), encoded.drop(bytes_col)
+    content, rest = read_ranks(ranks_path), encoded.drop(bytes_col)
 
     def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             out = codec(content, pattern).decode(as_lists(b.column(ids_col)))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], [*b.schema.names, bytes_col])
 
-    return kept.mapInArrow(run, with_fields(kept.schema, (bytes_col, T.BinaryType())))
+    return rest.mapInArrow(run, with_fields(rest.schema, (bytes_col, T.BinaryType())))
 
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -264,7 +264,7 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
     """
     content = read_ranks(ranks_path)
     ids_col = fresh_name("ids", docs.columns)
-    kept = docs.select(id_col, text_col, *keep)
+    slim = docs.select(id_col, text_col, *keep)
 
     def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in encode_batches(it, content, pattern, text_col, ids_col):
@@ -274,8 +274,8 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
             sha = [hashlib.sha256(x).hexdigest() for x in kit.decode(lists)]
             yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array([len(x) for x in lists], pa.int64()), pa.array(ids_sha, pa.string()), pa.array(sha, pa.string()), *[b.column(k) for k in keep]], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *keep])
 
-    schema = T.StructType([T.StructField("doc_id", kept.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType()), *[kept.schema[k] for k in keep]])
-    return kept.mapInArrow(run, schema)
+    schema = T.StructType([T.StructField("doc_id", slim.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType()), *[slim.schema[k] for k in keep]])
+    return slim.mapInArrow(run, schema)
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,6 +49,21 @@ def with_fields(schema: T.StructType, *fields: tuple[str, T.DataType]) -> T.Stru
     return T.StructType([*schema.fields, *[T.StructField(n, t) for n, t in fields]])
 
 
+_KEPT: list[tuple] = []
+
+
+def kept(name: str, key: object = None, make: Callable[[], object] = lambda: None):  # noqa: ANN201
+    """What a worker process keeps from task to task: one operator's model or cache at a time.
+
+    Workers outlive stages; whatever the stage before has kept is released when another operator asks for its own.
+    """
+    if not _KEPT or _KEPT[0][:2] != (name, key):
+        _KEPT.clear()
+        pa.default_memory_pool().release_unused()
+        _KEPT.append((name, key, make()))
+    return _KEPT[0][2]
+
+
 def slices(batch: pa.RecordBatch, text_col: str, size: int) -> Iterator[pa.RecordBatch]:
     """The batch in parts of about `size` bytes of text (or one row), so that a task's memory has a bound."""
     if not batch.num_rows:
@@ -86,6 +101,18 @@ def judged(docs: DataFrame, judge: Callable[[list], Iterable[tuple]], fields: li
     return out.select("doc_id", *names, whole.alias("kept"))
 
 
+def spread_sample(rows: DataFrame, group_col: str, id_col: str, salt: str, most: int) -> DataFrame:
+    """At most `most` rows a group, those of least hash of the id, with their `place`.
+
+    Groups are thinned by the hash first, to about twice as many rows, so that a large group's order is found on few.
+    """
+    hashed = rows.withColumn("h", F.xxhash64(F.col(id_col).cast("string"), F.lit(salt)))
+    size = rows.groupBy(F.col(group_col).alias("of_group")).agg(F.count("*").alias("n"))
+    some = hashed.join(size, F.col(group_col) == F.col("of_group")).where(F.pmod("h", F.lit(1_000_000)) * F.col("n") < F.lit(2_000_000 * most))
+    place = F.row_number().over(Window.partitionBy(group_col).orderBy("h", id_col))
+    return some.withColumn("place", place).where(F.col("place") <= most).drop("h", "of_group", "n")
+
+
 def remainder(id_col: str, by: int) -> Column:
     """crc32 of the id as text, modulo `by`; null ids count as the empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % by

@@ -18,13 +18,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
-from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkwell.llm.common import judged, remainder
+from inkwell.llm.common import judged, kept, remainder, spread_sample
 
 UNDECIDED = "und"
 #: Bounds of the sample that the dictionaries are made of.
@@ -45,12 +44,9 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
     The rows of least hash are found from ids alone; only their texts, a bounded number, reach the driver.
     """
-    from pyspark.sql import Window
-
-    rank = F.row_number().over(Window.partitionBy(lang_col).orderBy("h", id_col))
     fits = F.length(text_col).between(1, LONGEST_ROW) & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()
-    some = labelled.where(fits).select(id_col, lang_col, F.xxhash64(F.col(id_col).cast("string"), F.lit("dictionary")).alias("h"))
-    chosen = some.withColumn("rank", rank).where(F.col("rank") <= sample_rows).select(F.col(id_col).alias("chosen"), F.col(lang_col).alias("of"), "rank")
+    sample = spread_sample(labelled.where(fits).select(id_col, lang_col), lang_col, id_col, "dictionary", sample_rows)
+    chosen = sample.select(F.col(id_col).alias("chosen"), F.col(lang_col).alias("of"), F.col("place").alias("rank"))
     rows = labelled.where(fits).join(F.broadcast(chosen), (F.col(id_col) == F.col("chosen")) & (F.col(lang_col) == F.col("of"))).select("of", "rank", text_col).collect()
     lines: dict[str, tuple[dict, dict]] = {}
     for of, rank_of, text in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
@@ -112,9 +108,9 @@ class Coder:
         return self.names[order[0]], lead / (lead + 0.02), lead < margin
 
 
-@lru_cache(maxsize=2)
 def coder(dictionaries: tuple[tuple[str, bytes], ...]) -> Coder:
-    return Coder(dictionaries)
+    """Kept by the worker process from task to task."""
+    return kept("langid", dictionaries, lambda: Coder(dictionaries))
 
 
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", margin: float = MARGIN, keep: bool = False) -> DataFrame:

@@ -15,6 +15,7 @@ only, the score is that class's share (0.5 without any); repeated rows each get
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections import Counter
 
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkwell.llm.common import judged, remainder
+from inkwell.llm.common import judged, kept, remainder
 from inkwell.llm.toxicity import labelled_sample
 
 SAMPLE_ROWS = 1_500
@@ -125,10 +126,10 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, label_col: str = "
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
     """(doc_id, score) of every row, and with `keep` its columns in a struct `kept`."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    known: dict[str, float] = {}
+    shared, number = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def judge(texts: list) -> list[tuple]:
+        known = kept("quality", number, dict)
         return [(shared.value.score(t, known),) for t in texts]
 
     return judged(docs, judge, [("score", T.DoubleType())], id_col, text_col, keep)

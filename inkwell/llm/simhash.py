@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import slices, written
+from inkwell.llm.common import kept, slices, written
 
 MAX_BITS = 4
 SHINGLE_WORDS = 4
@@ -71,13 +71,14 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id, print: a hash of the text as it is, fp long) of every row."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("simhash")
         for batch in batches:
             for part in slices(batch, "text", 4_000_000):
                 fps = [fingerprint(x.as_buffer().to_pybytes() if x.is_valid else b"") for x in part.column("text")]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("print"), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "print", "fp"])
 
-    kept = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("print"), F.col(text_col).alias("text"))
-    return kept.mapInArrow(run, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, print bigint, fp bigint")
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("print"), F.col(text_col).alias("text"))
+    return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, print bigint, fp bigint")
 
 
 def _bits(fp: Column, places: Iterable[int], width: int) -> Column:

@@ -18,14 +18,15 @@ from __future__ import annotations
 
 import random
 import re
+import uuid
 import zlib
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkwell.llm.common import judged, remainder
+from inkwell.llm.common import judged, kept, remainder, spread_sample
 
 SAMPLE_ROWS = 2_500
 BUCKETS = 1 << 20
@@ -148,8 +149,7 @@ def train(texts: list[str], labels: list[int], l1: float = L1, penalty: float =
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, training: Column, sample_rows: int, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[str, int]]:
     """(text, label) of at most `sample_rows` labelled training rows a class, in the order of their ids' hash."""
     known = labels.where(training & F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("label"))
-    rank = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64(F.col(id_col).cast("string"), F.lit("labels")), id_col))
-    chosen = known.withColumn("place", rank).where(F.col("place") <= sample_rows).select(F.col(id_col).alias("chosen"), "label", "place")
+    chosen = spread_sample(known, "label", id_col, "labels", sample_rows).select(F.col(id_col).alias("chosen"), "label")
     rows = docs.select(id_col, text_col).join(F.broadcast(chosen), F.col(id_col) == F.col("chosen")).select("chosen", F.coalesce(text_col, F.lit("")), "label").dropDuplicates(["chosen"]).collect()
     return [(text, label) for _, text, label in sorted(rows, key=lambda r: (str(r[0]), r[1]))]
 
@@ -173,10 +173,10 @@ def score_text(text: str | None, weights: dict[int, float], bias: float, known:
 
 def score(docs: DataFrame, model: tuple[dict[int, float], float], id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
     """(doc_id, score) of every row, and with `keep` its columns in a struct `kept`."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    known: dict[str, float] = {}
+    shared, number = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def judge(texts: list) -> list[tuple]:
+        known = kept("toxicity", number, dict)
         return [(score_text(t, *shared.value, known),) for t in texts]
 
     return judged(docs, judge, [("score", T.DoubleType())], id_col, text_col, keep)
