@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from inkwell.plans import history, metrics, proposals, review  # noqa: F401
+from inkwell.plans import history, links, metrics, proposals, review  # noqa: F401
 from inkwell.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
