@@ -20,10 +20,15 @@ def items_from_lineitem(lineitem: DataFrame, part: DataFrame) -> DataFrame:
     return sums.join(kind, "item_id").withColumn("unit_price", F.col("amount") / F.nullif("quantity", F.lit(0)))
 
 
+def cents(x: Column) -> Column:
+    """To two decimals, halves up; a millionth of a cent is forgiven, so that 0.005 in binary is a half."""
+    return F.floor(x * 100 + F.lit(0.500001)) / 100
+
+
 def complete_items(items: DataFrame) -> DataFrame:
     """The missing one of quantity, unit price and amount from the other two, to two decimals."""
     q, u, a = F.col("quantity"), F.col("unit_price"), F.col("amount")
-    return items.select(*[c for c in items.columns if c not in ("quantity", "unit_price", "amount")], F.coalesce(q, F.round(a / F.nullif(u, F.lit(0)), 2)).alias("quantity"), F.coalesce(u, F.round(a / F.nullif(q, F.lit(0)), 2)).alias("unit_price"), F.coalesce(a, F.round(q * u, 2)).alias("amount"))
+    return items.select(*[c for c in items.columns if c not in ("quantity", "unit_price", "amount")], F.coalesce(q, cents(a / F.nullif(u, F.lit(0)))).alias("quantity"), F.coalesce(u, cents(a / F.nullif(q, F.lit(0)))).alias("unit_price"), F.coalesce(a, cents(q * u)).alias("amount"))
 
 
 def money(text: Column) -> Column:

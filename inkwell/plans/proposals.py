@@ -17,7 +17,7 @@ def items(spark: SparkSession, sf: str) -> DataFrame:
     return P.items_from_lineitem(table(spark, sf, "lineitem"), table(spark, sf, "part"))
 
 
-@query("a61_complete_items", f"WITH {ITEMS}, h AS (SELECT proposal_id, item_id, CASE WHEN item_id % 3 <> 0 THEN quantity END AS q, CASE WHEN item_id % 3 <> 1 THEN unit_price END AS u, CASE WHEN item_id % 3 <> 2 THEN amount END AS a FROM items) SELECT proposal_id, item_id, coalesce(q, round(a / nullif(u, 0), 2)) AS quantity, coalesce(u, round((a / nullif(q, 0))::DECIMAL(28, 8), 2)::DOUBLE) AS unit_price, coalesce(a, round(q * u, 2)) AS amount FROM h")
+@query("a61_complete_items", f"WITH {ITEMS}, h AS (SELECT proposal_id, item_id, CASE WHEN item_id % 3 <> 0 THEN quantity END AS q, CASE WHEN item_id % 3 <> 1 THEN unit_price END AS u, CASE WHEN item_id % 3 <> 2 THEN amount END AS a FROM items) SELECT proposal_id, item_id, coalesce(q, floor(a / nullif(u, 0) * 100 + 0.500001::DOUBLE) / 100) AS quantity, coalesce(u, floor(a / nullif(q, 0) * 100 + 0.500001::DOUBLE) / 100) AS unit_price, coalesce(a, floor(q * u * 100 + 0.500001::DOUBLE) / 100) AS amount FROM h")
 def complete_items(spark: SparkSession, sf: str) -> DataFrame:
     third = F.col("item_id") % 3
     h = items(spark, sf).select("proposal_id", "item_id", F.when(third != 0, F.col("quantity")).alias("quantity"), F.when(third != 1, F.col("unit_price")).alias("unit_price"), F.when(third != 2, F.col("amount")).alias("amount"))
