@@ -24,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from inkwell.llm.common import fresh_name, kept, slices, with_fields
+from inkwell.llm.common import by_small_batches, fresh_name, kept, slices, with_fields
 
 LONG_WORD = 256
-CACHE = 300_000
-GROUP_BYTES = 3_000_000
+CACHE = 200_000
+GROUP_BYTES = 2_500_000
 DECODE_TOKENS = 400_000
 SQUARES = 4_000_000
 
@@ -242,7 +242,7 @@ def as_lists(column: pa.Array) -> list[np.ndarray]:
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """The given rows with their token ids (array of int); a column that is already named so is replaced."""
     content, rest = read_ranks(ranks_path), docs.drop(ids_col)
-    return rest.mapInArrow(lambda it: encode_batches(it, content, pattern, text_col, ids_col), with_fields(rest.schema, (ids_col, T.ArrayType(T.IntegerType()))))
+    return by_small_batches(rest).mapInArrow(lambda it: encode_batches(it, content, pattern, text_col, ids_col), with_fields(rest.schema, (ids_col, T.ArrayType(T.IntegerType()))))
 
 
 def decode(encoded: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
@@ -254,7 +254,7 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str, ids_col: str = "id
             out = codec(content, pattern).decode(as_lists(b.column(ids_col)))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], [*b.schema.names, bytes_col])
 
-    return rest.mapInArrow(run, with_fields(rest.schema, (bytes_col, T.BinaryType())))
+    return by_small_batches(rest).mapInArrow(run, with_fields(rest.schema, (bytes_col, T.BinaryType())))
 
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -275,7 +275,7 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
             yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array([len(x) for x in lists], pa.int64()), pa.array(ids_sha, pa.string()), pa.array(sha, pa.string()), *[b.column(k) for k in keep]], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *keep])
 
     schema = T.StructType([T.StructField("doc_id", slim.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType()), *[slim.schema[k] for k in keep]])
-    return slim.mapInArrow(run, schema)
+    return by_small_batches(slim).mapInArrow(run, schema)
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,6 +49,18 @@ def with_fields(schema: T.StructType, *fields: tuple[str, T.DataType]) -> T.Stru
     return T.StructType([*schema.fields, *[T.StructField(n, t) for n, t in fields]])
 
 
+#: Rows of documents are long: Arrow batches of so many keep the memory of executors and Python workers small.
+BATCH_ROWS = 1_000
+
+
+def by_small_batches(docs: DataFrame) -> DataFrame:
+    """The same frame; from now on its session hands rows to Python in batches of BATCH_ROWS at most."""
+    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, BATCH_ROWS)
+    return docs
+
+
 _KEPT: list[tuple] = []
 
 
@@ -94,7 +106,7 @@ def judged(docs: DataFrame, judge: Callable[[list], Iterable[tuple]], fields: li
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *map(pa.array, values), *[part.column(c) for c in passed]], ["doc_id", *names, *passed])
 
     schema = T.StructType([slim.schema["doc_id"], *[T.StructField(n, t) for n, t in fields], *[slim.schema[c] for c in passed]])
-    out = slim.mapInArrow(run, schema)
+    out = by_small_batches(slim).mapInArrow(run, schema)
     if not keep:
         return out
     whole = F.struct(*[F.col("text").alias(c) if c == text_col else F.col("rest")[c].alias(c) for c in docs.columns])

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import new_path, slices, written
+from inkwell.llm.common import by_small_batches, new_path, slices, written
 
 WIDTH = 64
 HEADER = 33
@@ -130,7 +130,7 @@ def store(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
             shard.close()
 
     kept = docs.select(id_col, text_col)
-    return kept.mapInArrow(run, f"doc_id {kept.schema[id_col].dataType.simpleString()}, n_bytes long, digest string, shard string, offset long, length long")
+    return by_small_batches(kept).mapInArrow(run, f"doc_id {kept.schema[id_col].dataType.simpleString()}, n_bytes long, digest string, shard string, offset long, length long")
 
 
 def catalogue(stored: DataFrame) -> DataFrame:

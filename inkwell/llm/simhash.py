@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import kept, slices, written
+from inkwell.llm.common import by_small_batches, kept, slices, written
 
 MAX_BITS = 4
 SHINGLE_WORDS = 4
@@ -78,7 +78,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("print"), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "print", "fp"])
 
     slim = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("print"), F.col(text_col).alias("text"))
-    return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, print bigint, fp bigint")
+    return by_small_batches(slim).mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, print bigint, fp bigint")
 
 
 def _bits(fp: Column, places: Iterable[int], width: int) -> Column:
