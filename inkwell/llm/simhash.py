@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.llm.common import by_small_batches, kept, slices, written
+from inkwell.operators.graph import components
 
 MAX_BITS = 4
 SHINGLE_WORDS = 4
@@ -225,29 +226,6 @@ def local_forest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the least node reachable, for every node that has an edge. Edges: a, b (long).
-
-    Alternating large-star and small-star steps; each step is two aggregations, so no list of neighbours is ever held,
-    and every step's edges are checkpointed in the shared folder.
-    """
-    pairs = F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))
-    edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges = edges.checkpoint()
-    before = None
-    while True:
-        both = edges.select(F.inline(pairs))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
-        small = large.join(least, large["a"] == least["u"])
-        edges = small.select(F.inline(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("u").alias("a"), F.col("m").alias("b"))))).where("a <> b").distinct().checkpoint()
-        now = edges.agg(F.count("*"), F.sum(F.hash("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        before = now
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", list_limit: int = LIST_LIMIT) -> DataFrame:
     """(doc_id, print, fp, root, component_id) of every row; root numbers the component."""
     signed = written(fingerprints(docs, id_col, text_col), "fingerprints")
