@@ -152,6 +152,7 @@ def forest(fps: np.ndarray) -> list[tuple[int, int]]:
 
 def list_links(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links inside posting lists; rows come sorted by (list, key), and a list may span batches."""
+    kept("simhash")
     rest: list[np.ndarray] = []
 
     def links(number: np.ndarray, key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
@@ -198,7 +199,7 @@ def links(fps: DataFrame, list_limit: int = LIST_LIMIT) -> DataFrame:
                 cold = lists.join(long, ["list", "key"], "left_anti")
                 hot = written(lists.join(long, ["list", "key"], "left_semi"), "long-postings")
         ordered = cold.repartition("list", "key").sortWithinPartitions("list", "key")
-        edges = ordered.mapInArrow(list_links, "a bigint, b bigint")
+        edges = ordered.mapInArrow(lambda it: local_forest(list_links(it)), "a bigint, b bigint")  # one worker a task
         found = edges if found is None else found.unionByName(edges)
         if hot is None:
             return found
@@ -230,7 +231,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(doc_id, print, fp, root, component_id) of every row; root numbers the component."""
     signed = written(fingerprints(docs, id_col, text_col), "fingerprints")
     fps = written(signed.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    edges = written(links(fps.select("fp"), list_limit).mapInArrow(local_forest, "a bigint, b bigint"), "links")
+    edges = written(links(fps.select("fp"), list_limit), "links")
     roots = components(edges)
     tree = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     smallest = tree.groupBy("root").agg(F.min("least").alias("component_id"))
