@@ -61,21 +61,31 @@ def rules_table(spark: SparkSession, rules: list[Rule]) -> DataFrame:
     return spark.createDataFrame([(r.rule_id, r.pack, r.kind, r.pattern, r.severity, r.category, r.replacement, r.message) for r in rules], schema)
 
 
-def word_grams(n: int) -> Column:
-    """The n-grams of the array w, space-joined."""
-    return F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.array_join(F.slice("w", i, n), " "))
+FEW_WORDS = 200
+
+
+def word_grams(n: int, firsts: list[str]) -> Column:
+    """The n-grams of the array w, space-joined; only those that begin with one of the first words, if these are few."""
+    starts = F.sequence(F.lit(1), F.size("w") - (n - 1))
+    if len(firsts) <= FEW_WORDS:
+        known = F.array(*map(F.lit, firsts))
+        starts = F.filter(starts, lambda i: F.array_contains(known, F.element_at("w", i)))
+    return F.transform(starts, lambda i: F.array_join(F.slice("w", i, n), " "))
 
 
 def phrase_scan(paras: DataFrame, rules: DataFrame) -> DataFrame:
-    """(doc_id, para_idx, pos, rule columns): whole-word phrases by an equi-join of n-grams with the rules.
+    """(doc_id, para_idx, rule columns): whole-word phrases by an equi-join of n-grams with the rules.
 
     Only the phrase lengths that occur among the rules are exploded; no regular expression runs per rule.
     """
-    lengths = sorted(r[0] for r in rules.select(F.size(F.split("pattern", " "))).distinct().collect())  # at most a few
+    split = F.split(F.lower("pattern"), " ")
+    by_length: dict[int, set[str]] = {}
+    for n, first in rules.select(F.size(split), split[0]).distinct().collect():  # rules are a bounded table
+        by_length.setdefault(n, set()).add(first)
     w = paras.select("doc_id", "para_idx", lower_words(F.col("text")).alias("w"))
     grams = None
-    for n in lengths:
-        own = w.where(F.size("w") >= n).select("doc_id", "para_idx", F.posexplode(word_grams(n)).alias("pos", "gram"))
+    for n, firsts in sorted(by_length.items()):
+        own = w.where(F.size("w") >= n).select("doc_id", "para_idx", F.explode(word_grams(n, sorted(firsts))).alias("gram"))
         grams = own if grams is None else grams.unionByName(own)
     return grams.join(rules, F.col("gram") == F.lower("pattern")).drop("gram")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from inkwell.operators import metrics as M
 from inkwell.operators import text as T
-from inkwell.registry import query, table
+from inkwell.registry import query, spread, table
 
 W = r"'[a-zA-Z]+(?:''[a-zA-Z]+)?'"
 LINES = "lines AS (SELECT doc_id, i - 1 AS para_idx, p AS text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS p, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) WHERE trim(p) <> '')"
@@ -26,7 +26,7 @@ def cut(mode: str, of: str = "text") -> str:
 
 
 def docs(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", "text")
+    return spread(table(spark, sf, "documents").select("doc_id", "text"))
 
 
 @query("t1_paragraphs", f"WITH {LINES} SELECT doc_id, para_idx::BIGINT AS para_idx, md5(text) AS text_md5, length(text) AS chars FROM lines")
