@@ -1,7 +1,8 @@
 """Approximate nearest neighbours: an inverted file of coarse cells with product-quantised residuals.
 
 Coarse centroids and code books are fitted by k-means on a bounded sample (`sample_rows` vectors, by the hash of the
-id). Every distinct vector is put into the cell of its nearest centroid, and its residual is coded by the nearest entry
+id); how many cells a query probes is read off the sample as well: enough to cover `COVERED` of its own nearest
+neighbours, a few for clustered vectors and more than half for shapeless ones. Every distinct vector is put into the cell of its nearest centroid, and its residual is coded by the nearest entry
 of each sub-space's code book. A query probes its nearest cells: tables of distances from the query's residual to the
 code book entries give each member's approximate distance by look-ups, the best `rerank` candidates are joined to the
 original vectors, and their distances are computed exactly.
@@ -29,7 +30,9 @@ from pyspark.sql import functions as F
 
 from inkwell.llm.common import written
 
-K, PROBES, RERANK = 10, 24, 250
+K, RERANK, PER_CELL = 10, 250, 40
+#: Cells are probed until so many of the sample's own nearest neighbours are covered.
+COVERED, TRIED = 0.97, 256
 SAMPLE_ROWS, MOST_CELLS = 20_000, 4096
 SUB_DIMS, CODES = 4, 256
 BLOCK_ROWS, GROUP_ROWS = 8192, 1024
@@ -41,7 +44,7 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     big = F.lit(float("inf"))
     fits = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < big)) & F.exists(v, lambda x: x != 0)
     # adding 0.0 makes the two zeros equal
-    return vectors.where(fits & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(v, lambda x: x + F.lit(0.0)).alias("v")).withColumn("same", F.sha2(F.array_join(F.transform("v", lambda x: x.cast("string")), ",").cast("binary"), 256))
+    return vectors.where(fits & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(v, lambda x: x + F.lit(0.0)).alias("v")).withColumn("same", F.md5(F.array_join(F.transform("v", lambda x: x.cast("string")), ",")))
 
 
 def k_means(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
@@ -79,8 +82,18 @@ class Index:
         x = sample.astype(np.float64)
         self.cells = k_means(x, max(1, min(MOST_CELLS, len(x) // 8, round(math.sqrt(rows)))), 8, rng)
         left = self.split(x - self.cells[nearest(x, self.cells, 1)[:, 0]])
+        self.probes = self.enough_probes(x[rng.permutation(len(x))[:TRIED]], x)
         self.books = np.stack([k_means(left[:, p], min(CODES, len(x)), 6, rng) for p in range(self.parts)])
 
+    def enough_probes(self, tried: np.ndarray, x: np.ndarray) -> int:
+        order = nearest(tried, self.cells, len(self.cells))
+        place = np.empty_like(order)
+        np.put_along_axis(place, order, np.arange(order.shape[1])[None], 1)
+        near = nearest(tried, x, min(K + 1, len(x)))[:, 1:]  # the first is the vector itself
+        if not near.size:
+            return len(self.cells)
+        return int(np.quantile(np.take_along_axis(place, nearest(x, self.cells, 1)[:, 0][near], 1), COVERED)) + 1
+
     def split(self, x: np.ndarray) -> np.ndarray:
         padded = np.zeros((len(x), self.parts * SUB_DIMS))
         padded[:, : self.dims] = x
@@ -143,12 +156,12 @@ def dealt(rows: DataFrame, counts: DataFrame, own: Column, other: str, of: str)
     return rows.join(counts, "cell").select(*rows.columns, own.alias(of), every)
 
 
-def candidates(members: DataFrame, looks: DataFrame, index: Index, rerank: int, block_rows: int, group_rows: int) -> DataFrame:
-    """(query, same): for each query its `rerank` best members by approximate distance."""
+def candidates(members: DataFrame, looks: DataFrame, index: Index, rerank: int, block_rows: int, group_rows: int, per_cell: int = PER_CELL) -> DataFrame:
+    """(query, same): for each query its `rerank` best members by approximate distance, `per_cell` from a block of a cell at most."""
     shared = members.sparkSession.sparkContext.broadcast(index)
-    per_cell = members.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("parts_block"))
-    per_look = looks.groupBy("cell").agg(F.ceil(F.count("*") / group_rows).cast("int").alias("parts_group"))
-    counts = written(per_cell.join(per_look, "cell"), "ann-cells")  # one row a cell, at most MOST_CELLS
+    blocks = members.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("parts_block"))
+    groups = looks.groupBy("cell").agg(F.ceil(F.count("*") / group_rows).cast("int").alias("parts_group"))
+    counts = written(blocks.join(groups, "cell"), "ann-cells")  # one row a cell, at most MOST_CELLS
     left = dealt(members, counts, F.pmod(F.xxhash64("same"), F.col("parts_block")).cast("int"), "group", "block")
     right = dealt(looks, counts, F.pmod(F.xxhash64("query"), F.col("parts_group")).cast("int"), "block", "group")
 
@@ -156,15 +169,18 @@ def candidates(members: DataFrame, looks: DataFrame, index: Index, rerank: int,
         if not len(own) or not len(asked):
             return pd.DataFrame({"query": [], "same": [], "near": []})
         codes = np.frombuffer(b"".join(own["codes"]), np.uint8).reshape(len(own), -1).astype(np.int64)
-        same, out = own["same"].to_numpy(), []
+        same, found, near, of = own["same"].to_numpy(), [], [], []
         parts = np.arange(codes.shape[1])
         for a in range(0, len(asked), 64):
             some = asked.iloc[a : a + 64]
             for q, table in zip(some["query"], shared.value.tables(np.stack(some["v"]), int(key[0])), strict=True):
                 d = table[parts, codes].sum(1)
-                best = np.argpartition(d, rerank - 1)[:rerank] if rerank < len(d) else np.arange(len(d))
-                out.append(pd.DataFrame({"query": q, "same": same[best], "near": d[best]}))
-        return pd.concat(out)
+                best = np.argpartition(d, per_cell - 1)[:per_cell] if per_cell < len(d) else np.arange(len(d))
+                found.append(same[best])
+                near.append(d[best])
+                of.append((q, len(best)))
+        names, times = zip(*of, strict=True)
+        return pd.DataFrame({"query": np.repeat(np.array(names, object), times), "same": np.concatenate(found), "near": np.concatenate(near)})
 
     keys = ["cell", "block", "group"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, "query string, same string, near double")
@@ -176,7 +192,7 @@ def distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding", probes: int = PROBES, rerank: int = RERANK, sample_rows: int = SAMPLE_ROWS, block_rows: int = BLOCK_ROWS, group_rows: int = GROUP_ROWS) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding", probes: int | None = None, rerank: int = RERANK, sample_rows: int = SAMPLE_ROWS, block_rows: int = BLOCK_ROWS, group_rows: int = GROUP_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of every query; is_query is a condition on vec_id."""
     result = "query_id long, rank int, vec_id long, score double"
     spark = vectors.sparkSession
@@ -192,7 +208,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_
     members = written(indexed(distinct, index), "ann-index")
     asked = good.where(is_query).select("vec_id", "same").distinct()
     queries = distinct.join(asked.select("same").distinct(), "same", "left_semi")
-    near = candidates(members, probed(queries, index, probes), index, rerank, block_rows, group_rows)
+    near = candidates(members, probed(queries, index, probes or index.probes), index, rerank, block_rows, group_rows)
     pairs = near.join(distinct.select("same", F.col("v").alias("b")), "same").join(distinct.select(F.col("same").alias("query"), F.col("v").alias("a")), "query")
     exact = pairs.select("query", "same", distance(F.col("a"), F.col("b")).alias("score"))
     expanded = exact.join(ids.select("same", "vec_id"), "same")
