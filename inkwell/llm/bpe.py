@@ -27,10 +27,10 @@ from pyspark.sql import types as T
 from inkwell.llm.common import by_small_batches, fresh_name, kept, slices, with_fields
 
 LONG_WORD = 256
-CACHE = 200_000
-GROUP_BYTES = 2_500_000
+CACHE = 400_000
+GROUP_BYTES = 4_000_000
 DECODE_TOKENS = 400_000
-SQUARES = 4_000_000
+SQUARES = 6_000_000
 
 MERGE_SQL = """
 WITH RECURSIVE s AS (
