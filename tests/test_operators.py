@@ -132,3 +132,11 @@ def test_stream_of_scans_hands_over_each_document_once_a_batch(spark, sf, tmp_pa
     out = spark.read.parquet(f"{tmp_path}/out")
     assert out.agg(F.sum("new_scans")).first()[0] == events.count()
     assert out.groupBy("batch", "document_id").count().where("count > 1").count() == 0
+
+
+def test_rule_scan_takes_each_delivery_once(spark):
+    from inkwell.operators import text as T
+
+    t = datetime.datetime(2024, 1, 1)
+    docs = spark.createDataFrame([(1, "the the cat", t), (1, "the the cat", t), (2, "fine", t)], "doc_id long, text string, ts timestamp")
+    assert [r.hit for r in X.rule_scan(docs, lambda d: T.repeated_words(T.paragraphs(d))).collect()] == ["the the"]
