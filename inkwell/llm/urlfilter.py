@@ -1,6 +1,7 @@
 """URL filters: rules first, then trust and distrust that spread over the link graph of hosts.
 
-Hosts that an allow rule lets through are trusted seeds; hosts with a name on the block list are blocked seeds. Trust is
+Hosts that an allow rule lets through are trusted seeds; hosts with a name on the block list are blocked seeds, whether
+they have pages or are only linked to. Trust is
 a personalised PageRank from the trusted seeds along links (who is linked by the trusted is trusted a little); distrust
 is one from the blocked seeds against the links (who links to the blocked is distrusted). A host is blocked where its
 share of distrust in both passes a threshold. Both spread in one table and one join an iteration, over arcs that are
@@ -68,11 +69,13 @@ def judged_by_rules(pages: DataFrame, rules: tuple[Rule, ...], url_col: str = "u
     return named.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules))
 
 
-def seeds(judged: DataFrame, blocked_words: tuple[str, ...] = BLOCKED_WORDS) -> DataFrame:
-    """(host, trusted 0/1, blocked 0/1) of every host that has pages."""
+def seeds(judged: DataFrame, edges: DataFrame, blocked_words: tuple[str, ...] = BLOCKED_WORDS) -> DataFrame:
+    """(host, trusted 0/1, blocked 0/1) of every host that has pages or is linked to; edges: (source, target, n)."""
     blocked = F.arrays_overlap(F.split("host", "[.-]"), F.array(*map(F.lit, blocked_words)))
     trusted = F.max(F.when(F.col("fit.verdict") == "allow", 1.0).otherwise(0.0))
-    hosts = judged.groupBy("host").agg(trusted.alias("trusted"))
+    own = judged.groupBy("host").agg(trusted.alias("trusted"))
+    linked = edges.select(F.col("target").alias("host"), F.lit(0.0).alias("trusted"))
+    hosts = own.unionByName(linked).groupBy("host").agg(F.max("trusted").alias("trusted"))
     return hosts.select("host", F.when(blocked, 0.0).otherwise(F.col("trusted")).alias("trusted"), F.when(blocked, 1.0).otherwise(0.0).alias("blocked"))
 
 
@@ -83,15 +86,13 @@ def links(judged: DataFrame, html_col: str = "html") -> DataFrame:
 
 
 def spread(starts: DataFrame, edges: DataFrame, damping: float = DAMPING, iterations: int = ITERATIONS) -> DataFrame:
-    """(host, trust, distrust) after the iterations; starts: (host, trusted, blocked), edges: (source, target, n)."""
-    edges = edges.checkpoint()
+    """(host, trust, distrust) after the iterations; starts: (host, trusted, blocked) of every host, edges: (source, target, n)."""
     out = edges.groupBy(F.col("source").alias("of")).agg(F.sum("n").alias("total"))
     into = edges.groupBy(F.col("target").alias("of")).agg(F.sum("n").alias("total"))
     along = edges.join(out, edges["source"] == out["of"]).select(F.col("source").alias("from"), F.col("target").alias("to"), (F.col("n") / F.col("total")).alias("trust_part"), F.lit(0.0).alias("distrust_part"))
     against = edges.join(into, edges["target"] == into["of"]).select(F.col("target").alias("from"), F.col("source").alias("to"), F.lit(0.0).alias("trust_part"), (F.col("n") / F.col("total")).alias("distrust_part"))
     arcs = along.unionByName(against).groupBy("from", "to").agg(F.sum("trust_part").alias("trust_part"), F.sum("distrust_part").alias("distrust_part")).checkpoint()
-    linked = edges.select(F.col("target").alias("host")).distinct()
-    base = starts.unionByName(linked.select("host", F.lit(0.0).alias("trusted"), F.lit(0.0).alias("blocked"))).groupBy("host").agg(F.max("trusted").alias("trusted"), F.max("blocked").alias("blocked")).checkpoint()
+    base = starts.checkpoint()
     scores = base.select("host", F.col("trusted").alias("trust"), F.col("blocked").alias("distrust"))
     for _ in range(iterations if arcs.limit(1).count() else 0):
         given = scores.join(arcs, scores["host"] == arcs["from"]).groupBy(F.col("to")).agg(F.sum(F.col("trust") * F.col("trust_part")).alias("t"), F.sum(F.col("distrust") * F.col("distrust_part")).alias("d"))
@@ -102,7 +103,8 @@ def spread(starts: DataFrame, edges: DataFrame, damping: float = DAMPING, iterat
 def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, blocked_words: tuple[str, ...] = BLOCKED_WORDS, threshold: float = THRESHOLD, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, host, path, rule, verdict, trust, distrust) of every page."""
     judged = judged_by_rules(pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")), rules)
-    scores = spread(seeds(judged, blocked_words), links(judged))
+    edges = links(judged).checkpoint()
+    scores = spread(seeds(judged, edges, blocked_words), edges)
     blocked = F.col("distrust") > threshold * (F.col("trust") + F.col("distrust"))
     verdict = F.coalesce(F.col("fit.verdict"), F.when(blocked, "block").otherwise("allow"))
     return judged.select("page_id", "host", "path", "fit").join(scores, "host").select("page_id", "host", "path", F.col("fit.rule").alias("rule"), verdict.alias("verdict"), "trust", "distrust")

@@ -67,6 +67,13 @@ def test_equals_brute_force(spark):
     assert by[1][3] == "example.com/en/7" and by[4][3] == "com/en/" and by[5][4] == "block" and by[10][4] == "block" and by[7][4] == "allow"
 
 
+def test_blocked_hosts_without_pages_are_seeds(spark):
+    rows = [page(1, "http://links.org/fr/", "Casino-X.com"), page(2, "http://before.org/fr/", "links.org"), page(3, "http://clean.org/fr/", "far.org")]
+    got = {r.page_id: r for r in U.filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {i: r.verdict for i, r in got.items()} == {1: "block", 2: "block", 3: "allow"}
+    assert [round(got[i].distrust, 9) for i in (1, 2, 3)] == [round(0.15 * 0.85, 9), round(0.15 * 0.85**2, 9), 0]
+
+
 def test_no_rows_and_extra_columns(spark):
     df = spark.createDataFrame([(*ROWS[0], "z")], "page_id long, url string, html string, host string")
     assert U.filter_urls(df).count() == 1
