@@ -38,26 +38,43 @@ def score_trend(scans: DataFrame, n: int = 5) -> DataFrame:
 def detect_batches(scans: DataFrame, seconds: int = 30) -> DataFrame:
     """(day, newest_us, scans, least_id): newest first, a scan joins the batch if it is within so many seconds of the batch's first.
 
-    A scan further than that from the one before it begins a batch whatever came earlier, so each day is cut there
-    first; only inside such a burst the rule, which looks at the batch's first scan, is a fold over sorted scans.
+    Every time of a day points to the one that begins the next batch if it begins one itself: the latest that is too far
+    from it. Times are dealt to buckets just longer than a batch, so that this one is in the bucket before, or the last
+    of the latest bucket before that; a bucket has one beginning at most. Times after a gap are beginnings whatever came
+    earlier; from them the pointers are followed, and doubled every turn, until no new beginning turns up.
     Batches do not cross midnight; two scans or more are a batch.
     """
-    w = Window.partitionBy("day").orderBy(F.desc("t"), F.desc("scan_id"))
-    timed = scans.select(F.to_date("scan_time").alias("day"), F.unix_micros("scan_time").alias("t"), "scan_id")
-    apart = F.coalesce(F.lag("t").over(w) - F.col("t") > seconds * 1_000_000, F.lit(True)).cast("int")
-    bursts = timed.withColumn("apart", apart).withColumn("burst", F.sum("apart").over(w))
-    sorted_scans = F.sort_array(F.collect_list(F.struct("t", "scan_id")), asc=False)
-    per_burst = bursts.groupBy("day", "burst").agg(sorted_scans.alias("s"), F.count("*").alias("n")).where("n >= 2")
-    start = F.struct(F.lit(None).cast("long").alias("first"), F.array().cast("array<long>").alias("firsts"))
-
-    def fold(state: Column, x: Column) -> Column:
-        joins = state["first"].isNotNull() & (state["first"] - x["t"] <= seconds * 1_000_000)
-        first = F.when(joins, state["first"]).otherwise(x["t"])
-        return F.struct(first.alias("first"), F.concat(state["firsts"], F.array(first)).alias("firsts"))
-
-    numbers = F.aggregate("s", start, fold)["firsts"]
-    each = per_burst.select("day", F.explode(F.arrays_zip("s", numbers.alias("first"))).alias("x")).select("day", "x.s.scan_id", F.col("x.first").alias("newest_us"))
-    return each.groupBy("day", "newest_us").agg(F.count("*").alias("scans"), F.min("scan_id").alias("least_id")).where("scans >= 2")
+    far = seconds * 1_000_000 + 1
+    bucket = ((F.col("t") - F.pmod("t", F.lit(far))) / far).cast("long")
+    timed = scans.where("scan_time is not null").select(F.to_date("scan_time").alias("day"), F.unix_micros("scan_time").alias("t"), "scan_id")
+    per = timed.groupBy("day", "t").agg(F.count("*").alias("n"), F.min("scan_id").alias("least")).withColumn("bucket", bucket).checkpoint()
+    by_bucket = Window.partitionBy("day").orderBy("bucket")
+    ends = per.groupBy("day", "bucket").agg(F.min("t").alias("first"), F.max("t").alias("last"))
+    ends = ends.select("day", "bucket", F.lead("first").over(by_bucket).alias("newer"), F.max("last").over(by_bucket.rangeBetween(Window.unboundedPreceding, -2)).alias("older"))
+    # a time asks in the bucket before for the latest that is not later in it than itself
+    asks = per.select("day", (F.col("bucket") - 1).alias("of"), (F.col("t") - far).alias("at"), F.col("t").alias("asker"))
+    given = per.select("day", F.col("bucket").alias("of"), F.col("t").alias("at"), F.lit(None).cast("long").alias("asker"))
+    latest = F.max(F.when(F.col("asker").isNull(), F.col("at"))).over(Window.partitionBy("day", "of").orderBy("at", F.asc_nulls_first("asker")).rowsBetween(Window.unboundedPreceding, 0))
+    found = asks.unionByName(given).withColumn("inside", latest).where("asker is not null")
+    newer = F.lead("at").over(Window.partitionBy("day", "of").orderBy("at"))
+    known = found.withColumn("newer_inside", newer).select("day", (F.col("of") + 1).alias("bucket"), F.col("asker").alias("t"), "inside", (F.col("newer_inside") + far).alias("newer_inside"))
+    pointed = known.join(ends, ["day", "bucket"]).select("day", "t", F.coalesce("inside", "older").alias("next"), F.coalesce("newer_inside", "newer").alias("newer")).checkpoint()
+    begins = pointed.where(F.col("newer").isNull() | (F.col("newer") - F.col("t") >= far)).select("day", "t").checkpoint()
+    jumps = pointed.where("next is not null").select("day", "t", "next").checkpoint()
+    count = begins.count()
+    while True:
+        more = begins.join(jumps, ["day", "t"]).select("day", F.col("next").alias("t"))
+        begins = begins.unionByName(more).distinct().checkpoint()
+        before, count = count, begins.count()
+        if count == before:
+            break
+        ahead = jumps.select("day", F.col("t").alias("next"), F.col("next").alias("after"))
+        jumps = jumps.join(ahead, ["day", "next"]).select("day", "t", F.col("after").alias("next")).checkpoint()
+    at = begins.select("day", bucket.alias("bucket"), F.col("t").alias("own"))
+    above = begins.select("day", (bucket - 1).alias("bucket"), F.col("t").alias("next_own"))
+    first = F.when(F.col("own") >= F.col("t"), F.col("own")).otherwise(F.col("next_own"))
+    joined = per.join(at, ["day", "bucket"], "left").join(above, ["day", "bucket"], "left").withColumn("newest_us", first)
+    return joined.groupBy("day", "newest_us").agg(F.sum("n").alias("scans"), F.min("least").alias("least_id")).where("scans >= 2")
 
 
 def score_histogram(scans: DataFrame) -> DataFrame:

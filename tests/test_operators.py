@@ -1,6 +1,7 @@
 """Literal fixtures for links, history, proposals, roles, similarity and streams."""
 
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -51,6 +52,22 @@ def test_batches_are_anchored_at_their_first_scan(spark):
     assert got == [(2, 0), (2, 2), (2, 5)]  # newest first: 310-300, 55-40, 20-0
 
 
+def test_batches_of_dense_days_need_no_array_of_a_burst(spark):
+    rng = random.Random(4)
+    start = 1_704_067_200_000_000  # midnight
+    rows = [(i, start + rng.randrange(3_000) * 1_000_000) for i in range(6_000)]  # one burst
+    rows += [(i, start + rng.choice((-1, 1)) * rng.randrange(86_400_000_000)) for i in range(6_000, 8_000)]
+    rows += [(8_000 + i, start + t) for i, t in enumerate((0, 30_000_000, 30_000_001, 60_000_000, 60_000_001, 60_000_002, -1, -30_000_001, -30_000_002))]
+    want, day, first = {}, None, None
+    for i, t in sorted(rows, key=lambda r: (-r[1], -r[0])):
+        if t // 86_400_000_000 != day or first - t > 30_000_000:
+            day, first = t // 86_400_000_000, t
+        want.setdefault(first, []).append(i)
+    got = H.detect_batches(spark.createDataFrame(rows, "scan_id long, t long").select("scan_id", F.timestamp_micros("t").alias("scan_time")))
+    assert sorted((r.newest_us, r.scans, r.least_id) for r in got.collect()) == sorted((k, len(v), min(v)) for k, v in want.items() if len(v) > 1)
+    assert "collect_list" not in got._jdf.queryExecution().toString()
+
+
 def test_changes_and_latest(spark):
     s = scans(spark, [(1, 7, 0, 50), (2, 7, 10, 70), (3, 8, 5, 10)])
     got = {r.scan_id: (r.scan_number, r.score_change, r.is_rescan) for r in H.scan_changes(s).collect()}
