@@ -7,6 +7,9 @@ of each sub-space's code book. A query probes its nearest cells: tables of dista
 code book entries give each member's approximate distance by look-ups, the best `rerank` candidates are joined to the
 original vectors, and their distances are computed exactly.
 
+No cell's share of those candidates is cut: a cell hands on all members within a bound, the distance of the sample's
+`rerank`-th member, and `rerank` of them if there are more.
+
 Equal vectors are one entry of the index that stands for all their ids, so a vector that fills a third of the table
 costs one row; as only the k nearest are asked for, its k+1 smallest ids answer for the rest, exactly. Cells are cut
 into blocks and a cell's queries into groups by counted sizes, so that no task gets more than about `block_rows`
@@ -30,7 +33,7 @@ from pyspark.sql import functions as F
 
 from inkwell.llm.common import written
 
-K, RERANK, PER_CELL = 10, 250, 40
+K, RERANK = 10, 500
 #: Cells are probed until so many of the sample's own nearest neighbours are covered.
 COVERED, TRIED = 0.97, 256
 SAMPLE_ROWS, MOST_CELLS = 20_000, 4096
@@ -84,6 +87,9 @@ class Index:
         left = self.split(x - self.cells[nearest(x, self.cells, 1)[:, 0]])
         self.probes = self.enough_probes(x[rng.permutation(len(x))[:TRIED]], x)
         self.books = np.stack([k_means(left[:, p], min(CODES, len(x)), 6, rng) for p in range(self.parts)])
+        cell, codes = self.assign(x)
+        order = np.argsort(cell, kind="stable")
+        self.known, self.cuts = codes[order], np.searchsorted(cell[order], np.arange(len(self.cells) + 1))
 
     def enough_probes(self, tried: np.ndarray, x: np.ndarray) -> int:
         order = nearest(tried, self.cells, len(self.cells))
@@ -110,6 +116,22 @@ class Index:
         left = self.split(queries - self.cells[cell])
         return ((left[:, :, None, :] - self.books[None]) ** 2).sum(3)
 
+    def bound(self, queries: np.ndarray, cells: np.ndarray, n: int) -> np.ndarray:
+        """For each query a distance that n members of its cells do not pass: that of the sample's n-th, as the sample is of members."""
+        out, parts = np.full(len(queries), np.inf), np.arange(self.parts)
+        for a in range(0, len(queries) if n <= len(self.known) else 0, 64):
+            near = np.full((len(queries[a : a + 64]), len(self.known)), np.inf)
+            flat = cells[a : a + 64].ravel()
+            order = np.argsort(flat, kind="stable")
+            names, starts = np.unique(flat[order], return_index=True)
+            for cell, at in zip(names, np.split(order // cells.shape[1], starts[1:]), strict=True):
+                own = slice(self.cuts[cell], self.cuts[cell + 1])
+                if own.start < own.stop:
+                    for q, table in zip(at, self.tables(queries[a : a + 64][at], cell), strict=True):
+                        near[q, own] = table[parts, self.known[own]].sum(1)
+            out[a : a + 64] = np.partition(near, n - 1, axis=1)[:, n - 1]
+        return out * (1 + 1e-9)
+
 
 def fit(distinct: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Index | None:
     rows, dims = distinct.count(), distinct.select(F.size("v")).first()
@@ -134,8 +156,8 @@ def indexed(distinct: DataFrame, index: Index) -> DataFrame:
     return distinct.select("same", "v").mapInArrow(run, "same string, cell long, codes binary")
 
 
-def probed(queries: DataFrame, index: Index, probes: int) -> DataFrame:
-    """(query, v, cell) for the cells that each distinct query looks into."""
+def probed(queries: DataFrame, index: Index, probes: int, rerank: int) -> DataFrame:
+    """(query, v, cell, bound) for the cells that each distinct query looks into; none of its `rerank` best is beyond the bound."""
     shared = queries.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,9 +167,9 @@ def probed(queries: DataFrame, index: Index, probes: int) -> DataFrame:
                 n = min(probes, len(shared.value.cells))
                 cells = nearest(x, shared.value.cells, n)
                 at = pa.array(np.repeat(np.arange(b.num_rows), n))
-                yield pa.RecordBatch.from_arrays([b.column("same").take(at), b.column("v").take(at), pa.array(cells.ravel())], ["query", "v", "cell"])
+                yield pa.RecordBatch.from_arrays([b.column("same").take(at), b.column("v").take(at), pa.array(cells.ravel()), pa.array(shared.value.bound(x, cells, rerank)).take(at)], ["query", "v", "cell", "bound"])
 
-    return queries.select("same", "v").mapInArrow(run, "query string, v array<double>, cell long")
+    return queries.select("same", "v").mapInArrow(run, "query string, v array<double>, cell long, bound double")
 
 
 def dealt(rows: DataFrame, counts: DataFrame, own: Column, other: str, of: str) -> DataFrame:
@@ -156,8 +178,8 @@ def dealt(rows: DataFrame, counts: DataFrame, own: Column, other: str, of: str)
     return rows.join(counts, "cell").select(*rows.columns, own.alias(of), every)
 
 
-def candidates(members: DataFrame, looks: DataFrame, index: Index, rerank: int, block_rows: int, group_rows: int, per_cell: int = PER_CELL) -> DataFrame:
-    """(query, same): for each query its `rerank` best members by approximate distance, `per_cell` from a block of a cell at most."""
+def candidates(members: DataFrame, looks: DataFrame, index: Index, rerank: int, block_rows: int, group_rows: int) -> DataFrame:
+    """(query, same): for each query its `rerank` best members by approximate distance; a block of a cell hands on as many within the query's bound, so none of them is lost."""
     shared = members.sparkSession.sparkContext.broadcast(index)
     blocks = members.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("parts_block"))
     groups = looks.groupBy("cell").agg(F.ceil(F.count("*") / group_rows).cast("int").alias("parts_group"))
@@ -173,9 +195,10 @@ def candidates(members: DataFrame, looks: DataFrame, index: Index, rerank: int,
         parts = np.arange(codes.shape[1])
         for a in range(0, len(asked), 64):
             some = asked.iloc[a : a + 64]
-            for q, table in zip(some["query"], shared.value.tables(np.stack(some["v"]), int(key[0])), strict=True):
+            for q, bound, table in zip(some["query"], some["bound"], shared.value.tables(np.stack(some["v"]), int(key[0])), strict=True):
                 d = table[parts, codes].sum(1)
-                best = np.argpartition(d, per_cell - 1)[:per_cell] if per_cell < len(d) else np.arange(len(d))
+                best = np.flatnonzero(d <= bound)
+                best = best[np.argpartition(d[best], rerank - 1)[:rerank]] if rerank < len(best) else best
                 found.append(same[best])
                 near.append(d[best])
                 of.append((q, len(best)))
@@ -208,7 +231,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_
     members = written(indexed(distinct, index), "ann-index")
     asked = good.where(is_query).select("vec_id", "same").distinct()
     queries = distinct.join(asked.select("same").distinct(), "same", "left_semi")
-    near = candidates(members, probed(queries, index, probes or index.probes), index, rerank, block_rows, group_rows)
+    near = candidates(members, probed(queries, index, probes or index.probes, rerank), index, rerank, block_rows, group_rows)
     pairs = near.join(distinct.select("same", F.col("v").alias("b")), "same").join(distinct.select(F.col("same").alias("query"), F.col("v").alias("a")), "query")
     exact = pairs.select("query", "same", distance(F.col("a"), F.col("b")).alias("score"))
     expanded = exact.join(ids.select("same", "vec_id"), "same")

@@ -1,4 +1,6 @@
 import numpy as np
+import pandas as pd
+import pytest
 import pyspark.sql.functions as F
 
 from inkwell.llm import ann as A
@@ -53,6 +55,21 @@ def test_recall_on_the_table(spark, sf):
     assert sorted(got) == sorted(want) and recall(got, want) >= 0.9
 
 
+@pytest.mark.parametrize("kind", ["clusters", "near copies"])
+def test_recall_with_thousands_of_rows_a_cell(spark, tmp_path, monkeypatch, kind):
+    rng, n = np.random.default_rng(3), 24_000
+    centers = rng.normal(size=(60, 64))
+    x = centers[np.where(rng.random(n) < 1 / 3, 0, rng.integers(1, 60, n))] + 0.3 * rng.normal(size=(n, 64))
+    if kind == "near copies":
+        x = np.repeat(x[: n // 12], 12, 0) + 0.01 * rng.normal(size=(n, 64))
+    rows = list(enumerate(x.tolist()))
+    pd.DataFrame(rows, columns=["vec_id", "embedding"]).to_parquet(tmp_path / "v.parquet")
+    monkeypatch.setattr(A, "MOST_CELLS", 8)
+    want = brute(rows, lambda i: i % 300 == 0)
+    got = answers(A.search(spark.read.parquet(str(tmp_path / "v.parquet")), F.col("vec_id") % 300 == 0, sample_rows=6000))
+    assert sorted(got) == sorted(want) and recall(got, want) >= 0.9
+
+
 def test_few_and_no_rows(spark):
     schema = "vec_id long, embedding array<float>, rank int"
     assert A.search(spark.createDataFrame([], schema), F.col("vec_id") >= 0).count() == 0
