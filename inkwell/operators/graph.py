@@ -6,22 +6,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def role_hierarchy(edges: DataFrame, most_levels: int = 20) -> DataFrame:
+def role_hierarchy(edges: DataFrame) -> DataFrame:
     """(node, depth, root) of child-parent edges; roots are parents that are nobody's child, at depth 0.
 
-    One join a level, over the frontier alone; circles without a root are not reached, and `most_levels` bounds the
-    walk. A node that is reached by several ways keeps its least depth and root.
+    One join a level, over the frontier alone: nodes not reached before, or from a lesser root; it runs empty on circles
+    too, and those without a root are not reached. A node that is reached by several ways keeps its least depth and its
+    least root.
     """
     roots = edges.select(F.col("parent").alias("node")).join(edges.select(F.col("child").alias("node")), "node", "left_anti").distinct()
-    level = roots.select("node", F.lit(0).alias("depth"), F.col("node").alias("root")).checkpoint()
-    out = level
-    for depth in range(1, most_levels + 1):
-        level = edges.join(level, edges["parent"] == level["node"]).select("child", F.lit(depth).alias("depth"), "root")
-        level = level.groupBy(F.col("child").alias("node")).agg(F.min("depth").alias("depth"), F.min("root").alias("root")).checkpoint()
-        if not level.limit(1).count():
-            break
-        out = out.unionByName(level)
-    return out.groupBy("node").agg(F.min(F.struct("depth", "root")).alias("best")).select("node", "best.depth", "best.root")
+    out = level = roots.select("node", F.lit(0).alias("depth"), F.col("node").alias("root")).checkpoint()
+    while level.limit(1).count():
+        found = edges.join(level, edges["parent"] == level["node"]).groupBy(F.col("child").alias("node")).agg(F.min(F.col("depth") + 1).alias("depth"), F.min("root").alias("root"))
+        known = out.select("node", F.col("depth").alias("was"), F.col("root").alias("was_root"))
+        new = found.join(known, "node", "left").where("was_root is null or root < was_root")
+        level = new.select("node", F.least("depth", "was").alias("depth"), "root").checkpoint()
+        out = out.join(level.select("node"), "node", "left_anti").unionByName(level).checkpoint()
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:

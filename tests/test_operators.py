@@ -116,6 +116,13 @@ def test_hierarchy_and_components(spark):
     assert {r.node: r.root for r in G.components(chain).collect()} == {**{i: 0 for i in range(1, 41)}, 91: 90}
 
 
+def test_hierarchies_have_no_deepest_level_and_end_on_circles(spark):
+    rows = [(f"n{i + 1:02}", f"n{i:02}") for i in range(24)] + [("n05", "n24"), ("n24", "b"), ("b", "a")]
+    got = {r.node: (r.depth, r.root) for r in G.role_hierarchy(spark.createDataFrame(rows, "child string, parent string")).collect()}
+    # n05 is above and below n24; every node from it on is reached from a as well
+    assert got == {"a": (0, "a"), "b": (1, "a"), **{f"n{i:02}": (i if i < 5 else 2 if i == 24 else i - 2, "n00" if i < 5 else "a") for i in range(25)}}
+
+
 def test_fuzzy_suggestions_equal_brute_force(spark):
     def distance(a, b):
         row = list(range(len(b) + 1))
