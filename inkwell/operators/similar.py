@@ -37,10 +37,14 @@ def deletions(word: Column) -> Column:
 def fuzzy_suggest(words: DataFrame, dictionary: DataFrame, most: int = 2, top: int = 10) -> DataFrame:
     """(word, term, distance, place): dictionary terms within `most` (at most 2) edits, nearest first.
 
-    Both sides are keyed by what is left after deletions, so only words that can be near meet.
+    Both sides are keyed by what is left after deletions, so only words that can be near meet; words and terms without
+    one of the other side within `most` characters of their length get no keys.
     """
-    left = words.select("word").distinct().select("word", F.explode(deletions(F.col("word"))).alias("key"))
-    right = dictionary.select(F.col("word").alias("term")).distinct().select("term", F.explode(deletions(F.col("term"))).alias("key"))
+    asked, terms = words.select("word").distinct(), dictionary.select(F.col("word").alias("term")).distinct()
+    spread = lambda df, c: df.select(F.length(c).alias("n")).distinct().select(F.explode(F.sequence(F.col("n") - most, F.col("n") + most)).alias("n")).distinct()
+    asked, terms = asked.join(spread(terms, "term"), F.length("word") == F.col("n"), "left_semi"), terms.join(spread(asked, "word"), F.length("term") == F.col("n"), "left_semi")
+    left = asked.select("word", F.explode(deletions(F.col("word"))).alias("key"))
+    right = terms.select("term", F.explode(deletions(F.col("term"))).alias("key"))
     pairs = left.join(right, "key").where(F.abs(F.length("word") - F.length("term")) <= most).select("word", "term").distinct()
     near = pairs.withColumn("distance", F.levenshtein("word", "term", most)).where("distance >= 0")
     return top_k(near, ["word"], [F.asc("distance"), F.asc("term")], top)

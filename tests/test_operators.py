@@ -123,6 +123,13 @@ def test_hierarchies_have_no_deepest_level_and_end_on_circles(spark):
     assert got == {"a": (0, "a"), "b": (1, "a"), **{f"n{i:02}": (i if i < 5 else 2 if i == 24 else i - 2, "n00" if i < 5 else "a") for i in range(25)}}
 
 
+def test_suggestions_for_unknown_words_of_documents(spark):
+    docs = spark.createDataFrame([(1, "known knwon " + "z" * 3_000)], "doc_id long, text string")
+    terms = spark.createDataFrame([("known",), ("w" * 1_500,)], "word string")
+    got = S.fuzzy_suggest(S.unknown_words(docs, terms), terms).collect()
+    assert [(r.word, r.term, r.distance) for r in got] == [("knwon", "known", 2)]
+
+
 def test_fuzzy_suggestions_equal_brute_force(spark):
     def distance(a, b):
         row = list(range(len(b) + 1))
