@@ -20,6 +20,7 @@ import random
 import re
 import uuid
 import zlib
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -60,16 +61,18 @@ def features(text: str) -> np.ndarray:
     return np.unique(np.array([bucket(w) for w in set(words_of(text))], np.int64))
 
 
-def counterfactuals(text: str, rng: random.Random, most: int = 4) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(features only in the sentence, features only in its copy) for swapped and dropped identity terms."""
+def counterfactuals(text: str, rng: random.Random) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(features only in the sentence, features only in its copy) for every identity term, swapped and dropped."""
     out = []
     for sentence in SENTENCE.split(text):
-        words = words_of(sentence)
-        for term in sorted({w for w in words if w in SWAPS})[:most]:
+        words = set(words_of(sentence))
+        terms = sorted(w for w in words if w in SWAPS)
+        times = Counter(map(bucket, words)) if terms else {}
+        for term in terms:
             for other in (rng.choice(SWAPS[term]), None):
-                copy = {other if w == term else w for w in words} - {None}
-                before, after = {bucket(w) for w in words}, {bucket(w) for w in copy}
-                out.append((np.array(sorted(before - after), np.int64), np.array(sorted(after - before), np.int64)))
+                gone, new = bucket(term), None if other is None else bucket(other)
+                before = [gone] if times[gone] == 1 and gone != new else []
+                out.append((np.array(before, np.int64), np.array([] if new is None or new in times else [new], np.int64)))
     return out
 
 

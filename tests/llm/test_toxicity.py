@@ -48,6 +48,16 @@ def test_learns_and_defines_odd_rows(spark):
     assert by[1000] == by[1001] < 0.5 and by[None] >= 0.7
 
 
+def test_every_identity_term_of_a_sentence_is_swapped():
+    words = {"arab", "black", "gay", "jewish", "muslim", "white", "women", "young", "people"}
+    pairs = X.counterfactuals(" ".join(sorted(words)), random.Random(0))
+    assert len(pairs) == 16 and {int(b) for before, _ in pairs for b in before} == {X.bucket(w) for w in words - {"people"}}
+    rng = random.Random(0)
+    for (before, after), (term, other) in zip(pairs, [(t, o) for t in sorted(words - {"people"}) for o in (rng.choice(X.SWAPS[t]), None)], strict=True):
+        a, b = {X.bucket(w) for w in words}, {X.bucket(w) for w in (words - {term} | {other}) - {None}}
+        assert set(before.tolist()) == a - b and set(after.tolist()) == b - a
+
+
 def test_no_labels_one_class_no_rows(spark):
     rows, labels = data(9)
     docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
