@@ -42,12 +42,13 @@ def normalised(text: str) -> bytes:
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", dictionary_bytes: int = DICTIONARY_BYTES, sample_rows: int = SAMPLE_ROWS) -> dict[str, bytes]:
     """A raw-content dictionary for each language of the labelled rows.
 
-    The rows of least hash are found from ids alone; only their texts, a bounded number, reach the driver.
+    The rows of least hash are found from ids alone; only their texts, a bounded number, reach the driver. Of
+    rows that share id and language the least text stands for all.
     """
     fits = F.length(text_col).between(1, LONGEST_ROW) & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()
-    sample = spread_sample(labelled.where(fits).select(id_col, lang_col), lang_col, id_col, "dictionary", sample_rows)
+    sample = spread_sample(labelled.where(fits).select(id_col, lang_col).distinct(), lang_col, id_col, "dictionary", sample_rows)
     chosen = sample.select(F.col(id_col).alias("chosen"), F.col(lang_col).alias("of"), F.col("place").alias("rank"))
-    rows = labelled.where(fits).join(F.broadcast(chosen), (F.col(id_col) == F.col("chosen")) & (F.col(lang_col) == F.col("of"))).select("of", "rank", text_col).collect()
+    rows = labelled.where(fits).join(F.broadcast(chosen), (F.col(id_col) == F.col("chosen")) & (F.col(lang_col) == F.col("of"))).groupBy("of", "rank").agg(F.min(text_col)).collect()
     lines: dict[str, tuple[dict, dict]] = {}
     for of, rank_of, text in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
         lines.setdefault(of, ({}, {}))[rank_of % 2].update(dict.fromkeys(x for x in map(normalised, text.split("\n")) if x))

@@ -33,6 +33,12 @@ def test_narrow_margins_are_rejected(spark):
     assert all(r.rejected for r in L.identify(df, d, margin=0.9).collect())
 
 
+def test_copies_of_an_id_take_one_place_of_the_sample(spark):
+    own = {i: f"the line with {chr(96 + i) * 5} of its own" for i in range(1, 21)}
+    df = spark.createDataFrame([(i, t, "en") for i, t in own.items() for _ in range(300)], "doc_id long, text string, lang string")
+    assert sorted(L.fit(df)["en"].decode().split("\n")) == sorted(own.values())
+
+
 def test_no_labels_and_no_rows(spark):
     df = spark.createDataFrame(rows(), "doc_id long, text string, lang string")
     assert L.fit(df.limit(0)) == {}
