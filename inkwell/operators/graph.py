@@ -24,26 +24,41 @@ def role_hierarchy(edges: DataFrame) -> DataFrame:
     return out
 
 
+#: A key with more than one in so many rows of a join is joined by broadcast.
+HUBS = 1_000
+
+
+def with_hubs(many: DataFrame, one: DataFrame, key: list[str], count_col: str, total: int, how: str = "inner") -> DataFrame:
+    """many joined to one, which has a row a key with the number of rows of `many` that have it; no key fills a task.
+
+    At most HUBS keys can have over a HUBS-th of the `total` rows each, which bounds the broadcast; the others are
+    joined as usual.
+    """
+    hub = F.col(count_col) * HUBS > total
+    hubs, rest = F.broadcast(one.where(hub)), one.where(~hub)
+    return many.join(hubs, key).unionByName(many.join(hubs.select(*key), key, "left_anti").join(rest, key, how))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the least node reachable, for every node that has an edge. Edges: a, b (of one ordered type).
 
-    Large-star and small-star steps in turn; each is two aggregations and a join, no list of neighbours is ever held,
-    and every turn's edges are checkpointed in the shared folder.
+    Large-star and small-star steps in turn, until the edges are stars: no centre is another's leaf, no leaf has two
+    centres. Each step is an aggregation and a join in which hubs are broadcast; no list of neighbours is ever held, and
+    every turn's edges are checkpointed in the shared folder.
     """
     both_ways = F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))
-    edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().checkpoint()
-    before = None
+    edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct().checkpoint()
     while True:
-        both = edges.select(F.inline(both_ways))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
-        small = large.join(least, large["a"] == least["u"])
-        edges = small.select(F.inline(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("u").alias("a"), F.col("m").alias("b"))))).where("a <> b").distinct().checkpoint()
-        now = edges.agg(F.count("*"), F.sum(F.hash("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
+        leaves = edges.groupBy(F.col("a").alias("b")).count()
+        inner = edges.select("b").distinct().join(leaves.select("b"), "b", "left_semi")
+        if not inner.limit(1).count() and not leaves.where("count > 1").limit(1).count():
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        before = now
+        both, total = edges.select(F.inline(both_ways)), 2 * edges.count()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+        large = with_hubs(both.where("v > u"), least, ["u"], "n", total).select(F.col("v").alias("u"), F.col("m").alias("b")).where("u <> b").distinct().checkpoint()
+        least = large.groupBy("u").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = with_hubs(large, least, ["u"], "n", total)
+        edges = small.select(F.inline(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("u").alias("a"), F.col("m").alias("b"))))).where("a <> b").distinct().checkpoint()
 
 
 def cooccurrence(mentions: DataFrame, least: int, top: int) -> DataFrame:
