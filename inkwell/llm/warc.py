@@ -5,13 +5,17 @@ latest full response of the same canonical URL before it. The join is accepted i
 tags where both sides have one, else equal Last-Modified dates. The result takes the payload of the response and its
 headers, updated by those headers of the revisit that a 304 response may update.
 
-The as-of join survives a URL with most of the records: each (URL, time bucket) first finds its last response by an
-aggregation, a window over the buckets of a URL carries it forward, and only inside a bucket records are ordered. Only
-(date, id) of responses is carried; their headers are joined afterwards, and payloads stay out of every shuffle.
+The as-of join survives a URL with most of the records: records are first summed up by (URL, date), each (URL, day)
+finds its last response by an aggregation, a window over the days of a URL carries it forward, and only the dates of
+a day, 86,400 if they are whole seconds, are ordered. Revisits are joined to their (URL, date) and then to the response; a date or a
+response with many revisits is joined by broadcast. Only (date, id) of responses is carried; their headers are joined
+afterwards, and payloads stay out of every shuffle.
 
 Defined results: a revisit without an earlier response has outcome `no_response`, with other validators `changed`;
 equal dates are not earlier; of responses with one date the greatest record id wins; null URLs match nothing; records
-with null dates are never matched; repeated header names keep the last value; repeated records each get a row.
+with null dates are never matched; repeated header names keep the last value; repeated records each get a row; of
+responses that share an id the one with the least payload digest is referred to; very long payloads are only digested
+and counted; other columns of any name are ignored.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ from pyspark.sql import functions as F
 
 from inkwell.llm.common import written
 from inkwell.llm.urlfilter import lower_ascii
+from inkwell.operators.graph import with_hubs
 
 #: Headers of a 304 response that update the stored ones (RFC 7232, section 4.1, and Last-Modified).
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
@@ -70,18 +75,21 @@ def resolve(records: DataFrame, bucket_seconds: int = BUCKET_SECONDS) -> DataFra
     payload = F.when(F.col("type") == "response", F.col("payload"))
     slim = written(records.select("record_id", "type", "url", "date", "headers", canonical(F.col("url")).alias("page"), F.sha2(payload, 256).alias("payload_sha256"), F.octet_length(payload).alias("payload_bytes")), "warc-records")
     full = slim.where("type = 'response'")
-    place = F.when((F.col("type") == "response"), F.struct("date", "record_id"))
-    points = slim.where("page is not null and date is not null and type in ('response', 'revisit')").select("page", "date", "type", "record_id", place.alias("place"), F.floor(F.unix_timestamp("date") / bucket_seconds).alias("bucket"))
-    per = points.groupBy("page", "bucket").agg(F.max("place").alias("newest"))
-    earlier = Window.partitionBy("page").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    carried = per.select("page", "bucket", F.last("newest", ignorenulls=True).over(earlier).alias("carried"))
-    # at one date revisits come first, so that only earlier responses are seen
-    inside = Window.partitionBy("page", "bucket").orderBy("date", F.col("type") == "response", "record_id").rowsBetween(Window.unboundedPreceding, -1)
-    seen = points.withColumn("seen", F.last("place", ignorenulls=True).over(inside)).where("type = 'revisit'")
-    matched = seen.join(carried, ["page", "bucket"]).select(F.col("record_id").alias("of"), F.col("date").alias("at"), F.coalesce("seen", "carried")["record_id"].alias("refers_to")).distinct()
-    found = slim.where("type = 'revisit'").select("record_id", "url", "date", "headers").join(matched, (F.col("record_id") == F.col("of")) & (F.col("date") == F.col("at")), "left")
-    source = full.select(F.col("record_id").alias("source"), F.col("headers").alias("stored"), "payload_sha256", "payload_bytes").dropDuplicates(["source"])
-    both = found.join(source, F.col("refers_to") == F.col("source"), "left")
+    place = F.when(F.col("type") == "response", F.struct("date", "record_id"))
+    points = slim.where("page is not null and date is not null and type in ('response', 'revisit')")
+    moments = written(points.groupBy("page", "date").agg(F.max(place).alias("newest"), F.count_if(F.col("type") == "revisit").alias("n")).withColumn("bucket", F.floor(F.unix_timestamp("date") / bucket_seconds)), "warc-moments")
+    per = moments.groupBy("page", "bucket").agg(F.max("newest").alias("last"))
+    earlier = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    carried = per.select("page", "bucket", F.last("last", ignorenulls=True).over(earlier("page").orderBy("bucket")).alias("carried"))
+    seen = moments.withColumn("seen", F.last("newest", ignorenulls=True).over(earlier("page", "bucket").orderBy("date"))).where("n > 0")
+    matched = written(seen.join(carried, ["page", "bucket"]).select("page", "date", F.coalesce("seen", "carried")["record_id"].alias("refers_to"), "n"), "warc-matches")
+    asked = slim.where("type = 'revisit'").select("record_id", "url", "date", "headers", "page", "date")
+    total = asked.count()
+    found = with_hubs(asked, matched, ["page", "date"], "n", total, "left").drop("n")
+    times = matched.where("refers_to is not null").groupBy("refers_to").agg(F.sum("n").alias("n"))
+    kept = F.min(F.struct("payload_sha256", "payload_bytes", F.array_sort(F.map_entries("headers")).alias("stored"))).alias("kept")
+    source = full.groupBy(F.col("record_id").alias("refers_to")).agg(kept).select("refers_to", F.col("refers_to").alias("source"), F.map_from_entries("kept.stored").alias("stored"), "kept.payload_sha256", "kept.payload_bytes").join(times, "refers_to")
+    both = with_hubs(found, source, ["refers_to"], "n", total, "left")
     new, old = F.col("headers"), F.col("stored")
     tags = new["etag"].isNotNull() & old["etag"].isNotNull()
     agrees = F.when(tags, new["etag"] == old["etag"]).otherwise(F.coalesce(new["last-modified"] == old["last-modified"], F.lit(False)))
