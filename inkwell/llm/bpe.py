@@ -2,21 +2,21 @@
 
 Every task cuts its documents into words with the tokenizer's pattern, keeps the distinct words it has not met yet,
 and hands them to one recursive DuckDB query: rows (spot = word and position, token, rank of the pair that starts here)
-join the merge table, and each turn contracts the leftmost pair of least rank of every word until no pair is left.
+join the merge table, and each turn contracts the leftmost pair of least rank of every word until no pair is left. The
+recursion is keyed by spot, so it holds one row a byte however many turns a word takes.
 Decoding unnests the ids with their positions, joins the vocabulary, and concatenates by an ordered aggregation.
 There is no shuffle; memory is bounded by the word cache and by the size of the groups handed to DuckDB.
 
 Defined results: a null or empty text has no ids, n_tokens 0 and decodes to zero bytes; ids outside the vocabulary
 raise an error; columns of the input other than the id and the text are passed through `encode` untouched.
-A word of more than `LONG_WORD` bytes would make the recursion keep a quadratic number of rows, so such words are
-contracted by the same rule with a priority queue instead; natural text has none.
+All words take this one way; as a turn contracts one pair of each word, the time of a single word of n bytes grows with
+the square of n (about 4 s for 3,000 letters), its memory with n.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -26,36 +26,34 @@ from pyspark.sql import types as T
 
 from inkwell.llm.common import by_small_batches, fresh_name, kept, slices, with_fields
 
-LONG_WORD = 256
 CACHE = 400_000
 GROUP_BYTES = 4_000_000
 DECODE_TOKENS = 400_000
-SQUARES = 6_000_000
+WORD_BYTES = 600_000
 
 MERGE_SQL = """
-WITH RECURSIVE s AS (
-  SELECT spot, tok, rank, true AS live FROM start
+WITH RECURSIVE s(spot, tok, rank, live) USING KEY (spot) AS (
+  SELECT spot, tok, rank, true FROM start
   UNION ALL
-  SELECT n.spot, n.tok, m.rank, n.hit IS NOT NULL
+  SELECT n.spot, CASE WHEN NOT n.gone THEN n.tok END, m.rank, n.hit IS NOT NULL AND NOT n.gone
   FROM (
-    SELECT spot, hit, CASE WHEN spot = hit THEN merged ELSE tok END AS tok,
+    SELECT spot, hit, coalesce(spot0 = hit, false) AS gone, CASE WHEN spot = hit THEN merged ELSE tok END AS tok,
       CASE WHEN spot = hit THEN next2 WHEN spot1 = hit THEN merged ELSE next1 END AS nxt
     FROM (
-      SELECT r.spot, tok, spot0, spot1, CASE WHEN spot1 >> 16 = r.spot >> 16 THEN next1 END AS next1,
-        CASE WHEN spot2 >> 16 = r.spot >> 16 THEN next2 END AS next2,
-        (w << 16) | (best & 65535) AS hit, (best >> 16)::INTEGER AS merged
+      SELECT r.spot, tok, spot0, spot1, CASE WHEN (spot1 >> 32) = (r.spot >> 32) THEN next1 END AS next1,
+        CASE WHEN (spot2 >> 32) = (r.spot >> 32) THEN next2 END AS next2,
+        (w << 32) | (best & 4294967295) AS hit, (best >> 32)::INTEGER AS merged
       FROM (
         SELECT spot, tok, lag(spot) OVER o AS spot0, lead(spot) OVER o AS spot1, lead(spot, 2) OVER o AS spot2,
           lead(tok) OVER o AS next1, lead(tok, 2) OVER o AS next2
         FROM s WHERE live WINDOW o AS (ORDER BY spot)
       ) r LEFT JOIN (
-        SELECT spot >> 16 AS w, min((rank::BIGINT << 16) | (spot & 65535)) AS best FROM s WHERE live GROUP BY 1
-      ) b ON b.w = r.spot >> 16
+        SELECT spot >> 32 AS w, min((rank::BIGINT << 32) | (spot & 4294967295)) AS best FROM s WHERE live GROUP BY 1
+      ) b ON b.w = (r.spot >> 32)
     )
-    WHERE spot0 IS DISTINCT FROM hit OR hit IS NULL
   ) n LEFT JOIN merges m ON m.pair = ((n.tok::BIGINT << 32) | n.nxt)
 )
-SELECT spot >> 16 AS w, tok FROM s WHERE NOT live ORDER BY spot
+SELECT spot >> 32 AS w, tok FROM s WHERE tok IS NOT NULL ORDER BY spot
 """
 DECODE_SQL = """
 SELECT doc, list(v.piece ORDER BY spot) AS pieces
@@ -107,7 +105,6 @@ class Codec:
                 if x is not None and y is not None:
                     pair.append(x << 32 | y)
                     rank.append(r)
-        self.pairs: dict[int, int] = {}  # filled for a very long word
         self.first = np.full(65536, -1, np.int32)
         for b, r in ranks.items():
             if len(b) == 2:
@@ -134,7 +131,7 @@ class Codec:
         length = np.array([len(b) for b in words])
         start = np.cumsum(length) - length
         raw = np.frombuffer(b"".join(words), np.uint8)
-        spot = np.repeat((np.arange(len(words)) << 16) - start, length) + np.arange(len(raw))
+        spot = np.repeat((np.arange(len(words)) << 32) - start, length) + np.arange(len(raw))
         rank = np.r_[self.first[raw[:-1].astype(np.int32) << 8 | raw[1:]], -1]
         rank[start[1:] - 1] = -1
         out = self._query("start", {"spot": spot, "tok": self.byte[raw], "rank": pa.array(rank, mask=rank < 0)}, MERGE_SQL)
@@ -142,28 +139,6 @@ class Codec:
         cuts = [0, *((np.flatnonzero(np.diff(w)) + 1) * 4).tolist(), len(ids)]
         return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
-    def merge_by_queue(self, word: bytes) -> bytes:
-        """The ids of one very long word: the same contractions, found with a priority queue."""
-        if not self.pairs:
-            self.pairs = dict(self.con.sql("SELECT pair, rank FROM merges").fetchall())
-        tok, n, pairs = self.byte[np.frombuffer(word, np.uint8)].tolist(), len(word), self.pairs
-        nxt, prv, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-        rank = lambda i: pairs.get(tok[i] << 32 | tok[nxt[i]]) if nxt[i] < n else None
-        heap = [(r, i) for i in range(n) if (r := rank(i)) is not None]
-        heapq.heapify(heap)
-        while heap:
-            r, i = heapq.heappop(heap)
-            if not alive[i] or rank(i) != r:
-                continue
-            j = nxt[i]
-            tok[i], alive[j], nxt[i] = r, False, nxt[j]
-            if nxt[j] < n:
-                prv[nxt[j]] = i
-            for k in (prv[i], i):
-                if k >= 0 and (r := rank(k)) is not None:
-                    heapq.heappush(heap, (r, k))
-        return np.array([t for t, a in zip(tok, alive, strict=True) if a], np.int32).tobytes()
-
     def learn_words(self, words: Iterable[str]) -> None:
         known, todo = self.words, []
         for w in words:
@@ -171,15 +146,13 @@ class Codec:
             r = self.ranks.get(b)
             if r is not None:
                 known[w] = np.int32(r).tobytes()
-            elif len(b) > LONG_WORD:
-                known[w] = self.merge_by_queue(b)
             else:
                 todo.append((w, b))
         at = 0
         while at < len(todo):
-            end, squares = at, 0
-            while end < len(todo) and (squares < SQUARES or end == at):
-                squares += len(todo[end][1]) ** 2
+            end, size = at, 0
+            while end < len(todo) and (size < WORD_BYTES or end == at):
+                size += len(todo[end][1])
                 end += 1
             for (w, _), ids in zip(todo[at:end], self.merge_by_sql([b for _, b in todo[at:end]]), strict=True):
                 known[w] = ids
