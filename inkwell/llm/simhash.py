@@ -4,7 +4,8 @@ A fingerprint is 8 bytes. Two that differ in at most 4 bits share at least 4 of
 guaranteed minimum of matches. Tallying single positional bytes would emit about N*N/64 tallies for N fingerprints,
 so postings are keyed by three positional bytes at once: the 20 triples of `TRIPLES` are such that any four positions
 contain one of them, hence every pair that reaches the minimum meets in at least one posting list. Inside a list the
-shared positional bytes of each pair are tallied, pairs below the minimum go, and the rest are verified by their bits.
+shared positional bytes of each pair are tallied, pairs below the minimum go, and only the rest are verified by their
+bits. The filter is a necessary condition of a link: it saves verifications and changes no result.
 
 Work is done on distinct fingerprints, so exact copies cost nothing. A posting list emits the edges of a spanning
 forest of its links, not all pairs: the components are the same. A list longer than `list_limit` is not sent to one
@@ -13,7 +14,8 @@ no linked pair escapes, down to lists that at most 2^16 distinct fingerprints ca
 
 Defined results: null and empty texts have fingerprint zero and are linked like any other; repeated rows each get a
 row; a null doc_id gets the fingerprint of its text and takes no part in the choice of the smallest id (component_id
-is null if all ids of a component are null); other columns are ignored.
+is null if all ids of a component are null); equal ids with other texts are other documents; a very long text is
+hashed whole, 16,384 shingles at a time; other columns of any name are ignored, and `one_of_each` returns them untouched.
 """
 
 from __future__ import annotations
@@ -26,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import by_small_batches, kept, slices, written
-from inkwell.operators.graph import components
+from inkwell.llm.common import by_small_batches, fresh_name, kept, slices, written
+from inkwell.operators.graph import components, with_hubs
 
 MAX_BITS = 4
 SHINGLE_WORDS = 4
@@ -129,6 +131,14 @@ def dealt_anew(hot: DataFrame, step: int) -> DataFrame:
     return hot.join(F.broadcast(plan), "list").select(F.col("finer").alias("list"), F.expr(more).alias("key"), "fp")  # at most 10,000 rows, whatever the data
 
 
+def linked(many: np.ndarray, other: np.ndarray | np.uint64) -> np.ndarray:
+    """Where these fingerprints link with the other ones: tally the shared positional bytes, then verify what is left."""
+    differ = many ^ other
+    shared = (differ.view(np.uint8).reshape(-1, 8) == 0).sum(1)
+    enough = np.flatnonzero(shared >= MIN_SHARED)
+    return enough[np.bitwise_count(differ[enough]) <= MAX_BITS]
+
+
 def forest(fps: np.ndarray) -> list[tuple[int, int]]:
     """Edges of a forest that connects what is linked among these distinct fingerprints.
 
@@ -140,13 +150,11 @@ def forest(fps: np.ndarray) -> list[tuple[int, int]]:
         if not todo:
             todo, left = [int(left[0])], left[1:]
         i = todo.pop()
-        differ = fps[left] ^ fps[i]
-        shared = (differ.view(np.uint8).reshape(-1, 8) == 0).sum(1)
-        near = (shared >= MIN_SHARED) & (np.bitwise_count(differ) <= MAX_BITS)
-        found = left[near].tolist()
+        at = linked(fps[left], fps[i])
+        found = left[at].tolist()
         edges += [(i, j) for j in found]
         todo += found
-        left = left[~near]
+        left = np.delete(left, at)
     return edges
 
 
@@ -159,7 +167,7 @@ def list_links(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts = np.r_[0, np.flatnonzero((np.diff(number) != 0) | (np.diff(key) != 0)) + 1, len(fp)]
         sizes, a, b = np.diff(cuts), [], []
         two = cuts[:-1][sizes == 2]
-        near = np.bitwise_count(fp[two] ^ fp[two + 1]) <= MAX_BITS
+        near = linked(fp[two], fp[two + 1])
         a.append(fp[two][near])
         b.append(fp[two + 1][near])
         for at, n in zip(cuts[:-1][sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
@@ -230,13 +238,14 @@ def local_forest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", list_limit: int = LIST_LIMIT) -> DataFrame:
     """(doc_id, print, fp, root, component_id) of every row; root numbers the component."""
     signed = written(fingerprints(docs, id_col, text_col), "fingerprints")
-    fps = written(signed.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
+    fps = written(signed.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct-fingerprints")
     edges = written(links(fps.select("fp"), list_limit), "links")
     roots = components(edges)
-    tree = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = tree.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = tree.join(smallest, "root").select("fp", "root", "component_id")
-    return signed.join(known, "fp").select("doc_id", "print", "fp", "root", "component_id")
+    tree = written(fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")), "trees")
+    smallest = tree.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("of_root"))
+    known = with_hubs(tree, smallest, ["root"], "of_root", tree.count()).select("fp", "root", "component_id", "n")
+    known = written(known, "known-fingerprints")
+    return with_hubs(signed, known, ["fp"], "n", signed.count()).select("doc_id", "print", "fp", "root", "component_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -247,10 +256,11 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     found = written(near_duplicates(docs, id_col, text_col), "components")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "print")).alias("first")
-    chosen = found.groupBy("root").agg(first).select(F.col("first.doc_id").alias("chosen"), F.col("first.print").alias("mark"))
+    of, mark = fresh_name("chosen", docs.columns), fresh_name("mark", docs.columns)
+    chosen = found.groupBy("root").agg(first).select(F.col("first.doc_id").alias(of), F.col("first.print").alias(mark))
     many = found.groupBy("doc_id", "print").count().where("count > 1")
-    repeated = chosen.join(many, chosen["chosen"].eqNullSafe(many["doc_id"]) & (chosen["mark"] == many["print"]), "left_semi")
-    same = F.col(id_col).eqNullSafe(F.col("chosen")) & (F.xxhash64(text_col) == F.col("mark"))
+    repeated = chosen.join(many, chosen[of].eqNullSafe(many["doc_id"]) & (chosen[mark] == many["print"]), "left_semi")
+    same = F.col(id_col).eqNullSafe(F.col(of)) & (F.xxhash64(text_col) == F.col(mark))
     kept = docs.join(chosen, same, "left_semi")
     return kept.join(repeated, same, "left_anti").unionByName(kept.join(repeated, same, "left_semi").dropDuplicates([id_col, text_col]))
 

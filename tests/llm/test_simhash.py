@@ -112,3 +112,21 @@ def test_one_row_of_each_component(spark):
     assert len(kept) == len({r.root for r in found})
     assert sorted(str(r.doc_id) for r in kept) == sorted(str(c) for _, c in {(r.root, r.component_id) for r in found})
     assert all(rows[r.print] == (r.doc_id, r.text) for r in kept)
+
+
+def test_clashing_columns_and_a_long_text(spark):
+    rows = [*docs(60), (70, "many words " * 60_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    wide = df.selectExpr("*", *[f"{i} AS {c}" for i, c in enumerate("chosen mark fp root print n least component_id".split())])
+    got = h.one_of_each(wide)
+    assert got.columns == wide.columns
+    assert sorted(map(str, got.select("doc_id", "text").collect())) == sorted(map(str, h.one_of_each(df).collect()))
+
+
+def test_hubs_are_joined_whole(spark):
+    """A component with most nodes and links: the broadcast of hubs loses no row and doubles none."""
+    from inkwell.operators.graph import components
+
+    edges = [(0, i) for i in range(1, 3000)] + [(5000 + i, 5001 + i) for i in range(30)] + [(7, 7)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(1, 3000)}, **{5001 + i: 5000 for i in range(30)}}
