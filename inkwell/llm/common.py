@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,9 +17,11 @@ WORDS = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; only where the cluster names none (tests) a local one is set."""
+    """The folder that driver and executors share; only a local master, which has no other machines, gets a local one."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not conf:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         conf = spark.conf.get("inkwell.shared.dir", None)
         if not conf:
             conf = "file://" + tempfile.mkdtemp(prefix="spark-inkwell-")
@@ -113,16 +115,31 @@ def judged(docs: DataFrame, judge: Callable[[list], Iterable[tuple]], fields: li
     return out.select("doc_id", *names, whole.alias("kept"))
 
 
+#: Classes of a model, and rows a class that a sample reads over twice its size, so that chance never makes it short.
+MOST_GROUPS, MARGIN_ROWS = 1_000, 50
+
+
 def spread_sample(rows: DataFrame, group_col: str, id_col: str, salt: str, most: int) -> DataFrame:
-    """At most `most` rows a group, those of least hash of the id, with their `place`.
+    """At most `most` rows a group, those of least hash of the id: (chosen, of_group, place), for a broadcast join.
 
-    Groups are thinned by the hash first, to about twice as many rows, so that a large group's order is found on few.
+    Groups are counted first; then a filter by the hash, on the rows where they lie, leaves about twice as many of a
+    large group (and MARGIN_ROWS), and only their ids reach the driver, which orders them. No group is sent to a task,
+    and the driver holds at most groups * (2 * most + MARGIN_ROWS) ids. Groups are the classes of a model: more than
+    MOST_GROUPS of them raise an error. Rows are to be distinct by (id, group).
     """
-    hashed = rows.withColumn("h", F.xxhash64(F.col(id_col).cast("string"), F.lit(salt)))
-    size = rows.groupBy(F.col(group_col).alias("of_group")).agg(F.count("*").alias("n"))
-    some = hashed.join(size, F.col(group_col) == F.col("of_group")).where(F.pmod("h", F.lit(1_000_000)) * F.col("n") < F.lit(2_000_000 * most))
-    place = F.row_number().over(Window.partitionBy(group_col).orderBy("h", id_col))
-    return some.withColumn("place", place).where(F.col("place") <= most).drop("h", "of_group", "n")
+    hashed = rows.select(F.col(id_col).alias("chosen"), F.col(group_col).alias("of_group"), F.xxhash64(F.col(id_col).cast("string"), F.lit(salt)).alias("h"))
+    sizes = hashed.groupBy("of_group").count().limit(MOST_GROUPS + 1).collect()
+    if len(sizes) > MOST_GROUPS:
+        raise ValueError(f"more than {MOST_GROUPS} classes")
+    shares = {r["of_group"]: int(1_000_000 * (2 * most + MARGIN_ROWS) / r["count"]) + 1 for r in sizes}
+    schema = T.StructType([*hashed.select("chosen", "of_group").schema.fields, T.StructField("place", T.IntegerType())])
+    thinned = F.lit(False)
+    for group, share in shares.items():
+        thinned = thinned | ((F.col("of_group") == F.lit(group)) & (F.pmod("h", F.lit(1_000_000)) < share))
+    places: dict = {}
+    for r in sorted(hashed.where(thinned).collect() if shares else [], key=lambda r: (r["h"], r["chosen"])):
+        places.setdefault(r["of_group"], []).append(r["chosen"])
+    return rows.sparkSession.createDataFrame([(chosen, group, i + 1) for group, found in places.items() for i, chosen in enumerate(found[:most])], schema)
 
 
 def remainder(id_col: str, by: int) -> Column:

@@ -6,12 +6,15 @@ gives the fewest bytes in all is chosen. If the runner-up is closer than `margin
 document is rejected as undecided.
 
 The dictionaries come from a bounded sample of the labelled rows (`dictionary_bytes` a language, from at most
-`sample_rows` rows a language, spread by the hash of the id); predictions read whole texts of every row. Labelled rows
-also hold passages in other languages, so each half of the sample is first cleaned with dictionaries of the other half:
-lines that another language encodes better are left out.
+`sample_rows` rows a language, spread by the hash of the id, and of each the first `sample_chars` characters); predictions
+read whole texts of every row, all at one compression level. Labelled rows also hold passages in other languages, so
+each half of the sample is first cleaned with dictionaries of the other half: lines that another language encodes
+better are left out, and so are lines under `shortest_line` bytes, which give no evidence of their language.
 
 Defined results: `und` with score 0, rejected, for null texts and texts without a letter; with no labelled rows, every
-row is `und`; equal sizes go to the language that comes first by code point; repeated rows each get a row.
+row is `und`; equal sizes go to the language that comes first by code point; repeated rows each get a row; a very
+long text is encoded in blocks of `BLOCK` bytes, each with the whole dictionary; other columns of any name are ignored,
+and with `keep` returned in the struct `kept`, where they clash with nothing.
 """
 
 from __future__ import annotations
@@ -27,10 +30,9 @@ from inkwell.llm.common import judged, kept, remainder, spread_sample
 
 UNDECIDED = "und"
 #: Bounds of the sample that the dictionaries are made of.
-DICTIONARY_BYTES, SAMPLE_ROWS, LONGEST_ROW = 98_304, 200, 20_000
+DICTIONARY_BYTES, SAMPLE_ROWS, SAMPLE_CHARS, SHORTEST_LINE = 98_304, 200, 20_000, 20
 BLOCK = 8_192
-#: Compression levels: usual, and for blocks so short that only an exhaustive search finds their few matches.
-LEVEL, SHORT, SHORT_LEVEL = 5, 256, 19
+LEVEL = 9
 MARGIN = 0.0005
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 
@@ -39,20 +41,20 @@ def normalised(text: str) -> bytes:
     return NOT_LETTERS.sub(" ", text.lower()).strip().encode()
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", dictionary_bytes: int = DICTIONARY_BYTES, sample_rows: int = SAMPLE_ROWS) -> dict[str, bytes]:
+def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", dictionary_bytes: int = DICTIONARY_BYTES, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS, shortest_line: int = SHORTEST_LINE) -> dict[str, bytes]:
     """A raw-content dictionary for each language of the labelled rows.
 
     The rows of least hash are found from ids alone; only their texts, a bounded number, reach the driver. Of
     rows that share id and language the least text stands for all.
     """
-    fits = F.length(text_col).between(1, LONGEST_ROW) & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()
-    sample = spread_sample(labelled.where(fits).select(id_col, lang_col).distinct(), lang_col, id_col, "dictionary", sample_rows)
-    chosen = sample.select(F.col(id_col).alias("chosen"), F.col(lang_col).alias("of"), F.col("place").alias("rank"))
-    rows = labelled.where(fits).join(F.broadcast(chosen), (F.col(id_col) == F.col("chosen")) & (F.col(lang_col) == F.col("of"))).groupBy("of", "rank").agg(F.min(text_col)).collect()
+    known = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where((F.length("text") > 0) & F.col("lang").isNotNull() & F.col("id").isNotNull())
+    sample = spread_sample(known.select("id", "lang").distinct(), "lang", "id", "dictionary", sample_rows)
+    own = (F.col("id") == F.col("chosen")) & (F.col("lang") == F.col("of_group"))
+    rows = known.join(F.broadcast(sample), own).groupBy("lang", "place").agg(F.min(F.substring("text", 1, sample_chars))).collect()  # at most sample_rows a language
     lines: dict[str, tuple[dict, dict]] = {}
     for of, rank_of, text in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
         lines.setdefault(of, ({}, {}))[rank_of % 2].update(dict.fromkeys(x for x in map(normalised, text.split("\n")) if x))
-    return cleaned(lines, dictionary_bytes)
+    return cleaned(lines, dictionary_bytes, shortest_line)
 
 
 def filled(lines: Iterable[bytes], size: int) -> bytes:
@@ -64,13 +66,13 @@ def filled(lines: Iterable[bytes], size: int) -> bytes:
     return b"\n".join(out)
 
 
-def cleaned(lines: dict[str, tuple[dict, dict]], size: int) -> dict[str, bytes]:
+def cleaned(lines: dict[str, tuple[dict, dict]], size: int, shortest_line: int = SHORTEST_LINE) -> dict[str, bytes]:
     """Dictionaries of the lines that the other half's dictionaries give to the same language (all lines if none is left)."""
     kept: dict[str, list[bytes]] = {of: [] for of in lines}
     for half in (0, 1):
         judge = Coder(tuple(sorted((of, filled(both[1 - half], size)) for of, both in lines.items())))
         for of, both in lines.items():
-            kept[of] += [x for x in both[half] if len(x) >= 20 and judge.names[min(range(len(judge.names)), key=judge.sizes(x).__getitem__)] == of]
+            kept[of] += [x for x in both[half] if len(x) >= shortest_line and judge.names[min(range(len(judge.names)), key=judge.sizes(x).__getitem__)] == of]
     return {of: filled(kept[of] or [x for half in both for x in half], size) for of, both in lines.items() if any(both)}
 
 
@@ -83,18 +85,16 @@ class Coder:
 
         self.letter = regex.compile(r"\p{L}")
         self.names = [n for n, _ in dictionaries]
-        self.usual, self.short = [], []
-        for level, coders in ((LEVEL, self.usual), (SHORT_LEVEL, self.short)):
-            for _, content in dictionaries:
-                d = z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT)
-                d.precompute_compress(level=level)
-                coders.append(z.ZstdCompressor(dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress)
+        self.coders = []
+        for _, content in dictionaries:
+            d = z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT)
+            d.precompute_compress(level=LEVEL)
+            self.coders.append(z.ZstdCompressor(dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress)
 
     def sizes(self, raw: bytes) -> list[int]:
         """The encoded bytes of a whole text with each language's dictionary."""
-        coders = self.short if len(raw) < SHORT else self.usual
         blocks = [raw[i : i + BLOCK] for i in range(0, len(raw), BLOCK)]
-        return [sum(len(code(b)) for b in blocks) for code in coders]
+        return [sum(len(code(b)) for b in blocks) for code in self.coders]
 
     def predict(self, text: str | None, margin: float) -> tuple[str, float, bool]:
         """(language, score, rejected); the score is the saving over the runner-up, squeezed into 0 to 1."""

@@ -9,7 +9,8 @@ Trained on a bounded sample (`sample_rows` labelled rows a class, by the hash of
 the average, a word's contribution is a number, found once for each distinct word a task meets; scoring whole texts is
 then one pass over their words, without a shuffle.
 
-Defined results: null and empty texts, and texts of spaces, get the output's bias alone; with no labels, or one class
+Defined results: a label that is repeated with other values counts as the greatest; scores at the threshold count as
+good; very long texts are read whole; other columns of any name are ignored; null and empty texts, and texts of spaces, get the output's bias alone; with no labels, or one class
 only, the score is that class's share (0.5 without any); repeated rows each get a row.
 """
 

@@ -6,10 +6,15 @@ is copied with the term swapped for others of its list, and the squared change o
 group or another may not change the judgement, so neutral mentions are not mistaken for insults. The terms' own weights
 are drawn to zero by the same penalty against the sentence without the term.
 
-The model is fitted on a bounded sample (`sample_rows` labelled rows a class, by the hash of the id); whole texts of all
-rows are scored, word by word, in one pass without a shuffle.
+The model is fitted on a bounded sample (`sample_rows` labelled rows a class, by the hash of the id), on words that at
+least `RARE` of its documents have, and on identity terms and their swaps however rare; whole texts of all rows are
+scored, word by word, in one pass without a shuffle.
 
-Defined results: null and empty texts get the score of a text without known words; rows without a label, or with a null
+Where no labelled sentence names a group, as in the test tables, the penalty has no pairs and the model is the plain one.
+
+Defined results: a label that is repeated with other values counts as the greatest; of rows that share an id the least
+text is learned from; scores at the threshold count as toxic; very long texts are scored whole, a word once; other
+columns of any name are ignored, and with `keep` returned in the struct `kept`; null and empty texts get the score of a text without known words; rows without a label, or with a null
 one, are only scored; with no labels, or one class only, the score is that class's share (0 without any); repeated
 rows each get a row.
 """
@@ -152,9 +157,10 @@ def train(texts: list[str], labels: list[int], l1: float = L1, penalty: float =
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, training: Column, sample_rows: int, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[str, int]]:
     """(text, label) of at most `sample_rows` labelled training rows a class, in the order of their ids' hash."""
     known = labels.where(training & F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("label"))
-    chosen = spread_sample(known, "label", id_col, "labels", sample_rows).select(F.col(id_col).alias("chosen"), "label")
-    rows = docs.select(id_col, text_col).join(F.broadcast(chosen), F.col(id_col) == F.col("chosen")).select("chosen", F.coalesce(text_col, F.lit("")), "label").dropDuplicates(["chosen"]).collect()
-    return [(text, label) for _, text, label in sorted(rows, key=lambda r: (str(r[0]), r[1]))]
+    chosen = spread_sample(known, "label", id_col, "labels", sample_rows)
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = texts.join(F.broadcast(chosen), F.col("id") == F.col("chosen")).groupBy("chosen", "of_group").agg(F.min("text")).collect()
+    return [(text, label) for _, label, text in sorted(rows, key=lambda r: (str(r[0]), r[1]))]
 
 
 def fit(docs: DataFrame, labels: DataFrame, training: Column, label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS, **more: float) -> tuple[dict[int, float], float]:

@@ -1,5 +1,7 @@
 import zlib
 
+import pyspark.sql.functions as F
+
 from inkwell.llm import langid as L
 
 EN = "the quick brown fox jumps over the lazy dog and then it runs away from the house with the other dogs of the town\n"
@@ -46,6 +48,41 @@ def test_no_labels_and_no_rows(spark):
     assert L.identify(df.limit(0), L.fit(df)).count() == 0
 
 
+CLASHES = "chosen string, of_group string, place string, id string, rank int, of int, rest string, kept string, lang_pred string, score string, rejected string"
+
+
+def test_clashing_columns_and_long_texts(spark):
+    df = spark.createDataFrame(rows() + [(70, EN * 3000, None)], "doc_id long, text string, lang string")
+    wide = df.selectExpr("*", *[f"CAST(1 AS {c.split()[1]}) AS {c.split()[0]}" for c in CLASHES.split(", ")])
+    d = L.fit(df)
+    assert L.fit(wide) == d
+    assert sorted(map(str, L.identify(wide, d).collect())) == sorted(map(str, L.identify(df, d).collect()))
+    kept = L.identify(wide, d, keep=True).select(F.col("lang_pred").alias("found"), "kept.*")
+    assert kept.columns[1:] == wide.columns and kept.where("doc_id = 70").first().found == "en"
+
+
+def test_predictions_equal_plain_compression(spark):
+    """Brute force: encode every block with every dictionary, and take the least sum."""
+    import re
+
+    import zstandard as z
+
+    df = spark.createDataFrame(rows(), "doc_id long, text string, lang string")
+    d = L.fit(df)
+    got = sorted((str(r.doc_id), r.lang_pred, round(r.score, 9)) for r in L.identify(df, d).collect())
+    want = []
+    for i, text, _ in rows():
+        flat = re.sub(r"[\W\d_]+", " ", (text or "").lower()).strip().encode()
+        sizes = {}
+        for lang in sorted(d):
+            coder = z.ZstdCompressor(level=9, dict_data=z.ZstdCompressionDict(d[lang], dict_type=z.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
+            sizes[lang] = sum(len(coder.compress(flat[a : a + 8192])) for a in range(0, len(flat), 8192))
+        best, second = sorted(sizes.items(), key=lambda x: x[1])[:2]
+        lead = (second[1] - best[1]) / max(1, second[1])
+        want.append((str(i), best[0], round(lead / (lead + 0.02), 9)) if flat else (str(i), "und", 0.0))
+    assert got == sorted(want)
+
+
 def test_held_out_accuracy(spark, sf):
     got = {r.doc_id: r for r in L.op3_langid(spark, sf).collect()}
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang").collect()

@@ -29,10 +29,19 @@ def test_rows_equal_brute_force(spark):
         png = M.to_png(p)
         assert (r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256) == (d, len(raw), len(p), hashlib.sha256(p).hexdigest())
         assert (r.tail_crc32, r.media_bytes, r.media_sha256) == (zlib.crc32(p[-64:]), len(png), hashlib.sha256(png).hexdigest())
+        shares = ",".join(str(sum(b // 32 == k for b in p) * 1000 // len(p)) for k in range(8))
+        assert r.feature == f"64x{len(p) // 64};mean={sum(p) // len(p)};{shares}"
         assert (r.width, r.height, r.bits, r.length) == (64, len(p) // 64, 8, len(png)) and r.digest == r.media_sha256
         assert seen.setdefault(p, (r.feature, r.shard, r.offset)) == (r.feature, r.shard, r.offset)
 
 
+def test_headers_alone_give_the_same_metadata(spark, tmp_path):
+    folder = f"file://{tmp_path}/store"
+    places = spark.createDataFrame(M.catalogue(spark.createDataFrame(M.store(frame(spark), folder).collect())).collect())
+    by = {r.digest: (r.width, r.height, r.bits) for r in M.features(places, folder).collect()}
+    assert by and {r.digest: (r.width, r.height, r.bits) for r in M.headers(places, folder).collect()} == by
+
+
 def test_shards_are_tar_files(spark, tmp_path):
     folder = f"file://{tmp_path}/store"
     rows = M.store(frame(spark), folder).collect()

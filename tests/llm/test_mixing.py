@@ -58,3 +58,11 @@ def test_better_documents_come_first(spark):
 
 def test_no_rows(spark):
     assert mixed(frame(spark, [])).count() == 0
+
+
+def test_clashing_columns_and_a_long_text(spark):
+    rows = [(i, f"word {i} " * (i % 9), f"s{i % 2}") for i in range(60)] + [(100, "word " * 100_000, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    wide = df.selectExpr("*", *[f"{i} AS {c}" for i, c in enumerate("size weight key n tenths target bucket inside start of number taken source_size".split())])
+    mix = lambda d: sorted(map(tuple, M.mix(d, M.words(), M.quality_weight(F.coalesce("text", F.lit("")))).collect()), key=str)
+    assert mix(wide) == mix(df) and max(r[2] for r in mix(df)) == 100_000

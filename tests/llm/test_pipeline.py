@@ -65,3 +65,15 @@ def test_run_is_repeatable_and_handles_no_rows(spark, sf):
         docs = stage(spark, docs, sf)
         assert docs.count() == 0
         docs = docs if "text" in docs.columns else None
+
+
+def test_clashing_columns(spark, sf, tmp_path):
+    """Tables with more columns, of names that the operators use inside, give the same rows."""
+    names = "chosen of_group place id mark fp root print n least rank of score kept rest copy words copies size target ids label".split()
+    folder = f"file://{tmp_path}"
+    for table in ("documents", "labels"):
+        df = spark.read.parquet(f"{sf}/{table}.parquet").limit(120)
+        df.selectExpr("*", *[f"{i} AS {c}" for i, c in enumerate(names)]).write.parquet(f"{folder}/wide/{table}.parquet")
+        spark.read.parquet(f"{folder}/wide/{table}.parquet").select(df.columns).write.parquet(f"{folder}/slim/{table}.parquet")
+    assert rows(C.run(spark, f"{folder}/wide")) == rows(C.run(spark, f"{folder}/slim"))
+    assert rows(langid.op3_langid(spark, f"{folder}/wide")) == rows(langid.op3_langid(spark, f"{folder}/slim"))

@@ -37,7 +37,7 @@ def test_counterfactual_penalty_spares_neutral_mentions():
 def test_learns_and_defines_odd_rows(spark):
     rows, labels = data()
     odd = [(1000, None), (1001, ""), (None, "idiot"), (1, "x"), (2000, "word1 " * 20000)]
-    docs = spark.createDataFrame(rows + odd, "doc_id long, text string").withColumn("score", F.lit("s"))
+    docs = spark.createDataFrame(rows + odd, "doc_id long, text string").selectExpr("*", "'s' AS score", "1 AS chosen", "2 AS of_group", "3 AS label", "4 AS id", "5 AS rest")
     known = spark.createDataFrame([*labels, (7, None), (None, 1), (9, 1), (9, 1)], "doc_id long, toxic int")
     model = X.fit(docs, known, ~X.held_out())
     got = X.score(docs, model, keep=True).collect()
@@ -58,6 +58,82 @@ def test_every_identity_term_of_a_sentence_is_swapped():
         assert set(before.tolist()) == a - b and set(after.tolist()) == b - a
 
 
+def test_penalty_lowers_false_positives_of_the_query(spark, tmp_path, monkeypatch):
+    """The query on a table where groups are mentioned mostly in toxic rows: neutral mentions that are held out."""
+    rows, labels = data(900, insults=0.6)
+    neutral = [(i, f"the {w} neighbours came home at word{i % 60} and word{i % 7}.") for i, w in zip(range(10_000, 10_300), ["muslim", "gay"] * 150, strict=True)]
+    spark.createDataFrame(rows + neutral, "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"file://{tmp_path}/labels.parquet")
+    wrong = {}
+    for penalty in (0.0, X.COUNTERFACTUAL):
+        monkeypatch.setattr(X.train, "__defaults__", (X.L1, penalty, X.ROUNDS))
+        got = {r.doc_id: r for r in X.op9_toxicity(spark, f"file://{tmp_path}").collect()}
+        wrong[penalty] = sum(got[i].score >= 0.5 for i, _ in neutral if got[i].held_out)
+        assert any(got[i].held_out for i, _ in neutral)
+    assert wrong[0.0] > 0 and wrong[X.COUNTERFACTUAL] < wrong[0.0] / 4, wrong
+
+
+def test_training_equals_a_plain_twin():
+    """The same steps word by word in plain Python, on 50 rows."""
+    import math
+
+    rows, labels = data(50, insults=0.6)
+    texts, y = [t for _, t in rows], [v for _, v in labels]
+    sets, pairs, rng = [{X.bucket(w) for w in X.words_of(t)} for t in texts], [], random.Random(0)
+    for t in texts:
+        pairs += [([*a], [*b]) for a, b in X.counterfactuals(t, rng)]
+    n, n1 = len(y), sum(y)
+    count = lambda w, k: sum(w in s for s, v in zip(sets, y, strict=True) if v == k)
+    used = sorted({w for s in sets for w in s if count(w, 0) + count(w, 1) >= X.RARE} | {w for a, b in pairs for w in a + b})
+    odds = {w: math.log((count(w, 1) + 0.5) / (n1 + 1)) - math.log((count(w, 0) + 0.5) / (n - n1 + 1)) for w in used}
+    mass = [0.5 / n1 if v else 0.5 / (n - n1) for v in y]
+
+    def descend(words, l1, l2):
+        share, inside = 2 * X.COUNTERFACTUAL / max(1, len(pairs)), set(words)
+        dot = lambda v, s: sum(v[w] * odds[w] for w in s if w in inside)
+
+        def swaps(v):
+            out = dict.fromkeys(words, 0.0)
+            for a, b in pairs:
+                z = dot(v, a) - dot(v, b)
+                for w, sign in [(w, 1) for w in a] + [(w, -1) for w in b]:
+                    if w in inside:
+                        out[w] += share * z * odds[w] * sign
+            return out
+
+        def back(values):
+            out = dict.fromkeys(words, 0.0)
+            for s, z in zip(sets, values, strict=True):
+                for w in s & inside:
+                    out[w] += z * odds[w]
+            return out
+
+        v, v0, bound = dict.fromkeys(words, 1.0), 1.0, 1.0
+        for _ in range(12):
+            z = [m * (dot(v, s) + v0) / 4 for m, s in zip(mass, sets, strict=True)]
+            a, b = back(z), swaps(v)
+            u, u0 = {w: a[w] + b[w] for w in words}, sum(z)
+            bound = math.sqrt(sum(x * x for x in u.values()) + u0 * u0) or 1.0
+            v, v0 = {w: x / bound for w, x in u.items()}, u0 / bound
+        step, w0, b0, wa, ba, t = 0.9 / (bound + l2), dict.fromkeys(words, 0.0), 0.0, dict.fromkeys(words, 0.0), 0.0, 1.0
+        for _ in range(X.ROUNDS):
+            pull = [m * (1 / (1 + math.exp(-(dot(wa, s) + ba))) - k) for m, s, k in zip(mass, sets, y, strict=True)]
+            a, b = back(pull), swaps(wa)
+            w1 = {w: wa[w] - step * (a[w] + b[w] + l2 * wa[w]) for w in words}
+            w1 = {w: math.copysign(max(abs(x) - step * l1, 0), x) for w, x in w1.items()}
+            b1, t2 = ba - step * sum(pull), (1 + math.sqrt(1 + 4 * t * t)) / 2
+            wa, ba = {w: w1[w] + (t - 1) / t2 * (w1[w] - w0[w]) for w in words}, b1 + (t - 1) / t2 * (b1 - b0)
+            w0, b0, t = w1, b1, t2
+        return w0, b0
+
+    first, _ = descend(used, X.L1, 0.0)
+    kept = [w for w in used if first[w]]
+    weights, bias = descend(kept, 0.0, X.L2)
+    got, got_bias = X.train(texts, y)
+    assert abs(got_bias - bias) < 1e-6 and set(got) == set(kept)
+    assert all(abs(got[w] - weights[w] * odds[w]) < 1e-6 for w in kept)
+
+
 def test_no_labels_one_class_no_rows(spark):
     rows, labels = data(9)
     docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
