@@ -32,11 +32,14 @@ def with_hubs(many: DataFrame, one: DataFrame, key: list[str], count_col: str, t
     """many joined to one, which has a row a key with the number of rows of `many` that have it; no key fills a task.
 
     At most HUBS keys can have over a HUBS-th of the `total` rows each, which bounds the broadcast; the others are
-    joined as usual.
+    joined as usual. In a left join, rows with a null key stay where they are.
     """
     hub = F.col(count_col) * HUBS > total
     hubs, rest = F.broadcast(one.where(hub)), one.where(~hub)
-    return many.join(hubs, key).unionByName(many.join(hubs.select(*key), key, "left_anti").join(rest, key, how))
+    others = many.join(hubs.select(*key), key, "left_anti")
+    no_key = F.greatest(*[F.col(k).isNull() for k in key], F.lit(False))
+    out = many.join(hubs, key).unionByName(others.where(~no_key).join(rest, key, how))
+    return out if how == "inner" else out.unionByName(others.where(no_key), allowMissingColumns=True)
 
 
 def components(edges: DataFrame) -> DataFrame:
