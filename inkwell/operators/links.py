@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Hosts that shorten links (fixed values).
 SHORTENERS = ("bit.ly", "tinyurl.com", "t.co", "goo.gl", "ow.ly", "is.gd", "buff.ly", "j.mp", "tiny.cc", "rb.gy")
 #: Parts of host names by category, in the order they are tried (fixed values).
 DOMAIN_CATEGORIES = (("government", (".gov", ".mil")), ("educational", (".edu",)), ("commercial", (".com", ".co", ".biz", ".io", ".tech", ".net")), ("organization", (".org",)), ("internal", ("sharepoint", "intranet", "internal", "localhost")))
+#: Phrases of error pages: in titles, and early in the text as strong and weak signals (fixed values).
 TITLE_ERRORS = ("not found", "404", "page missing", "page unavailable", "page does not exist")
-STRONG_ERRORS = ("page not found", "page you requested could not be found", "this page doesn't exist", "this page does not exist", "the requested url was not found", "404 error", "error 404")
-WEAK_ERRORS = ("we couldn't find", "we could not find", "no longer available", "has been removed", "has been deleted", "content is unavailable", "content not available")
+STRONG_ERRORS = ("page not found", "page you requested could not be found", "this page doesn't exist", "this page does not exist", "the requested url was not found", "oops! page not found", "404 error", "error 404")
+WEAK_ERRORS = ("we couldn't find", "we could not find", "no longer available", "has been removed", "has been deleted", "content is unavailable", "content not available", "sorry, we can't find")
+#: A page with so many signals counts as an error page.
+SOFT_404 = 3
 
 
 def host(url: Column) -> Column:
@@ -76,7 +80,10 @@ def suspicious(url: Column) -> Column:
 
 
 def soft_404(html: Column) -> Column:
-    """Signals that a page is an error page though it was served as found: a short body, its title, phrases, headings."""
+    """Signals that a page is an error page though it was served as found: a short body, its title, phrases, headings.
+
+    SOFT_404 of them make it one.
+    """
     low = F.lower(F.coalesce(html, F.lit("")))
     early = F.substring(low, 1, 2000)
     title = F.regexp_extract(low, r"(?s)<title[^>]*>([^<]+)</title>", 1)

@@ -52,7 +52,7 @@ def item_comparison(items: DataFrame) -> DataFrame:
 def category_totals(items: DataFrame) -> DataFrame:
     """(proposal_id, category, total, share): every vendor with every category, zeros kept, share of the vendor's total."""
     total = items.groupBy("proposal_id", "category").agg(F.round(F.sum("amount"), 2).alias("total"))
-    grid = items.select("proposal_id").distinct().join(F.broadcast(items.select("category").distinct()))  # categories are few
+    grid = items.select("proposal_id").distinct().join(items.select("category").distinct())  # a row for each vendor and category is the result itself
     filled = grid.join(total, ["proposal_id", "category"], "left").withColumn("total", F.coalesce("total", F.lit(0.0)))
     whole = F.sum("total").over(Window.partitionBy("proposal_id"))
     return filled.withColumn("share", F.round(F.when(whole == 0, 0.0).otherwise(F.col("total") / whole * 100), 6))
@@ -83,66 +83,97 @@ def rate_analysis(items: DataFrame) -> DataFrame:
     return per.withColumn("spread_pct", F.round((F.col("highest") - F.col("lowest")) / F.col("lowest") * 100, 6))
 
 
-def red_flags(items: DataFrame) -> DataFrame:
-    """(proposal_id, type, severity, n): what is suspicious about each vendor's offer.
+def identical_pricing(items: DataFrame, least: int = 3, share: float = 0.6) -> DataFrame:
+    """Pairs of vendors that price most of their common items alike.
+
+    Pairs come from equal (item, amount) keys, so only vendors that agree somewhere are joined; the items they have in
+    common are then counted for those pairs alone.
+    """
+    a = items.where("amount > 0").select("item_id", F.round("amount", 2).alias("amount"), F.col("proposal_id").alias("a"))
+    b = a.select("item_id", "amount", F.col("a").alias("b"))
+    alike = a.join(b, ["item_id", "amount"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("alike"))
+    common = alike.join(a.select("a", "item_id"), "a").join(b.select("b", "item_id"), ["b", "item_id"]).groupBy("a", "b").agg(F.first("alike").alias("alike"), F.count("*").alias("common"))
+    return common.where((F.col("common") >= least) & (F.col("alike") / F.col("common") > share))
+
 
-    Each detector is an aggregate or a window over items; vendors are compared through sums that leave their own
-    amount out, never pair by pair.
+def red_flags(items: DataFrame, vendors: DataFrame) -> DataFrame:
+    """(proposal_id, type, severity, flags, value): what is suspicious about each vendor's offer, and how many flags it raises.
+
+    items: (proposal_id, item_id, category, amount), one row a vendor and item, amounts may be null; vendors:
+    (proposal_id, company, total) with the stated total. Detectors on items raise a flag for each of them, the others
+    one a vendor, and equal pricing one for each other vendor. Vendors are compared through sums that leave their own
+    amount out; an item that only one company prices is specific to that company's terms, not missing from them.
     """
     w = Window.partitionBy("item_id")
-    pos = items.where("amount > 0").withColumn("n", F.count("*").over(w)).withColumn("sum", F.sum("amount").over(w)).withColumn("low", F.min("amount").over(w)).withColumn("high", F.max("amount").over(w)).withColumn("sd", F.stddev_samp("amount").over(w))
-    others = F.round((F.col("sum") - F.col("amount")) / (F.col("n") - 1), 6)
-    z = F.round((F.col("amount") - F.col("sum") / F.col("n")) / F.col("sd"), 6)
+    firm = F.nullif(F.lower(F.trim("company")), F.lit(""))
+    named = items.join(vendors.select("proposal_id", firm.alias("firm")), "proposal_id", "left")
+    priced = F.col("amount").isNotNull()
+    over = F.when(F.col("amount") > 0, F.col("amount"))
+    one_firm = (F.min(F.when(priced, F.coalesce("firm", F.lit("")))).over(w) == F.max(F.when(priced, F.coalesce("firm", F.lit("")))).over(w)) & (F.max("firm").over(w) != "")
+    pos = named.withColumns({"n": F.count(over).over(w), "sum": F.sum(over).over(w), "low": F.min(over).over(w), "high": F.max(over).over(w), "sd": F.stddev_samp(over).over(w), "specific": one_firm})
+    others = F.round((F.col("sum") - F.col("amount")) / F.nullif(F.col("n") - 1, F.lit(0)), 6)
+    z = F.round((F.col("amount") - F.col("sum") / F.nullif("n", F.lit(0))) / F.nullif("sd", F.lit(0.0)), 6)
+    above = F.col("amount") > 0
     each = pos.groupBy("proposal_id").agg(
-        F.count_if((F.col("n") > 1) & (F.col("amount") < others * 0.5)).alias("unbalanced_pricing"),
-        F.count_if((F.col("n") > 1) & (F.round((F.col("high") - F.col("low")) / F.col("low") * 100, 6) > 100) & (F.col("amount") == F.col("high"))).alias("extreme_variance"),
-        F.count_if((F.col("n") >= 3) & (F.col("sd") > 0) & (F.abs(z) > 2)).alias("price_reasonableness"),
+        F.count_if(above & (F.col("n") > 1) & (F.col("amount") < others * 0.5)).alias("unbalanced"),
+        F.count_if(priced & (F.col("n") > 1) & (F.round((F.col("high") - F.col("low")) / F.col("low") * 100, 6) > 100) & (F.col("amount") == F.col("high"))).alias("extreme"),
+        F.count_if(above & (F.col("n") >= 3) & (F.col("sd") > 0) & (F.abs(z) > 2)).alias("outliers"),
         F.count_if((F.col("amount") >= 1000) & (F.col("amount") % 1000 == 0)).alias("round"),
         F.count("*").alias("items"),
-        F.countDistinct("category").alias("categories"),
-        F.sum("amount").alias("total"),
+        F.count_if(priced).alias("priced"),
+        F.count_if(priced & F.coalesce("specific", F.lit(False))).alias("own_specific"),
+        F.countDistinct(F.when(priced, F.coalesce("category", F.lit("Uncategorized")))).alias("categories"),
+        F.sum(F.when(F.col("category").isin("Fee", "Overhead"), F.col("amount")).otherwise(0.0)).alias("fees"),
     )
-    size = items.agg(F.countDistinct("item_id").alias("all_items"), F.countDistinct("category").alias("all_categories"))
-    full = each.join(F.broadcast(size))
-    missing = F.col("all_items") - F.col("items")
-    lost = F.col("all_categories") - F.col("categories")
-    one = lambda kind, severity, n, holds: F.when(holds, F.struct(F.lit(kind).alias("type"), severity.alias("severity"), n.cast("long").alias("n")))
+    specific = pos.where(F.col("specific") & priced & F.col("firm").isNotNull()).groupBy("firm").agg(F.countDistinct("item_id").alias("specific"))
+    firms = vendors.select(firm.alias("firm")).where("firm is not null").groupBy("firm").agg(F.count("*").alias("offers"))
+    alike = identical_pricing(items)
+    same = alike.select(F.explode(F.array("a", "b")).alias("proposal_id")).groupBy("proposal_id").agg(F.count("*").alias("same"))
+    size = items.agg(F.countDistinct("item_id").alias("all_items"), F.countDistinct(F.coalesce("category", F.lit("Uncategorized"))).alias("all_categories"))  # one row
+    full = vendors.select("proposal_id", "total", firm.alias("firm")).join(each, "proposal_id", "left").join(firms.join(specific, "firm", "left"), "firm", "left").join(same, "proposal_id", "left").join(F.broadcast(size))
+    full = full.fillna(0, [c for c in full.columns if c not in ("proposal_id", "total", "firm")])
+    missing = F.col("all_items") - F.col("priced")
+    specific_terms = F.when((F.col("offers") > 1) & (missing > 0), F.col("specific") - F.col("own_specific")).otherwise(0)
+    lost = missing - specific_terms
+    gone = F.col("all_categories") - F.col("categories")
+    total = F.coalesce("total", F.lit(0.0))
+    fee = F.round(F.col("fees") / F.nullif(total, F.lit(0.0)) * 100, 6)
+    one = lambda kind, severity, n, value, holds: F.when(holds, F.struct(F.lit(kind).alias("type"), severity.alias("severity"), n.cast("long").alias("flags"), value.cast("double").alias("value")))
+    critical, warning, info, once = F.lit("critical"), F.lit("warning"), F.lit("info"), F.lit(1)
     flags = F.array(
-        one("unbalanced_pricing", F.lit("critical"), F.col("unbalanced_pricing"), F.col("unbalanced_pricing") > 0),
-        one("round_numbers", F.lit("warning"), F.col("round"), F.col("round") / F.col("items") > 0.5),
-        one("missing_items", F.when(missing > F.col("all_items") * 0.3, "critical").otherwise("warning"), missing, missing > 0),
-        one("extreme_variance", F.lit("warning"), F.col("extreme_variance"), F.col("extreme_variance") > 0),
-        one("sparse_data", F.lit("info"), F.col("items"), F.col("items") < 3),
-        one("missing_categories", F.when(lost >= 2, "warning").otherwise("info"), lost, (lost > 0) & (F.col("all_categories") >= 2)),
-        one("price_reasonableness", F.lit("warning"), F.col("price_reasonableness"), F.col("price_reasonableness") > 0),
+        one("unbalanced_pricing", critical, F.col("unbalanced"), F.col("unbalanced"), F.col("unbalanced") > 0),
+        one("round_numbers", warning, once, F.col("round"), F.col("round") * 2 > F.col("items")),
+        one("missing_items", F.when(lost > F.col("all_items") * 0.3, critical).otherwise(warning), once, lost, lost > 0),
+        one("term_specific_items", info, once, specific_terms, (lost <= 0) & (specific_terms > 0)),
+        one("high_fee", warning, once, fee, (total > 0) & (fee > 20)),
+        one("extreme_variance", warning, F.col("extreme"), F.col("extreme"), F.col("extreme") > 0),
+        one("sparse_data", info, once, F.col("items"), F.col("items") < 3),
+        one("no_total", warning, once, total, total == 0),
+        one("identical_pricing", warning, F.col("same"), F.col("same"), F.col("same") > 0),
+        one("missing_categories", F.when(gone >= 2, warning).otherwise(info), once, gone, (gone > 0) & (F.col("categories") > 0) & (F.col("all_categories") >= 2)),
+        one("price_reasonableness", warning, F.col("outliers"), F.col("outliers"), F.col("outliers") > 0),
     )
     return full.select("proposal_id", F.inline(F.filter(flags, lambda f: f.isNotNull())))
 
 
-def identical_pricing(items: DataFrame, least: int = 3, share: float = 0.6) -> DataFrame:
-    """Pairs of vendors that price most of their common items alike.
+def vendor_scores(items: DataFrame, vendors: DataFrame) -> DataFrame:
+    """(proposal_id, price, completeness, risk, quality, overall, grade): 40, 25, 25 and 10 % of the overall score.
 
-    Pairs come from equal (item, amount) keys, so only vendors that agree somewhere are joined; the items they have in
-    common are then counted for those pairs alone.
+    Prices are compared by stated totals above 0 (a vendor without one gets 50); every flag takes 12 times its severity
+    from the risk score; quality is made of the items' mean confidence and of stated total and company.
     """
-    a = items.where("amount > 0").select("item_id", "amount", F.col("proposal_id").alias("a"))
-    b = a.select("item_id", "amount", F.col("a").alias("b"))
-    alike = a.join(b, ["item_id", "amount"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("alike"))
-    common = alike.join(a.select("a", "item_id"), "a").join(b.select("b", "item_id"), ["b", "item_id"]).groupBy("a", "b").agg(F.first("alike").alias("alike"), F.count("*").alias("common"))
-    return common.where((F.col("common") >= least) & (F.col("alike") / F.col("common") > share))
-
-
-def vendor_scores(items: DataFrame) -> DataFrame:
-    """(proposal_id, price, completeness, risk, overall, grade): 40 % price, 25 % completeness, 25 % risk, 10 % data quality."""
-    totals = proposal_totals(items)
-    bounds = totals.agg(F.min("total").alias("low"), F.max("total").alias("high"), F.count("*").alias("vendors"))
+    valid = F.when(F.col("total") > 0, F.col("total"))
+    bounds = vendors.agg(F.min(valid).alias("low"), F.max(valid).alias("high"), F.count(valid).alias("many"))
     every = items.agg(F.countDistinct("item_id").alias("all_items"))
     points = F.create_map(*[F.lit(x) for p in FLAG_POINTS.items() for x in p])
-    risk = red_flags(items).groupBy("proposal_id").agg(F.sum(points[F.col("severity")]).alias("points"))
-    j = totals.join(F.broadcast(bounds)).join(F.broadcast(every)).join(risk, "proposal_id", "left")
-    price = F.when(F.col("high") > F.col("low"), F.bround(100 - (F.col("total") - F.col("low")) / (F.col("high") - F.col("low")) * 80)).when(F.col("vendors") > 1, 100.0).otherwise(50.0)
-    j = j.select("proposal_id", price.alias("price"), F.bround(F.col("items") / F.col("all_items") * 100).alias("completeness"), F.greatest(F.lit(0), 100 - F.coalesce("points", F.lit(0)) * 12).cast("double").alias("risk"))
-    overall = F.bround(F.round(F.col("price") * 0.40 + F.col("completeness") * 0.25 + F.col("risk") * 0.25 + F.lit(100.0) * 0.10, 6))
+    risk = red_flags(items, vendors).groupBy("proposal_id").agg(F.sum(points[F.col("severity")] * F.col("flags")).alias("points"))
+    own = items.groupBy("proposal_id").agg(F.count("amount").alias("priced"), F.round(F.avg("confidence"), 9).alias("sure"))
+    j = vendors.join(own, "proposal_id", "left").join(risk, "proposal_id", "left").join(F.broadcast(bounds)).join(F.broadcast(every))  # one row each
+    price = F.when(valid.isNull(), 50.0).when(F.col("high") > F.col("low"), F.bround(100 - (F.col("total") - F.col("low")) / (F.col("high") - F.col("low")) * 80)).when(F.col("many") > 1, 100.0).otherwise(50.0)
+    named = F.when(F.coalesce("company", F.lit("")) != "", 15).otherwise(0)
+    quality = F.bround(F.round(F.coalesce("sure", F.lit(1.0)) * 60 + F.when(valid.isNotNull(), 25).otherwise(0) + named, 6))
+    j = j.select("proposal_id", price.alias("price"), F.bround(F.coalesce("priced", F.lit(0)) / F.nullif("all_items", F.lit(0)) * 100).alias("completeness"), F.greatest(F.lit(0), 100 - F.coalesce("points", F.lit(0)) * 12).cast("double").alias("risk"), quality.alias("quality"))
+    overall = F.bround(F.round(F.col("price") * 0.40 + F.col("completeness") * 0.25 + F.col("risk") * 0.25 + F.col("quality") * 0.10, 6))
     return j.withColumn("overall", overall).withColumn("grade", grade(F.col("overall")))
 
 

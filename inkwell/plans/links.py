@@ -66,11 +66,12 @@ def _any(of: str, phrases: tuple[str, ...], points: int) -> str:
     return f"CASE WHEN regexp_matches({of}, '{'|'.join(phrases).replace(chr(39), chr(39) * 2)}') THEN {points} ELSE 0 END"
 
 
-@query("r12_soft_404", rf"WITH l AS (SELECT page_id, lower(html) AS h FROM pages UNION ALL SELECT page_id, '<title>404</title><h1>not found</h1>' || page_id FROM pages) SELECT (CASE WHEN length(trim(regexp_replace(h, '(?s)<[^>]+>', '', 'g'))) < 500 THEN 1 ELSE 0 END + {_any('regexp_extract(h, ' + chr(39) + '(?s)<title[^>]*>([^<]+)</title>' + chr(39) + ', 1)', L.TITLE_ERRORS, 3)} + {_any('substr(h, 1, 2000)', L.STRONG_ERRORS, 2)} + {_any('substr(h, 1, 2000)', L.WEAK_ERRORS, 1)} + CASE WHEN regexp_matches(h, '<h[1-3][^>]*>[^<]*(?:404|not found|page missing)[^<]*</h[1-3]>') THEN 2 ELSE 0 END)::INTEGER AS signals, count(*) AS pages, min(page_id) AS first_page FROM l GROUP BY 1")
+@query("r12_soft_404", rf"WITH l AS (SELECT page_id, lower(html) AS h FROM pages UNION ALL SELECT page_id, '<title>404</title><h1>not found</h1>' || page_id FROM pages) SELECT signals, signals >= 3 AS error_page, count(*) AS pages, min(page_id) AS first_page FROM (SELECT page_id, (CASE WHEN length(trim(regexp_replace(h, '(?s)<[^>]+>', '', 'g'))) < 500 THEN 1 ELSE 0 END + {_any('regexp_extract(h, ' + chr(39) + '(?s)<title[^>]*>([^<]+)</title>' + chr(39) + ', 1)', L.TITLE_ERRORS, 3)} + {_any('substr(h, 1, 2000)', L.STRONG_ERRORS, 2)} + {_any('substr(h, 1, 2000)', L.WEAK_ERRORS, 1)} + CASE WHEN regexp_matches(h, '<h[1-3][^>]*>[^<]*(?:404|not found|page missing)[^<]*</h[1-3]>') THEN 2 ELSE 0 END)::INTEGER AS signals FROM l) GROUP BY ALL")
 def soft_404(spark: SparkSession, sf: str) -> DataFrame:
     p = pages(spark, sf).select("page_id", "html")
     bad = p.select("page_id", F.concat(F.lit("<title>404</title><h1>not found</h1>"), F.col("page_id").cast("string")).alias("html"))
-    return p.unionByName(bad).groupBy(L.soft_404(F.col("html")).alias("signals")).agg(F.count("*").alias("pages"), F.min("page_id").alias("first_page"))
+    signals = L.soft_404(F.col("html"))
+    return p.unionByName(bad).groupBy(signals.alias("signals"), (signals >= L.SOFT_404).alias("error_page")).agg(F.count("*").alias("pages"), F.min("page_id").alias("first_page"))
 
 
 RULES = [(1, "suffix", ".html"), (2, "contains", "utm_"), (3, "prefix", "http://m."), (4, "regex", r"/de/[0-9]+$"), (5, "contains", "blog.")]

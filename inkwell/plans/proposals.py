@@ -44,19 +44,49 @@ def total_spread(spark: SparkSession, sf: str) -> DataFrame:
     return P.total_spread(items(spark, sf))
 
 
-POSITIVE = "pos AS (SELECT *, count(*) OVER o AS n, sum(amount) OVER o AS s, min(amount) OVER o AS low, max(amount) OVER o AS high, stddev_samp(amount) OVER o AS sd FROM items WHERE amount > 0 WINDOW o AS (PARTITION BY item_id))"
-FLAGS = f"""{ITEMS}, {TOTALS}, {POSITIVE}, e AS (SELECT proposal_id, count(*) FILTER (n > 1 AND amount < round((s - amount) / nullif(n - 1, 0), 6) * 0.5) AS u, count(*) FILTER (n > 1 AND round((high - low) / low * 100, 6) > 100 AND amount = high) AS x,
-  count(*) FILTER (n >= 3 AND sd > 0 AND abs(round((amount - s / n) / nullif(sd, 0), 6)) > 2) AS z, count(*) FILTER (amount >= 1000 AND amount % 1000 = 0) AS r, count(*) AS items, count(DISTINCT category) AS cats,
-  (SELECT count(DISTINCT item_id) FROM items) AS all_items, (SELECT count(DISTINCT category) FROM items) AS all_cats FROM pos GROUP BY proposal_id),
-flags AS (SELECT proposal_id, 'unbalanced_pricing' AS type, 'critical' AS severity, u AS n FROM e WHERE u > 0 UNION ALL SELECT proposal_id, 'round_numbers', 'warning', r FROM e WHERE r / items::DOUBLE > 0.5
-  UNION ALL SELECT proposal_id, 'missing_items', CASE WHEN all_items - items > all_items * 0.3 THEN 'critical' ELSE 'warning' END, all_items - items FROM e WHERE all_items > items UNION ALL SELECT proposal_id, 'extreme_variance', 'warning', x FROM e WHERE x > 0
-  UNION ALL SELECT proposal_id, 'sparse_data', 'info', items FROM e WHERE items < 3 UNION ALL SELECT proposal_id, 'missing_categories', CASE WHEN all_cats - cats >= 2 THEN 'warning' ELSE 'info' END, all_cats - cats FROM e WHERE all_cats > cats AND all_cats >= 2
-  UNION ALL SELECT proposal_id, 'price_reasonableness', 'warning', z FROM e WHERE z > 0)"""
+#: Offers as the flags need them: some prices missing, some fees, shared companies, and stated totals that may be missing.
+OFFERS = f"""{ITEMS}, offers AS (SELECT proposal_id, item_id, CASE WHEN item_id % 17 = 0 AND proposal_id % 4 = 0 THEN 'Fee' ELSE category END AS category, CASE WHEN (item_id + proposal_id) % 11 <> 0 THEN round(amount / (CASE WHEN (item_id * proposal_id) % 29 = 0 THEN 9 ELSE 1 END), 2) END AS amount, 0.5 + (item_id % 6) / 10.0 AS confidence FROM items),
+vendors AS (SELECT s_suppkey AS proposal_id, CASE WHEN s_suppkey % 13 <> 0 THEN 'Company ' || (s_suppkey % 3 + s_suppkey // 4 * 4) END AS company, CASE WHEN s_suppkey % 10 <> 0 THEN t END AS total FROM supplier LEFT JOIN (SELECT proposal_id, round(sum(amount), 2) AS t FROM offers GROUP BY 1) ON proposal_id = s_suppkey)"""
+
+
+def offers(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    i, v, part = F.col("item_id"), F.col("proposal_id"), items(spark, sf)
+    cheap = F.when((i * v) % 29 == 0, 9).otherwise(1)
+    made = part.select("proposal_id", "item_id", F.when((i % 17 == 0) & (v % 4 == 0), "Fee").otherwise(F.col("category")).alias("category"), F.when((i + v) % 11 != 0, F.round(F.col("amount") / cheap, 2)).alias("amount"), (0.5 + (i % 6) / 10.0).alias("confidence"))
+    total = made.groupBy("proposal_id").agg(F.round(F.sum("amount"), 2).alias("t"))
+    s = F.col("s_suppkey")
+    company = F.when(s % 13 != 0, F.concat(F.lit("Company "), (s % 3 + F.floor(s / 4) * 4).cast("string")))
+    vendors = table(spark, sf, "supplier").join(total, F.col("proposal_id") == s, "left").select(s.alias("proposal_id"), company.alias("company"), F.when(s % 10 != 0, F.col("t")).alias("total"))
+    return made, vendors
+
+
+FLAGS = f"""{OFFERS}, p AS (SELECT o.*, nullif(lower(trim(company)), '') AS firm FROM offers o LEFT JOIN vendors USING (proposal_id)),
+pr AS (SELECT * FROM p WHERE amount > 0),
+st AS (SELECT item_id, count(*) AS n, min(amount) AS low, max(amount) AS high, stddev_samp(amount) AS sd, sum(amount) / count(*) AS mean FROM pr GROUP BY 1),
+un AS (SELECT a.proposal_id, a.item_id FROM pr a JOIN pr b ON a.item_id = b.item_id AND a.proposal_id <> b.proposal_id GROUP BY ALL HAVING min(a.amount) < round(avg(b.amount), 6) * 0.5),
+pairs AS (SELECT a.proposal_id AS x, b.proposal_id AS y FROM pr a JOIN pr b ON a.item_id = b.item_id AND a.proposal_id <> b.proposal_id GROUP BY ALL HAVING count(*) >= 3 AND count(*) FILTER (abs(a.amount - b.amount) < 0.001) / count(*)::DOUBLE > 0.6),
+firms AS (SELECT nullif(lower(trim(company)), '') AS firm, count(*) AS offers FROM vendors GROUP BY 1),
+pricers AS (SELECT item_id, list(DISTINCT coalesce(firm, '')) AS f FROM p WHERE amount IS NOT NULL GROUP BY 1),
+terms AS (SELECT v.proposal_id, count(*) AS n FROM vendors v JOIN firms ON firm = lower(trim(v.company)) AND firms.offers > 1 JOIN pricers ON f = [firm] ANTI JOIN p ON p.proposal_id = v.proposal_id AND p.item_id = pricers.item_id AND p.amount IS NOT NULL GROUP BY 1),
+ev AS (SELECT v.proposal_id, coalesce(total, 0) AS total, count(p.item_id) AS items, count(amount) AS priced, count(*) FILTER (amount >= 1000 AND amount % 1000 = 0) AS rnd, coalesce(sum(amount) FILTER (category IN ('Fee', 'Overhead')), 0) AS fees,
+  count(DISTINCT category) FILTER (amount IS NOT NULL) AS cats, (SELECT count(DISTINCT item_id) FROM offers) AS all_items, (SELECT count(DISTINCT category) FROM offers) AS all_cats, coalesce(any_value(terms.n), 0) AS terms
+  FROM vendors v LEFT JOIN p USING (proposal_id) LEFT JOIN terms ON terms.proposal_id = v.proposal_id GROUP BY v.proposal_id, total),
+flags AS (SELECT proposal_id, 'unbalanced_pricing' AS type, 'critical' AS severity, count(*) AS flags, count(*)::DOUBLE AS value FROM un GROUP BY 1
+  UNION ALL SELECT proposal_id, 'round_numbers', 'warning', 1, rnd FROM ev WHERE rnd * 2 > items
+  UNION ALL SELECT proposal_id, 'missing_items', CASE WHEN all_items - priced - terms > all_items * 0.3 THEN 'critical' ELSE 'warning' END, 1, all_items - priced - terms FROM ev WHERE all_items - priced - terms > 0
+  UNION ALL SELECT proposal_id, 'term_specific_items', 'info', 1, terms FROM ev WHERE all_items - priced - terms <= 0 AND terms > 0
+  UNION ALL SELECT proposal_id, 'high_fee', 'warning', 1, round(fees / total * 100, 6) FROM ev WHERE total > 0 AND round(fees / nullif(total, 0) * 100, 6) > 20
+  UNION ALL SELECT proposal_id, 'extreme_variance', 'warning', count(*), count(*) FROM pr JOIN st USING (item_id) WHERE n > 1 AND round((high - low) / low * 100, 6) > 100 AND amount = high GROUP BY 1
+  UNION ALL SELECT proposal_id, 'sparse_data', 'info', 1, items FROM ev WHERE items < 3
+  UNION ALL SELECT proposal_id, 'no_total', 'warning', 1, total FROM ev WHERE total = 0
+  UNION ALL SELECT x, 'identical_pricing', 'warning', count(*), count(*) FROM pairs GROUP BY 1
+  UNION ALL SELECT proposal_id, 'missing_categories', CASE WHEN all_cats - cats >= 2 THEN 'warning' ELSE 'info' END, 1, all_cats - cats FROM ev WHERE all_cats > cats AND cats > 0 AND all_cats >= 2
+  UNION ALL SELECT proposal_id, 'price_reasonableness', 'warning', count(*), count(*) FROM pr JOIN st USING (item_id) WHERE n >= 3 AND sd > 0 AND abs(round((amount - mean) / nullif(sd, 0), 6)) > 2 GROUP BY 1)"""
 
 
 @query("a65_red_flags", f"WITH {FLAGS} SELECT * FROM flags")
 def red_flags(spark: SparkSession, sf: str) -> DataFrame:
-    return P.red_flags(items(spark, sf))
+    return P.red_flags(*offers(spark, sf))
 
 
 @query("a65_identical_pricing", f"WITH {ITEMS}, r AS (SELECT proposal_id, item_id, round(amount, -4) AS amount FROM items WHERE round(amount, -4) > 0) SELECT a.proposal_id AS a, b.proposal_id AS b, count(*) FILTER (a.amount = b.amount) AS alike, count(*) AS common FROM r a JOIN r b ON a.item_id = b.item_id AND a.proposal_id < b.proposal_id GROUP BY ALL HAVING count(*) >= 3 AND count(*) FILTER (a.amount = b.amount) / count(*)::DOUBLE > 0.6")
@@ -74,13 +104,14 @@ def rate_analysis(spark: SparkSession, sf: str) -> DataFrame:
     return P.rate_analysis(items(spark, sf))
 
 
-@query("a69_vendor_scores", f"""WITH {FLAGS}, risk AS (SELECT proposal_id, sum(CASE severity WHEN 'critical' THEN 3 WHEN 'warning' THEN 2 ELSE 1 END) AS points FROM flags GROUP BY 1),
-b AS (SELECT min(total) AS low, max(total) AS high FROM totals),
-s AS (SELECT t.proposal_id, round_even(100 - (total - low) / (high - low) * 80, 0) AS price, round_even(items / (SELECT count(DISTINCT item_id) FROM items)::DOUBLE * 100, 0) AS completeness, greatest(0, 100 - coalesce(points, 0) * 12)::DOUBLE AS risk FROM totals t, b LEFT JOIN risk r ON r.proposal_id = t.proposal_id),
-o AS (SELECT *, round_even(round(price * 0.40::DOUBLE + completeness * 0.25::DOUBLE + risk * 0.25::DOUBLE + 10.0::DOUBLE, 6), 0) AS overall FROM s)
+@query("a69_vendor_scores", f"""WITH {FLAGS}, risk AS (SELECT proposal_id, sum(flags * CASE severity WHEN 'critical' THEN 3 WHEN 'warning' THEN 2 ELSE 1 END) AS points FROM flags GROUP BY 1),
+b AS (SELECT min(total) AS low, max(total) AS high FROM vendors WHERE total > 0), own AS (SELECT proposal_id, count(amount) AS priced, round(avg(confidence), 9)::DOUBLE AS sure FROM offers GROUP BY 1),
+s AS (SELECT v.proposal_id, CASE WHEN total > 0 THEN round_even(100 - (total - low) / (high - low) * 80, 0) ELSE 50.0 END::DOUBLE AS price, round_even(coalesce(priced, 0) / (SELECT count(DISTINCT item_id) FROM offers)::DOUBLE * 100, 0) AS completeness, greatest(0, 100 - coalesce(points, 0) * 12)::DOUBLE AS risk,
+  round_even(round(coalesce(sure, 1) * 60 + CASE WHEN total > 0 THEN 25 ELSE 0 END + CASE WHEN company IS NULL THEN 0 ELSE 15 END, 6), 0) AS quality FROM vendors v CROSS JOIN b LEFT JOIN own ON own.proposal_id = v.proposal_id LEFT JOIN risk r ON r.proposal_id = v.proposal_id),
+o AS (SELECT *, round_even(round(price * 0.40::DOUBLE + completeness * 0.25::DOUBLE + risk * 0.25::DOUBLE + quality * 0.10::DOUBLE, 6), 0) AS overall FROM s)
 SELECT *, CASE WHEN overall >= 90 THEN 'A' WHEN overall >= 80 THEN 'B' WHEN overall >= 70 THEN 'C' WHEN overall >= 60 THEN 'D' ELSE 'F' END AS grade FROM o""")
 def vendor_scores(spark: SparkSession, sf: str) -> DataFrame:
-    return P.vendor_scores(items(spark, sf))
+    return P.vendor_scores(*offers(spark, sf))
 
 
 @query("a71_proposal_metrics", f"WITH {ITEMS} SELECT count(DISTINCT proposal_id) AS vendors, count(DISTINCT item_id) AS items, min(amount) AS lowest, max(amount) AS highest, sum(round(amount * 100)::BIGINT)::BIGINT / (100.0::DOUBLE * count(*)) AS mean, round(sum(amount), 2) AS total FROM items")

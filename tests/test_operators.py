@@ -95,12 +95,26 @@ def test_money_and_proposals(spark):
     assert [one(spark, P.money(F.col("x")), m) for m in ("$1,234.50", "(12)", "n/a")] == [pytest.approx(1234.5), -12, None]
     rows = [(v, i, "k", 1.0, a, 1.0) for i, amounts in enumerate([(100.0, 10.0, 100.0), (50.0, 50.0, 50.0)]) for v, a in enumerate(amounts)]
     items = spark.createDataFrame(rows, "proposal_id long, item_id long, category string, quantity double, amount double, unit_price double")
-    flags = {(r.proposal_id, r.type) for r in P.red_flags(items).collect()}
-    assert (1, "unbalanced_pricing") in flags and (0, "extreme_variance") in flags and (1, "extreme_variance") not in flags
     assert {(r.item_id, r.proposal_id): r.level for r in P.heatmap(items).collect()}[1, 0] == "neutral"
     c = {r.item_id: r for r in P.item_comparison(items).collect()}
     assert c[0].lowest_bidder == 1 and c[0].variance_pct == 900 and c[0].mean == 70
-    assert sorted(r.proposal_id for r in P.vendor_scores(items).where("price = 100").collect()) == [1]
+
+
+def test_flags_and_scores_by_hand(spark):
+    prices = {1: {1: 100.0, 2: 50.0, 3: 2000.0, 4: 10.0}, 2: {1: 10.0, 2: 50.0, 3: 2000.0}, 3: {1: 100.0, 2: 50.0, 3: 2000.0, 5: 7.0}}
+    kind = {1: "Labor", 2: "Fee", 3: "Labor", 4: "Travel", 5: None}
+    items = spark.createDataFrame([(v, i, kind[i], a, 0.5) for v, own in prices.items() for i, a in own.items()], "proposal_id long, item_id long, category string, amount double, confidence double")
+    vendors = spark.createDataFrame([(1, "Ace", 100.0), (2, "ace ", 2060.0), (3, "", None), (4, None, 0.0)], "proposal_id long, company string, total double")
+    got = {(r.proposal_id, r.type): (r.severity, r.flags, r.value) for r in P.red_flags(items, vendors).collect()}
+    assert got == {
+        (2, "unbalanced_pricing"): ("critical", 1, 1), (1, "extreme_variance"): ("warning", 1, 1), (3, "extreme_variance"): ("warning", 1, 1),
+        (1, "missing_items"): ("warning", 1, 1), (2, "missing_items"): ("warning", 1, 1), (3, "missing_items"): ("warning", 1, 1), (4, "missing_items"): ("critical", 1, 5),
+        (1, "high_fee"): ("warning", 1, 50), (4, "sparse_data"): ("info", 1, 0), (3, "no_total"): ("warning", 1, 0), (4, "no_total"): ("warning", 1, 0),
+        (1, "identical_pricing"): ("warning", 2, 2), (2, "identical_pricing"): ("warning", 2, 2), (3, "identical_pricing"): ("warning", 2, 2),
+        (1, "missing_categories"): ("info", 1, 1), (2, "missing_categories"): ("warning", 1, 2), (3, "missing_categories"): ("info", 1, 1),
+    }
+    scores = {r.proposal_id: (r.price, r.completeness, r.risk, r.quality) for r in P.vendor_scores(items, vendors).collect()}
+    assert scores == {1: (100, 80, 0, 70), 2: (20, 60, 0, 70), 3: (50, 80, 0, 30), 4: (50, 0, 28, 60)}
 
 
 def test_identical_pricing(spark):

@@ -17,7 +17,7 @@ def value(spark, column, **literals):
     return spark.range(1).select(*[F.lit(v).alias(k) for k, v in literals.items()]).select(column.alias("x")).first().x
 
 
-@pytest.mark.parametrize(("word", "n"), [("the", 1), ("table", 2), ("make", 1), ("idea", 3), ("banana", 3), ("rhythm", 1), ("pale", 1), ("", 0), ("naïve", 1)])
+@pytest.mark.parametrize(("word", "n"), [("the", 1), ("table", 2), ("make", 1), ("idea", 3), ("banana", 3), ("rhythm", 1), ("pale", 1), ("", 0), ("naïve", 1), ("real", 1), ("another", 3), ("business", 3), ("higher", 2)])
 def test_syllables(spark, word, n):
     assert value(spark, X.syllables(F.col("w")), w=word) == n
 
