@@ -1 +1 @@
-"""Reading and writing."""
+"""Readers and writers of corpora, dictionaries and results."""
