@@ -17,7 +17,7 @@ def read_corpus(spark: SparkSession, path: str, fmt: str = "parquet", columns: d
     that it does not depend on how rows are dealt.
     """
     if fmt == "text":
-        raw = spark.read.option("wholetext", True).options(**options).text(path).select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("source"))
+        raw = spark.read.options(**options).text(path, wholetext=True).select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("source"))
     else:
         raw = spark.read.format(fmt).options(**options).load(path)
     own, out = columns or {}, []
