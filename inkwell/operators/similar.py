@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkwell.functions.text import cosine
+from inkwell.functions.text import cosine, lower_words
+from inkwell.operators.graph import with_hubs
 from inkwell.operators.metrics import top_k
-from inkwell.operators.text import tokens
+from inkwell.operators.text import STOPWORDS, tokens
 
 
 def dictionary_of(texts: DataFrame) -> DataFrame:
@@ -85,3 +86,75 @@ def align_lines(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 def diff_statistics(aligned: DataFrame, keys: list[str]) -> DataFrame:
     return aligned.groupBy(*keys).agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("unchanged", "added", "deleted")])
+
+
+def word_classes(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Texts (id, text) by their content words: membership (id, cls) and (cls, size, words), a row a class.
+
+    Texts with equal words, in any order, are one class, named by its least id; so copies are compared once.
+    """
+    words = F.filter(lower_words(F.coalesce("text", F.lit(""))), lambda w: (F.length(w) >= 2) & ~w.isin(*STOPWORDS))
+    keyed = texts.select("id", F.array_sort(words).alias("words")).withColumn("key", F.md5(F.array_join("words", " ")))
+    classes = keyed.groupBy("key").agg(F.min("id").alias("cls"), F.count("*").alias("size"), F.first("words").alias("words"))
+    return keyed.select("id", "key").join(classes.select("key", "cls"), "key").select("id", "cls"), classes.select("cls", "size", "words")
+
+
+def tfidf_vectors(classes: DataFrame, least: float) -> DataFrame:
+    """(cls, word, u, indexed): unit vectors by tf * (ln((1 + N) / (1 + df)) + 1) over all texts of the classes.
+
+    `indexed` marks the words, rarest first, before those that together cannot reach the likeness `least`: two vectors
+    at least so alike share a word that both have indexed, so nothing is lost when only these are joined.
+    """
+    terms = classes.select("cls", "size", F.explode("words").alias("word")).groupBy("cls", "size", "word").agg(F.count("*").alias("tf")).checkpoint()
+    df = terms.groupBy("word").agg(F.sum("size").alias("df"), F.count("*").alias("rows"))
+    texts = F.broadcast(classes.agg(F.sum("size").alias("texts")))
+    weight = F.col("tf") * (F.log((1 + F.col("texts")) / (1 + F.col("df"))) + 1)
+    weighted = with_hubs(terms, df, ["word"], "rows", terms.count()).join(texts).withColumn("w", weight)
+    own = Window.partitionBy("cls")
+    unit = weighted.withColumn("u", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(own)))
+    rest = F.sum(F.col("u") * F.col("u")).over(own.orderBy(F.desc("df"), F.desc("word")).rowsBetween(Window.unboundedPreceding, 0))
+    return unit.withColumn("rest", rest).select("cls", "word", "u", (F.col("rest") >= least * least - 1e-9).alias("indexed"))
+
+
+def cosine_links(left: DataFrame, right: DataFrame, keys: list[str], least: float) -> DataFrame:
+    """(keys, a, b, score) of all vectors of both sides, within a key, whose cosine is at least `least`; sides as of tfidf_vectors.
+
+    Joined by indexed words, then verified on whole vectors. The same frame on both sides gives each pair once, a < b.
+    """
+    once = F.col("a") < F.col("b") if left is right else F.lit(True)
+    side = lambda df, cls, u: df.select(*keys, F.col("cls").alias(cls), "word", F.col("u").alias(u), "indexed")
+    a, b = side(left, "a", "ua"), side(right, "b", "ub")
+    met = a.where("indexed").select(*keys, "word", "a").join(b.where("indexed").select(*keys, "word", "b"), [*keys, "word"]).where(once).select(*keys, "a", "b").distinct()
+    dots = met.join(a.drop("indexed"), [*keys, "a"]).join(b.drop("indexed"), [*keys, "b", "word"]).groupBy(*keys, "a", "b").agg(F.sum(F.col("ua") * F.col("ub")).alias("score"))
+    return dots.where(F.round("score", 9) >= least)
+
+
+def duplicate_requirements(reqs: DataFrame, similar: float = 0.80, duplicate: float = 0.92) -> tuple[DataFrame, DataFrame]:
+    """Requirements (id, text) that say nearly the same: links (a, b, score, kind, pairs) between classes of equal words, and membership.
+
+    `kind` is duplicate or similar; `pairs` is the number of pairs of texts that the link stands for. All texts count,
+    and no link is dropped. Members of one class are duplicates of each other, texts without content words of none.
+    """
+    membership, classes = word_classes(reqs)
+    classes = classes.checkpoint()
+    vectors = tfidf_vectors(classes, similar).checkpoint()
+    links = cosine_links(vectors, vectors, [], similar)
+    size = lambda c: classes.select(F.col("cls").alias(c), F.col("size").alias(f"{c}_size"))
+    kind = F.when(F.round("score", 9) >= duplicate, "duplicate").otherwise("similar")
+    return links.join(size("a"), "a").join(size("b"), "b").select("a", "b", "score", kind.alias("kind"), (F.col("a_size") * F.col("b_size")).alias("pairs")), membership
+
+
+def match_sentences(sents: DataFrame, pairs: DataFrame, least: float = 0.8) -> DataFrame:
+    """(a, b, s, t, score): classes s of sentences in document a and t in document b that are alike, for every given pair (a, b).
+
+    Sentences: (doc_id, id, text), their ids unique over all documents. A sentence is compared under its class of equal
+    words, once a document; the same class in both documents has score 1.
+    """
+    membership, classes = word_classes(sents.select("id", "text"))
+    vectors = tfidf_vectors(classes.checkpoint(), least).checkpoint()
+    held = sents.select("doc_id", "id").join(membership, "id").select("doc_id", "cls").distinct()
+    side = lambda c: pairs.select("a", "b").distinct().join(held, F.col(c) == F.col("doc_id")).select("a", "b", "cls").join(vectors, "cls")
+    left, right = side("a"), side("b")
+    renamed = lambda df: df.withColumnsRenamed({"a": "doc_a", "b": "doc_b"})
+    links = cosine_links(renamed(left), renamed(right), ["doc_a", "doc_b"], least)
+    return links.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"), F.col("a").alias("s"), F.col("b").alias("t"), "score")

@@ -10,6 +10,7 @@ from inkwell.operators import text as T
 from inkwell.operators.rules import SEVERITY_WEIGHTS, SAME_CATEGORY
 from inkwell.plans.metrics import LINES, docs
 from inkwell.plans.review import REVIEW
+from inkwell.plans.statements import SPEC, spec
 from inkwell.registry import query
 
 
@@ -53,3 +54,19 @@ scored AS (SELECT doc_id, coalesce(n, 0) AS issues, floor(100 - least(80.0, coal
 SELECT *, CASE WHEN score >= 90 THEN 'A' WHEN score >= 80 THEN 'B' WHEN score >= 70 THEN 'C' WHEN score >= 60 THEN 'D' ELSE 'F' END AS grade FROM scored""")
 def review_all_packs(spark: SparkSession, sf: str) -> DataFrame:
     return P.full_review(docs(spark, sf))
+
+
+#: The specification's lines, some with wide spaces and splices.
+_WIDE = "wide AS (SELECT doc_id, para_idx, CASE para_idx % 5 WHEN 0 THEN '  ' || replace(text, ' ', '  ') WHEN 1 THEN replace(text, ' of ', ', it runs of ') WHEN 2 THEN replace(text, '. ', ', however ') WHEN 3 THEN '4.1  ' || text || '  end' ELSE text END AS text FROM spec)"
+_SPLICE = ", ".join(rf"nullif(regexp_extract(lower(regexp_replace(text, '[^\x01-\x7F]', '_', 'g')), '{p}'), '')" for p in P.SPLICES)
+
+
+@query("r8_punctuation_rules", rf"""WITH {SPEC}, {_WIDE}, long AS (SELECT * FROM wide WHERE length(trim(text)) >= 10),
+runs AS (SELECT doc_id, para_idx, regexp_extract_all(regexp_replace(text, '^\s+', ''), '  +') AS h FROM long WHERE NOT regexp_matches(text, {quoted('|'.join(f'(?:{p})' for p in P.SPACED))})),
+splices AS (SELECT doc_id, para_idx, coalesce({_SPLICE}) AS h FROM long)
+SELECT doc_id, para_idx::INTEGER AS para_idx, 'PUN001' AS rule_id, len(h)::INTEGER AS n, md5(h[1]) AS flagged_md5 FROM runs WHERE len(h) > 0 UNION ALL SELECT doc_id, para_idx::INTEGER, 'PUN002', 1, md5(h) FROM splices WHERE h IS NOT NULL""")
+def punctuation_rules(spark: SparkSession, sf: str) -> DataFrame:
+    text, i = F.col("text"), F.col("para_idx") % 5
+    wide = F.when(i == 0, F.concat(F.lit("  "), F.replace(text, F.lit(" "), F.lit("  ")))).when(i == 1, F.replace(text, F.lit(" of "), F.lit(", it runs of "))).when(i == 2, F.replace(text, F.lit(". "), F.lit(", however "))).when(i == 3, F.concat(F.lit("4.1  "), text, F.lit("  end"))).otherwise(text)
+    found = P.punctuation_rules(spec(spark, sf).withColumn("text", wide))
+    return found.select("doc_id", "para_idx", "rule_id", "n", F.md5("flagged").alias("flagged_md5"))
