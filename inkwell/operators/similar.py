@@ -22,6 +22,37 @@ def unknown_words(docs: DataFrame, dictionary: DataFrame, learned: int = 3) -> D
     return n.join(dictionary.select("word"), "word", "left_anti").where(F.col("n") < learned).select("doc_id", "word", "n")
 
 
+#: Endings and beginnings that a known word may take (fixed values).
+SUFFIXES = ("ing", "ed", "er", "est", "ly", "s", "es", "tion", "sion", "ment", "ness", "able", "ible", "ful", "less", "ous", "ive", "al", "ial", "ic", "ical", "ity", "ty", "ance", "ence")
+PREFIXES = ("un", "re", "pre", "dis", "mis", "non", "over", "under", "sub", "super", "anti", "auto", "co", "de", "inter", "multi", "post", "semi", "trans")
+
+
+def known_forms(words: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """(word) of words that are a known word with an ending (an e dropped or a letter doubled before it) or a beginning, or two known words.
+
+    Words of more than twice the longest known word's letters are not cut in two, as no half could be known.
+    """
+    asked, known = words.select("word").distinct(), dictionary.select(F.col("word").alias("base")).distinct()
+    w = F.col("word")
+    held = lambda parts, has: F.filter(F.array(*map(F.lit, parts)), lambda x: has(w, x) & (F.length(w) > F.length(x)))
+    stems = F.transform(held(SUFFIXES, F.endswith), lambda x: F.substring(w, F.lit(1), F.length(w) - F.length(x)))
+    doubled = F.filter(stems, lambda b: (F.length(b) >= 2) & (F.substring(b, F.length(b), F.lit(1)) == F.substring(b, F.length(b) - 1, F.lit(1))))
+    bases = F.concat(stems, F.transform(stems, lambda b: F.concat(b, F.lit("e"))), F.transform(doubled, lambda b: F.substring(b, F.lit(1), F.length(b) - 1)), F.transform(held(PREFIXES, F.startswith), lambda x: F.substring(w, F.length(x) + 1, F.length(w))))
+    affixed = asked.select("word", F.explode(F.array_distinct(bases)).alias("base")).join(known, "base", "left_semi").select("word")
+    longest = F.broadcast(known.agg(F.coalesce(F.max(F.length("base")), F.lit(0)).alias("longest")))  # one row
+    short = asked.join(longest).where((F.length("word") >= 4) & (F.length("word") <= 2 * F.col("longest"))).select("word")
+    halves = F.transform(F.sequence(F.lit(2), F.length(w) - 2), lambda i: F.struct(F.substring(w, F.lit(1), i).alias("base"), F.substring(w, i + 1, F.length(w)).alias("second")))
+    first = short.select("word", F.inline(halves)).join(known, "base", "left_semi")
+    compound = first.join(known.select(F.col("base").alias("second")), "second", "left_semi").select("word")
+    return affixed.unionByName(compound).distinct()
+
+
+def unknown_by_rule(docs: DataFrame, dictionary: DataFrame, learned: int = 3) -> DataFrame:
+    """The unknown words (doc_id, word, n) that are no form of a known word either."""
+    unknown = unknown_words(docs, dictionary, learned)
+    return unknown.join(known_forms(unknown, dictionary), "word", "left_anti").select("doc_id", "word", "n")
+
+
 def corrections(words: DataFrame, misspellings: DataFrame) -> DataFrame:
     """(word, correction, n) of known misspellings; misspellings: (word, correction)."""
     return words.join(misspellings, "word").select("word", "correction", "n")

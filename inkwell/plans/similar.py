@@ -28,6 +28,27 @@ def unknown_words(spark: SparkSession, sf: str) -> DataFrame:
     return S.unknown_words(docs(spark, sf), dictionary(spark, sf))
 
 
+_LISTED = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+_STEMS = f"list_transform(list_filter({_LISTED(S.SUFFIXES)}, lambda x: ends_with(word, x) AND length(word) > length(x)), lambda x: substr(word, 1, length(word) - length(x)))"
+FORMS = f"""u AS (SELECT doc_id, word, count(*) AS n FROM tokens ANTI JOIN dict USING (word) GROUP BY ALL HAVING count(*) < 3), asked AS (SELECT DISTINCT word FROM u),
+stems AS (SELECT word, unnest({_STEMS}) AS b FROM asked),
+bases AS (SELECT word, b FROM stems UNION ALL SELECT word, b || 'e' FROM stems UNION ALL SELECT word, substr(b, 1, length(b) - 1) FROM stems WHERE length(b) >= 2 AND b[-1] = b[-2]
+  UNION ALL SELECT word, unnest(list_transform(list_filter({_LISTED(S.PREFIXES)}, lambda x: starts_with(word, x) AND length(word) > length(x)), lambda x: substr(word, length(x) + 1))) FROM asked),
+halves AS (SELECT word, substr(word, 1, i) AS a, substr(word, i + 1) AS b FROM (SELECT word, unnest(range(2, length(word) - 1)) AS i FROM asked)),
+forms AS (SELECT word FROM bases WHERE b IN (SELECT word FROM dict) UNION SELECT word FROM halves WHERE a IN (SELECT word FROM dict) AND b IN (SELECT word FROM dict))"""
+
+
+@query("j1_unknown_by_rule", f"WITH {BENCH}, {TOKENS}, {FORMS} SELECT doc_id, word, n FROM u ANTI JOIN forms USING (word)")
+def unknown_by_rule(spark: SparkSession, sf: str) -> DataFrame:
+    return S.unknown_by_rule(docs(spark, sf), dictionary(spark, sf))
+
+
+@query("j1_known_forms", f"WITH {BENCH}, {TOKENS}, {FORMS} SELECT word FROM forms")
+def known_forms(spark: SparkSession, sf: str) -> DataFrame:
+    d = dictionary(spark, sf)
+    return S.known_forms(S.unknown_words(docs(spark, sf), d), d)
+
+
 @query("j2_corrections", f"WITH {BENCH}, {TOKENS}, w AS (SELECT word, count(*) AS n FROM tokens GROUP BY 1), m AS (SELECT word || 's' AS word, word AS correction FROM dict) SELECT word, correction, w.n AS n FROM w JOIN m USING (word)")
 def corrections(spark: SparkSession, sf: str) -> DataFrame:
     words = S.dictionary_of(docs(spark, sf))
