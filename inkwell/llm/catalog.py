@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from inkwell.llm.ann import op8_ann
+from inkwell.llm.audit import OP11_SQL, op11_audit
 from inkwell.llm.bpe import op2_bpe
 from inkwell.llm.langid import op3_langid
 from inkwell.llm.media import op1_media
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_ann": op8_ann,
     "op9_toxicity": op9_toxicity,
     "op10_mixing": op10_mixing,
+    "op11_audit": op11_audit,
 }
-ORACLES: dict[str, str] = {"op7_warc": OP7_SQL, "op10_mixing": OP10_SQL}
+ORACLES: dict[str, str] = {"op7_warc": OP7_SQL, "op10_mixing": OP10_SQL, "op11_audit": OP11_SQL}
