@@ -12,6 +12,7 @@ from inkwell.llm.quality import op6_quality
 from inkwell.llm.simhash import op4_simhash
 from inkwell.llm.toxicity import op9_toxicity
 from inkwell.llm.urlfilter import op5_urlfilter
+from inkwell.llm.variants import OP12_SQL, op12_variants
 from inkwell.llm.warc import OP7_SQL, op7_warc
 
 QUERIES = {
@@ -26,5 +27,6 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_mixing": op10_mixing,
     "op11_audit": op11_audit,
+    "op12_variants": op12_variants,
 }
-ORACLES: dict[str, str] = {"op7_warc": OP7_SQL, "op10_mixing": OP10_SQL, "op11_audit": OP11_SQL}
+ORACLES: dict[str, str] = {"op7_warc": OP7_SQL, "op10_mixing": OP10_SQL, "op11_audit": OP11_SQL, "op12_variants": OP12_SQL}
