@@ -8,6 +8,7 @@ from inkwell.llm.bpe import op2_bpe
 from inkwell.llm.langid import op3_langid
 from inkwell.llm.media import op1_media
 from inkwell.llm.mixing import OP10_SQL, op10_mixing
+from inkwell.llm.packing import op13_packing
 from inkwell.llm.quality import op6_quality
 from inkwell.llm.simhash import op4_simhash
 from inkwell.llm.toxicity import op9_toxicity
@@ -28,5 +29,6 @@ QUERIES = {
     "op10_mixing": op10_mixing,
     "op11_audit": op11_audit,
     "op12_variants": op12_variants,
+    "op13_packing": op13_packing,
 }
 ORACLES: dict[str, str] = {"op7_warc": OP7_SQL, "op10_mixing": OP10_SQL, "op11_audit": OP11_SQL, "op12_variants": OP12_SQL}
