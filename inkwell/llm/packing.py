@@ -22,12 +22,15 @@ the input is partitioned.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -36,7 +39,7 @@ from inkwell.llm.common import by_small_batches, kept, slices, written
 
 LENGTH, END_ID = 2048, 1
 VECTOR, AXES, BITS, SEED = 1024, 4, 12, 20_48
-MOST_WORDS = 400_000
+MOST_WORDS, GROUP_BYTES = 2_000_000, 8_000_000
 
 _SPACE, _LETTER, _DIGIT, _MARK, _OTHER = range(5)
 
@@ -67,31 +70,49 @@ LOWER[9:14] = 32
 
 
 class Encoder:
-    """Ids of texts by a tokenizer whose pattern matches runs of letters, single digits and runs of marks, lower-cased."""
+    """Ids of texts by a tokenizer that composes and lower-cases, and matches runs of letters, single digits and runs of marks."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks use the cores
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.merge = self.tokenizer.model.tokenize
+        self.matches = regex.compile(json.loads(self.tokenizer.to_str())["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
+        self.plain = re.compile("[!-~¡-įı-ɏ]+").fullmatch
+        hidden = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+        self.printable = {b: 256 + i for i, b in enumerate(hidden)}  # bytes as the byte-level step writes them
         self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.starts, self.flat = np.zeros(1, np.int64), np.zeros(0, self.type)
-
-    def numbers(self, words: list[str]) -> np.ndarray:
-        """The number of each distinct word; new ones are encoded."""
-        if len(self.known) + len(words) > MOST_WORDS:
+        self.words = pa.array([], pa.string())
+        self.starts, self.flat = np.zeros(1, np.int32), np.zeros(0, self.type)
+
+    def ids_of(self, word: str) -> list[int]:
+        """The ids of a word; one of Latin characters, which no normal form changes, is cut and merged without other steps."""
+        bare = word.rstrip(" ")
+        if bare.isascii() and bare.isalpha():
+            return [t.id for t in self.merge(bare)]
+        if self.plain(bare):
+            return [t.id for m in self.matches(bare.lower()) for t in self.merge(m.encode().decode("latin-1").translate(self.printable))]
+        return self.tokenizer.encode(word, add_special_tokens=False).ids
+
+    def numbers(self, words: pa.StringArray) -> np.ndarray:
+        """The number of each distinct word among those known; new ones are encoded and become known."""
+        if len(self.words) + len(words) > MOST_WORDS:
             self.clear()
-        if new := [w for w in words if w not in self.known]:
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            self.known |= zip(new, range(len(self.known), len(self.known) + len(new)), strict=True)
-            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum([len(f) for f in found])])
-            self.flat = np.concatenate([self.flat, np.fromiter((i for f in found for i in f), self.type)])
-        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        places = pc.index_in(words, value_set=self.words)
+        new = words.filter(places.is_null())
+        out = places.fill_null(-1).to_numpy().copy()
+        out[out < 0] = np.arange(len(self.words), len(self.words) + len(new))
+        found = [self.ids_of(w) for w in new.to_pylist()]
+        self.words = pa.concat_arrays([self.words, new])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum([len(f) for f in found], dtype=np.int32)])
+        self.flat = np.concatenate([self.flat, np.fromiter((i for f in found for i in f), self.type)])
+        return out
 
     def encode(self, texts: pa.StringArray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, where each text's begin and the last one's end), each text closed by the end id."""
@@ -104,13 +125,14 @@ class Encoder:
         cut[offsets] = True
         begin = np.flatnonzero(cut).astype(np.int32)
         words = pa.StringArray.from_buffers(len(begin) - 1, pa.py_buffer(begin), pa.py_buffer(LOWER[raw])).dictionary_encode()
-        number = self.numbers(words.dictionary.to_pylist())
+        number = self.numbers(words.dictionary)
         first, size = self.starts[number], self.starts[number + 1] - self.starts[number]
         each = words.indices.to_numpy()
         sizes = size[each]
-        ends = np.r_[0, np.cumsum(sizes)]
-        ids = self.flat[np.repeat(first[each] - ends[:-1], sizes) + np.arange(ends[-1])]
-        bounds = ends[np.searchsorted(begin[:-1], offsets)]
+        ends = np.zeros(len(sizes) + 1, np.int32)
+        np.cumsum(sizes, out=ends[1:])
+        ids = self.flat[np.repeat(first[each] - ends[:-1], sizes) + np.arange(ends[-1], dtype=np.int32)]
+        bounds = ends[np.searchsorted(begin[:-1], offsets)].astype(np.int64)
         return np.insert(ids, bounds[1:], end_id), bounds + np.arange(len(bounds))
 
 
@@ -151,6 +173,22 @@ def places_of(ids: np.ndarray, bounds: np.ndarray, projection: np.ndarray) -> np
     return hilbert_keys(np.minimum(inside * (1 << BITS), (1 << BITS) - 1).astype(np.int64))
 
 
+def groups(batches: Iterable[pa.RecordBatch], text_col: str, size: int) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of about `size` bytes of text (or one row), whatever batches they came in."""
+    some: list[pa.RecordBatch] = []
+    total = 0
+    for batch in batches:
+        for piece in slices(batch, text_col, size):
+            n = pc.sum(pc.binary_length(piece.column(text_col))).as_py() or 0
+            if some and total + n > size:
+                yield pa.concat_batches(some)
+                some, total = [], 0
+            some.append(piece)
+            total += n
+    if some:
+        yield pa.concat_batches(some)
+
+
 def encoded(docs: DataFrame, path: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n, key, ids: little-endian bytes, tie, number) of every row, written; number is the row's own."""
     slim = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -158,12 +196,11 @@ def encoded(docs: DataFrame, path: str, end_id: int = END_ID, id_col: str = "doc
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = kept("packing", path, lambda: Encoder(path))
         projection = np.random.default_rng(SEED).standard_normal((VECTOR, AXES))
-        for batch in batches:
-            for piece in slices(batch, "text", 4_000_000):
-                ids, bounds = encoder.encode(piece.column("text"), end_id)
-                offsets = pa.py_buffer((bounds * encoder.type.itemsize).astype(np.int32))
-                bytes_ = pa.BinaryArray.from_buffers(pa.binary(), len(bounds) - 1, [None, offsets, pa.py_buffer(ids.astype(encoder.type))])
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(np.diff(bounds)), pa.array(places_of(ids, bounds, projection)), bytes_], ["doc_id", "n", "key", "ids"])
+        for group in groups(batches, "text", GROUP_BYTES):
+            ids, bounds = encoder.encode(group.column("text"), end_id)
+            offsets = pa.py_buffer((bounds * encoder.type.itemsize).astype(np.int32))
+            bytes_ = pa.BinaryArray.from_buffers(pa.binary(), len(bounds) - 1, [None, offsets, pa.py_buffer(ids.astype(encoder.type))])
+            yield pa.RecordBatch.from_arrays([group.column("doc_id"), pa.array(np.diff(bounds)), pa.array(places_of(ids, bounds, projection)), bytes_], ["doc_id", "n", "key", "ids"])
 
     found = by_small_batches(slim).mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, n bigint, key bigint, ids binary")
     return written(found.select("*", F.xxhash64("doc_id", "ids").alias("tie"), F.monotonically_increasing_id().alias("number")), "packing-tokens")

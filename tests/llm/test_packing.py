@@ -22,11 +22,12 @@ def whole():
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
-ODD = "aZ é İIKſß'sT9٣ \t\n\x0b\x85 ,.!—́̇ͅ中ﷺΣσ<|>endoftext😀\x1c"
+LATIN = "aéßÿÀÞøİıſŉĄ'sdvm9²¼ªº× ,.-"
+ODD = "\x01aZ é İIKſß'sT9٣ \t\n\x0b\x85 ,.!—́̇ͅ中ﷺΣσ<|>endoftext😀\x1c"
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.lists(st.one_of(st.text(ODD, max_size=30), st.text(max_size=20)), min_size=1, max_size=6))
+@given(st.lists(st.one_of(st.text(ODD, max_size=30), st.text(LATIN, max_size=30), st.text(max_size=20)), min_size=1, max_size=6))
 def test_encoder_equals_the_tokenizer(texts):
     t = Tokenizer.from_file(PATH) if not hasattr(P, "_t") else P._t
     P._t = t
