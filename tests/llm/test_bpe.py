@@ -41,3 +41,20 @@ def test_unknown_ids_are_refused():
 
     with pytest.raises((ValueError, IndexError)):
         bpe.codec(bpe.read_ranks(PATH), P.PATTERN).decode([np.array([50_256], np.int32)])
+
+
+def test_long_words():
+    """Words of one kind of pair, of many, and of overlapping and lower-ranked ones, against the library."""
+    import random
+
+    import numpy as np
+
+    r, enc = random.Random(1), library()
+    kit = bpe.codec(bpe.read_ranks(PATH), P.PATTERN)
+    words = ["-" * 100_000, "".join(r.choice("中文的人是在了有我们天地不上大来到时") for _ in range(33_000)), "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1500))]
+    words += ["".join(r.choice(r.choice(["aab", "-=", "abcd", "thein", "ab", "é中"])) for _ in range(r.randint(2, 90))) for _ in range(1500)]
+    bs = [w.encode() for w in words if w.encode() not in kit.ranks]
+    got = kit.merge_by_sql(bs, long=True)
+    assert [np.frombuffer(x, np.int32).tolist() for x in got] == [enc._core_bpe.encode_single_piece(b) for b in bs]
+    short = [b for b in bs if len(b) <= bpe.LONG_WORD]
+    assert kit.merge_by_sql(short) == kit.merge_by_sql(short, long=True)
