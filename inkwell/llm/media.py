@@ -9,8 +9,11 @@ content refers to the same bytes.
 A shard's name holds the task attempt, and the rows that refer to it are written as a Parquet table at once: a lost or
 repeated task leaves at most an unreferenced shard behind, and later losses never lead to a second store.
 
+Rows meet their content's columns by digest; digests that very many rows have (the empty text's, say) are salted.
+
 Defined results: a null or empty text is a payload of 64 zero bytes with n_bytes 0; repeated rows each get a row; a
-null doc_id is kept; an empty table gives no rows and no shard.
+null doc_id is kept; an empty table gives no rows and no shard; equal texts refer to one place, the first by shard and
+offset; a text of any length is one payload, which a task holds in memory; other columns of any name are ignored.
 """
 
 from __future__ import annotations
@@ -28,12 +31,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.llm.common import by_small_batches, new_path, slices, written
+from inkwell.operators.graph import HUBS
 
 WIDTH = 64
 HEADER = 33
 MAGIC = b"\x89PNG\r\n\x1a\n"
 LEVEL = 5
 SHARD_BYTES = 512 << 20
+#: A digest with over a HUBS-th of the rows is joined in SALTS parts.
+SALTS = 64
 
 
 def padded(text: bytes) -> bytes:
@@ -189,8 +195,11 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Stores every payload, then reads headers and payloads back: one row per row of docs with all columns."""
     folder = new_path(docs.sparkSession, "media")
     stored = written(store(docs, folder, id_col, text_col), "media-rows")
-    read = features(catalogue(stored), folder)
-    return stored.select("doc_id", "n_bytes", "digest").join(read, "digest")
+    hot = stored.groupBy("digest").count().where(F.col("count") * HUBS > stored.count()).select("digest", F.lit(SALTS).alias("salts"))  # at most HUBS rows
+    salts = F.coalesce("salts", F.lit(1))
+    rows = stored.select("doc_id", "n_bytes", "digest").join(F.broadcast(hot), "digest", "left").withColumn("salt", F.pmod(F.monotonically_increasing_id(), salts).cast("int"))
+    read = features(catalogue(stored), folder).join(F.broadcast(hot), "digest", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    return rows.drop("salts").join(read.drop("salts"), ["digest", "salt"]).drop("salt")
 
 
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:

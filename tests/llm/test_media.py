@@ -71,3 +71,13 @@ def test_header_reads_only_the_header(spark):
 
 def test_no_rows(spark):
     assert M.media_columns(frame(spark).limit(0)).count() == 0
+
+
+def test_half_the_texts_are_null(spark):
+    rows = [(i, None if i % 2 else f"text {i}", 1, "s") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, salt int, digest string")
+    got = {r.doc_id: (r.n_bytes, r.payload_sha256) for r in M.media_columns(df).collect()}
+    assert len(got) == 3000
+    for i, text, _, _ in rows:
+        raw = (text or "").encode()
+        assert got[i] == (len(raw), hashlib.sha256(M.padded(raw)).hexdigest())
