@@ -124,20 +124,18 @@ def spread_sample(rows: DataFrame, group_col: str, id_col: str, salt: str, most:
 
     Groups are counted first; then a filter by the hash, on the rows where they lie, leaves about twice as many of a
     large group (and MARGIN_ROWS), and only their ids reach the driver, which orders them. No group is sent to a task,
-    and the driver holds at most groups * (2 * most + MARGIN_ROWS) ids. Groups are the classes of a model: more than
-    MOST_GROUPS of them raise an error. Rows are to be distinct by (id, group).
+    and the driver holds at most groups * (2 * most + MARGIN_ROWS) ids. Groups are the classes of a model: it learns the
+    MOST_GROUPS with most rows (of equal ones those that sort first). Rows are to be distinct by (id, group).
     """
     hashed = rows.select(F.col(id_col).alias("chosen"), F.col(group_col).alias("of_group"), F.xxhash64(F.col(id_col).cast("string"), F.lit(salt)).alias("h"))
-    sizes = hashed.groupBy("of_group").count().limit(MOST_GROUPS + 1).collect()
-    if len(sizes) > MOST_GROUPS:
-        raise ValueError(f"more than {MOST_GROUPS} classes")
-    shares = {r["of_group"]: int(1_000_000 * (2 * most + MARGIN_ROWS) / r["count"]) + 1 for r in sizes}
+    sizes = hashed.groupBy("of_group").count().orderBy(F.desc("count"), "of_group").limit(MOST_GROUPS).collect()
+    shares = [(r["of_group"], int(1_000_000 * (2 * most + MARGIN_ROWS) / r["count"]) + 1) for r in sizes]
+    share_schema = T.StructType([T.StructField("group", hashed.schema["of_group"].dataType), T.StructField("share", T.LongType())])
     schema = T.StructType([*hashed.select("chosen", "of_group").schema.fields, T.StructField("place", T.IntegerType())])
-    thinned = F.lit(False)
-    for group, share in shares.items():
-        thinned = thinned | ((F.col("of_group") == F.lit(group)) & (F.pmod("h", F.lit(1_000_000)) < share))
+    known = F.broadcast(rows.sparkSession.createDataFrame(shares, share_schema))  # at most MOST_GROUPS rows
+    thinned = hashed.join(known, (F.col("of_group") == F.col("group")) & (F.pmod("h", F.lit(1_000_000)) < F.col("share"))).drop("group", "share")
     places: dict = {}
-    for r in sorted(hashed.where(thinned).collect() if shares else [], key=lambda r: (r["h"], r["chosen"])):
+    for r in sorted(thinned.collect(), key=lambda r: (r["h"], r["chosen"])):
         places.setdefault(r["of_group"], []).append(r["chosen"])
     return rows.sparkSession.createDataFrame([(chosen, group, i + 1) for group, found in places.items() for i, chosen in enumerate(found[:most])], schema)
 

@@ -6,7 +6,7 @@ gives the fewest bytes in all is chosen. If the runner-up is closer than `margin
 document is rejected as undecided.
 
 The dictionaries come from a bounded sample of the labelled rows (`dictionary_bytes` a language, from at most
-`sample_rows` rows a language, spread by the hash of the id, and of each the first `sample_chars` characters); predictions
+`sample_rows` rows a language, spread by the hash of the id, and of each whole lines of least hash up to `row_chars` characters); predictions
 read whole texts of every row, all at one compression level. Labelled rows also hold passages in other languages, so
 each half of the sample is first cleaned with dictionaries of the other half: lines that another language encodes
 better are left out, and so are lines under `shortest_line` bytes, which give no evidence of their language.
@@ -22,7 +22,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,7 +30,7 @@ from inkwell.llm.common import judged, kept, remainder, spread_sample
 
 UNDECIDED = "und"
 #: Bounds of the sample that the dictionaries are made of.
-DICTIONARY_BYTES, SAMPLE_ROWS, SAMPLE_CHARS, SHORTEST_LINE = 98_304, 200, 20_000, 20
+DICTIONARY_BYTES, SAMPLE_ROWS, ROW_CHARS, PIECE_CHARS, SHORTEST_LINE = 98_304, 200, 20_000, 2_000, 20
 BLOCK = 8_192
 LEVEL = 9
 MARGIN = 0.0005
@@ -41,19 +41,24 @@ def normalised(text: str) -> bytes:
     return NOT_LETTERS.sub(" ", text.lower()).strip().encode()
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", dictionary_bytes: int = DICTIONARY_BYTES, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS, shortest_line: int = SHORTEST_LINE) -> dict[str, bytes]:
+def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", dictionary_bytes: int = DICTIONARY_BYTES, sample_rows: int = SAMPLE_ROWS, row_chars: int = ROW_CHARS, shortest_line: int = SHORTEST_LINE) -> dict[str, bytes]:
     """A raw-content dictionary for each language of the labelled rows.
 
-    The rows of least hash are found from ids alone; only their texts, a bounded number, reach the driver. Of
-    rows that share id and language the least text stands for all.
+    The rows of least hash are found from ids alone. Of rows that share id and language the least text stands for all.
+    Of a chosen row the driver gets lines up to `row_chars` characters, those of least hash wherever they stand in the
+    text; lines over PIECE_CHARS are cut at white space first.
     """
     known = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where((F.length("text") > 0) & F.col("lang").isNotNull() & F.col("id").isNotNull())
     sample = spread_sample(known.select("id", "lang").distinct(), "lang", "id", "dictionary", sample_rows)
     own = (F.col("id") == F.col("chosen")) & (F.col("lang") == F.col("of_group"))
-    rows = known.join(F.broadcast(sample), own).groupBy("lang", "place").agg(F.min(F.substring("text", 1, sample_chars))).collect()  # at most sample_rows a language
+    texts = known.join(F.broadcast(sample), own).groupBy("lang", "place").agg(F.min("text").alias("text"))  # at most sample_rows a language
+    pieces = F.regexp_extract_all("text", F.lit(rf"[^\n]{{1,{PIECE_CHARS}}}(?=\s|$)|[^\n]{{1,{PIECE_CHARS}}}"), F.lit(0))
+    by_hash = Window.partitionBy("lang", "place").orderBy(F.xxhash64("piece"), "spot")
+    rows = texts.select("lang", "place", F.posexplode(pieces).alias("spot", "piece")).withColumn("upto", F.sum(F.length("piece")).over(by_hash)).where(F.col("upto") <= row_chars)
     lines: dict[str, tuple[dict, dict]] = {}
-    for of, rank_of, text in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
-        lines.setdefault(of, ({}, {}))[rank_of % 2].update(dict.fromkeys(x for x in map(normalised, text.split("\n")) if x))
+    for of, rank_of, _, piece in sorted(rows.select("lang", "place", "spot", "piece").collect()):
+        if x := normalised(piece):
+            lines.setdefault(of, ({}, {}))[rank_of % 2][x] = None
     return cleaned(lines, dictionary_bytes, shortest_line)
 
 

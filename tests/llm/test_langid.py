@@ -90,3 +90,14 @@ def test_held_out_accuracy(spark, sf):
     assert all(got[d.doc_id].held_out == (zlib.crc32(str(d.doc_id).encode()) % 4 == 2) for d in docs)
     test = [d for d in docs if got[d.doc_id].held_out]
     assert sum(got[d.doc_id].lang_pred == d.lang for d in test) >= 0.93 * len(test)
+
+
+def test_lines_from_all_over_long_texts(spark):
+    """A long text gives lines from its end too, and more classes than a model takes leave the rarest out."""
+    text = "\n".join(f"line {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)} of a long english text about rivers" for i in range(5000))
+    one = " ".join(f"wort{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)} der deutschen sprache" for i in range(4000))
+    df = spark.createDataFrame([(1, text, "en"), (2, one, "de")], "doc_id long, text string, lang string")
+    found = L.fit(df)
+    assert set(found) == {"en", "de"} and 10_000 < len(found["en"]) <= 21_000 and 10_000 < len(found["de"]) <= 21_000
+    many = spark.range(3000).selectExpr("id AS doc_id", "concat('text of ', id) AS text", "concat('l', id % 1500) AS lang").unionByName(spark.range(5000, 5003).selectExpr("id AS doc_id", "'more text' AS text", "'z' AS lang"))
+    assert len(L.fit(many)) == 1000 and "z" in L.fit(many)
