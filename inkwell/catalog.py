@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from inkwell.plans import graphs, history, likeness, links, made, matching, metrics, packs, proposals, reports, review, similar, statements, streams, structure, terms  # noqa: F401
+from inkwell.plans import graphs, history, likeness, links, made, matching, metrics, packs, proposals, reports, review, similar, statements, streams, structure, summary, terms  # noqa: F401
 from inkwell.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -1,10 +1,14 @@
-"""Fuzzy matching of names, items and lines: candidates by shared words, one ratio a candidate, one-to-one choice by rounds.
+"""Fuzzy matching of names, items and lines: a prefix-filtered join for candidates, one ratio a candidate, one-to-one choice by rounds.
 
-The string ratio is the only part in Python: an Arrow function over candidate pairs, never over all pairs.
+Two texts whose likeness is at least a threshold share a given part of their tokens (words, or characters numbered by
+occurrence), so each must have one of its rarest tokens in common with the other's rarest: only these are joined, and no
+pair above the threshold is lost. Likeness of characters bounds the string ratio from above. The ratio itself is the only
+part in Python: an Arrow function over the candidates that pass the bounds, never over all pairs.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -13,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from inkwell.functions.text import jaccard, normalized_description
+from inkwell.operators.graph import with_hubs
+from inkwell.sources.stored import stored
 
 
 @F.pandas_udf(T.DoubleType())
@@ -37,21 +43,41 @@ def words(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
 
 
-def candidates(left: DataFrame, right: DataFrame, keys: list[str], most: float = 0.1) -> DataFrame:
-    """Pairs (keys, l, r, left text a, right text b) that share their rarest usable word.
+def characters(text: Column) -> Column:
+    """The characters of a text, numbered by occurrence: two texts share as many as their bags of characters do."""
+    letters = F.array_sort(F.filter(F.split(text, ""), lambda c: c != ""))
+    return F.transform(letters, lambda c, i: F.concat(c, (i - F.array_position(letters, c)).cast("string")))
 
-    Both sides: (keys, id, text). A text meets others by its words that less than `most` of all texts have; a text
-    without one meets by its whole words, so equal texts always meet and no word that is everywhere makes all pairs.
+
+def sharing(left: DataFrame, right: DataFrame, keys: list[str], tokens: Callable[[Column], Column], part: float) -> DataFrame:
+    """Pairs (keys, a, b) of distinct texts of both sides, within a key, that share at least this part of either's tokens.
+
+    Both sides: (keys, text). The part is t / (2 - t) for a Dice likeness of t, and j for a Jaccard likeness of j. Of n
+    tokens the n - ceil(part * n) + 1 rarest are joined; the others cannot reach the part by themselves.
     """
+
     def posted(df: DataFrame) -> DataFrame:
-        return df.select(*keys, "id", "text", F.explode(F.array_append(words(F.col("text")), F.concat_ws(" ", words(F.col("text"))))).alias("word"))
+        return df.select(*keys, "text").where("text is not null").distinct().withColumn("t", tokens(F.col("text"))).where(F.size("t") > 0)
+
+    a, b = posted(left), posted(right)
+    every = a.unionByName(b).select(*keys, F.explode("t").alias("token"))
+    often = stored(every.groupBy(*keys, "token").agg(F.count("*").alias("often")))
+
+    def rare(df: DataFrame, name: str) -> DataFrame:
+        each = df.select(*keys, "text", F.size("t").alias("n"), F.explode("t").alias("token"))
+        ranked = with_hubs(each, often, [*keys, "token"], "often", every.count()).withColumn("place", F.row_number().over(Window.partitionBy(*keys, "text").orderBy("often", "token")))
+        first = ranked.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * part - 1e-9) + 1)
+        return first.select(*keys, "token", F.col("text").alias(name), F.col("n").alias(f"n_{name}"))
+
+    met = rare(a, "a").join(rare(b, "b"), [*keys, "token"]).where((F.col("n_a") >= part * F.col("n_b") - 1e-9) & (F.col("n_b") >= part * F.col("n_a") - 1e-9)).select(*keys, "a", "b").distinct()
+    x, y = tokens(F.col("a")), tokens(F.col("b"))
+    shared = F.size(F.array_intersect(x, y))
+    return met.where(shared >= part * F.greatest(F.size(x), F.size(y)) - 1e-9)
+
 
-    every = posted(left).select(*keys, "word").unionByName(posted(right).select(*keys, "word"))
-    total = left.count() + right.count()
-    rare = every.groupBy(*keys, "word").count().where((F.col("count") <= F.greatest(F.lit(20), F.lit(int(total * most)))) | F.contains("word", F.lit(" "))).select(*keys, "word")
-    a = posted(left).join(rare, [*keys, "word"]).select(*keys, "word", F.col("id").alias("l"), F.col("text").alias("a"))
-    b = posted(right).join(rare, [*keys, "word"]).select(*keys, "word", F.col("id").alias("r"), F.col("text").alias("b"))
-    return a.join(b, [*keys, "word"]).select(*keys, "l", "r", "a", "b").distinct()
+def dice_part(least: float) -> float:
+    """The part of either text's tokens that is shared at least, if the Dice likeness is at least this."""
+    return least / (2 - least)
 
 
 def one_to_one(scored: DataFrame, keys: list[str]) -> DataFrame:
@@ -70,9 +96,15 @@ def similar_names(names: DataFrame, core: tuple[str, ...] = (), least: float = 0
 
     The core of a name is what is left without the words of `core`.
     """
-    pairs = candidates(names, names, []).where("l < r")
     normal = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
     kernel = lambda c: F.filter(words(c), lambda w: ~w.isin(*core) if core else F.lit(True))
+    texts = names.select("text")
+    # without an equal core, 0.65 takes three quarters of the words
+    alike = sharing(texts, texts, [], words, (least - 0.5) / 0.2).select("a", "b")
+    cored = names.select("text", F.array_join(F.array_sort(kernel(F.col("text"))), " ").alias("core")).where("core <> ''").distinct()
+    equal = cored.select("core", F.col("text").alias("a")).join(cored.select("core", F.col("text").alias("b")), "core").select("a", "b")
+    ids = lambda n, to: names.select(F.col("id").alias(n), F.col("text").alias(to))
+    pairs = alike.unionByName(equal).distinct().join(ids("l", "a"), "a").join(ids("r", "b"), "b").where("l < r")
     a, b = F.col("a"), F.col("b")
     same = F.when(F.size(kernel(a)) > 0, (F.array_sort(kernel(a)) == F.array_sort(kernel(b))).cast("double")).otherwise(0.0)
     score = 0.15 * seq_ratio(a, b) + 0.35 * seq_ratio(normal(a), normal(b)) + 0.20 * jaccard(words(a), words(b)) + 0.30 * same
@@ -83,16 +115,37 @@ def similar_names(names: DataFrame, core: tuple[str, ...] = (), least: float = 0
 def aligned_items(first: DataFrame, other: DataFrame, keys: list[str], least: float = 0.55) -> DataFrame:
     """(keys, l, r, score): the other proposals' items matched to those of the first, one to one in each key.
 
-    Both: (keys, id, text, category). Likeness is the greatest of string ratio, 0.85 if one holds the other, and 0.9 of
+    Both: (keys, id, text, category). Likeness is the greatest of string ratio, 0.85 if one holds the other (not an empty one), and 0.9 of
     the shared words, and 0.1 more in the same category; texts are compared without noise words.
     """
-    bare = lambda df: df.select(*keys, "id", normalized_description(F.col("text")).alias("text"))
-    pairs = candidates(bare(first), bare(other), keys)
-    kind = lambda df, n, to: df.select(*keys, F.col("id").alias(n), F.col("category").alias(to))
-    both = pairs.join(kind(first, "l", "ca"), [*keys, "l"]).join(kind(other, "r", "cb"), [*keys, "r"])
-    holds = F.when(F.contains("a", F.col("b")) | F.contains("b", F.col("a")), 0.85).otherwise(0.0)
-    score = F.greatest(seq_ratio(F.col("a"), F.col("b")), holds, 0.9 * jaccard(words(F.col("a")), words(F.col("b")))) + F.when(F.col("ca") == F.col("cb"), 0.1).otherwise(0.0)
-    return one_to_one(both.withColumn("score", F.round(score, 6)).where(F.col("score") >= least), keys)
+    bare = lambda df, to: df.select(*keys, F.col("id").alias(to), normalized_description(F.col("text")).alias("text"), "category")
+    by_place = Window.partitionBy(*keys, "text", "category")
+    numbered = lambda df, to: bare(df, to).withColumn("nth", F.row_number().over(by_place.orderBy(to)))
+    one, two = stored(numbered(first, "l")), stored(numbered(other, "r"))
+    # nothing is above an equal text of an equal category: these go first, by their order
+    equal = stored(one.join(two, [*keys, "text", "category", "nth"]).select(*keys, "l", "r", F.lit(1.1).alias("score")))
+    rest = lambda df, side: df.join(equal.select(*keys, side), [*keys, side], "left_anti").select(*keys, side, "text", "category")
+    one, two = stored(rest(one, "l")), stored(rest(two, "r"))
+    ones, twos = one.select(*keys, "text").distinct(), two.select(*keys, "text").distinct()
+    lowest = least - 0.1  # in the same category
+    met = sharing(ones, twos, keys, characters, dice_part(lowest)).unionByName(sharing(ones, twos, keys, words, lowest / 0.9))
+    met = met.unionByName(holding(ones, twos, keys)).unionByName(holding(twos, ones, keys).select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    likeness = F.greatest(seq_ratio(F.col("a"), F.col("b")), F.when((F.contains("a", F.col("b")) & (F.col("b") != "")) | (F.contains("b", F.col("a")) & (F.col("a") != "")), 0.85).otherwise(0.0), 0.9 * jaccard(words(F.col("a")), words(F.col("b"))))
+    scored = stored(met.withColumn("likeness", likeness))
+    side = lambda df, to, name, kind: df.select(*keys, to, F.col("text").alias(name), F.col("category").alias(kind))
+    both = scored.join(side(one, "l", "a", "ca"), [*keys, "a"]).join(side(two, "r", "b", "cb"), [*keys, "b"])
+    score = F.round(F.col("likeness") + F.when(F.col("ca") == F.col("cb"), 0.1).otherwise(0.0), 6)
+    return equal.unionByName(one_to_one(both.withColumn("score", score).where(F.col("score") >= least), keys))
+
+
+def holding(long: DataFrame, short: DataFrame, keys: list[str]) -> DataFrame:
+    """Pairs (keys, a, b) of distinct texts where a holds b: a has the rarest character of b, as often, and all of them in a row."""
+    posted = lambda df: df.where("text <> ''").select(*keys, "text", F.explode(characters(F.col("text"))).alias("token"))
+    a, b = posted(long), posted(short)
+    often = a.groupBy(*keys, "token").agg(F.count("*").alias("often"))
+    rarest = b.join(often, [*keys, "token"], "left").groupBy(*keys, "text").agg(F.min_by("token", F.struct(F.coalesce("often", F.lit(0)), "token")).alias("token"))
+    met = a.withColumnRenamed("text", "a").join(rarest.withColumnRenamed("text", "b"), [*keys, "token"])
+    return met.where(F.contains("a", F.col("b"))).select(*keys, "a", "b")
 
 
 def moves(deleted: DataFrame, added: DataFrame, keys: list[str], shortest: int = 10, fuzzy_shortest: int = 15, least: float = 0.85) -> DataFrame:
@@ -104,7 +157,10 @@ def moves(deleted: DataFrame, added: DataFrame, keys: list[str], shortest: int =
 
     equal = numbered(deleted, "l").join(numbered(added, "r"), [*keys, "flat", "n"]).select(*keys, "l", "r", F.lit(1.0).alias("score")).checkpoint()
     rest = lambda df, side: df.where(F.length("text") > fuzzy_shortest).join(equal.select(*keys, F.col(side).alias("id")), [*keys, "id"], "left_anti").select(*keys, "id", "text")
-    near = candidates(rest(deleted, "l"), rest(added, "r"), keys).withColumn("score", F.round(seq_ratio(F.col("a"), F.col("b")), 6)).where(F.col("score") >= least)
+    gone, come = stored(rest(deleted, "l")), stored(rest(added, "r"))
+    met = sharing(gone, come, keys, characters, dice_part(least)).withColumn("score", F.round(seq_ratio(F.col("a"), F.col("b")), 6)).where(F.col("score") >= least)
+    ids = lambda df, to, name: df.select(*keys, F.col("id").alias(to), F.col("text").alias(name))
+    near = met.join(ids(gone, "l", "a"), [*keys, "a"]).join(ids(come, "r", "b"), [*keys, "b"])
     return equal.unionByName(one_to_one(near, keys))
 
 
