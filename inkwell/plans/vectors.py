@@ -20,16 +20,16 @@ def _dot(a: str, b: str) -> str:
     f"""WITH RECURSIVE raw AS (SELECT vec_id AS id, list_transform(embedding, lambda e: e::DOUBLE) AS x FROM embeddings),
 units AS (SELECT id, list_transform(x, lambda e: e / norm) AS u FROM (SELECT id, x, sqrt({_dot('x', 'x')}) AS norm FROM raw) WHERE norm > 0),
 near AS (SELECT a.id AS a, b.id AS b FROM units a JOIN units b ON a.id < b.id WHERE round({_dot('a.u', 'b.u')}, 9) >= {LIKE}),
-before AS (SELECT u.id, row_number() OVER (ORDER BY u.id) AS nth, coalesce(list(n.a ORDER BY n.a) FILTER (n.a IS NOT NULL), []) AS earlier FROM units u LEFT JOIN near n ON n.b = u.id GROUP BY u.id),
-walk(nth, id, leader, leading) AS (
+priors AS (SELECT u.id, row_number() OVER (ORDER BY u.id) AS nth, coalesce(list(n.a ORDER BY n.a) FILTER (n.a IS NOT NULL), []) AS earlier FROM units u LEFT JOIN near n ON n.b = u.id GROUP BY u.id),
+walk(nth, id, leader, heads) AS (
   SELECT 0, -1::BIGINT, -1::BIGINT, []::BIGINT[]
   UNION ALL
-  SELECT b.nth, b.id, coalesce(f, b.id), CASE WHEN f IS NULL THEN list_append(leading, b.id) ELSE leading END
-  FROM (SELECT b.nth, b.id, w.leading, list_min(list_intersect(b.earlier, w.leading)) AS f FROM walk w JOIN before b ON b.nth = w.nth + 1) b),
+  SELECT b.nth, b.id, coalesce(f, b.id), CASE WHEN f IS NULL THEN list_append(heads, b.id) ELSE heads END
+  FROM (SELECT b.nth, b.id, w.heads, list_min(list_intersect(b.earlier, w.heads)) AS f FROM walk w JOIN priors b ON b.nth = w.nth + 1) b),
 grouped AS (SELECT w.id, leader, u, count(*) OVER (PARTITION BY leader) AS size FROM walk w JOIN units u ON w.id = u.id),
-some AS (SELECT * FROM grouped WHERE size > 1),
-sums AS (SELECT leader, list(s ORDER BY i) AS s FROM (SELECT leader, i, sum(x) AS s FROM (SELECT leader, unnest(u) AS x, generate_subscripts(u, 1) AS i FROM some) GROUP BY ALL) GROUP BY leader),
-own AS (SELECT id, leader, size, {_dot('u', 's')} AS toward, {_dot('s', 's')} AS whole FROM some JOIN sums USING (leader))
+many AS (SELECT * FROM grouped WHERE size > 1),
+sums AS (SELECT leader, list(s ORDER BY i) AS s FROM (SELECT leader, i, sum(x) AS s FROM (SELECT leader, unnest(u) AS x, generate_subscripts(u, 1) AS i FROM many) GROUP BY ALL) GROUP BY leader),
+own AS (SELECT id, leader, size, {_dot('u', 's')} AS toward, {_dot('s', 's')} AS whole FROM many JOIN sums USING (leader))
 SELECT id, leader, size, round((whole - size) / (size * (size - 1)), 6) AS mean_cosine, row_number() OVER (PARTITION BY leader ORDER BY round(toward, 9) DESC, id) = 1 AS central FROM own""",
 )
 def near_duplicates_leader(spark: SparkSession, sf: str) -> DataFrame:
