@@ -1,16 +1,19 @@
 """Operators on streams of scans, decisions, links and documents; each has a batch twin with the same aggregation.
 
 Event time is the scan's time. Rows later than the watermark are dropped by the aggregating operators; state is kept
-only as long as the watermark asks for.
+only as long as the watermark asks for. `changes` keeps the last scan of each document as keyed state with a time to live,
+and hands late scans on instead of dropping them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 
@@ -80,6 +83,61 @@ def scan_states(scans: DataFrame, write: Callable[[DataFrame, int], None], check
     return scans.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+CHANGE = "document_id {id}, scan_id {scan}, scan_time timestamp, score double, issue_count double, scan_number long, score_change double, issue_change double, is_rescan boolean, late boolean"
+LAST_SCAN = "scan_time timestamp, scan_id {scan}, score double, issue_count double, scans long"
+
+
+def changes(scans: DataFrame, delay: str = "30 days", ttl_ms: int = 30 * 24 * 3_600_000) -> DataFrame:
+    """Every arriving scan with what changed since the document's one before: the stream of history.scan_changes.
+
+    Scans: (document_id, scan_id, scan_time, score, issue_count). The state of a document is its last scan and their
+    number; it goes when the watermark, `delay` behind the latest scan, is `ttl_ms` past that last scan, and a document that
+    comes again then begins anew. Scans behind the watermark are dropped by Spark; any other scan that is not after the last
+    one that came before its micro-batch is late: it is returned with `late` and no change, and leaves the state as it is
+    (`on_time` and `dead_letters` part both). Inside a micro-batch scans are put in order of (scan_time, scan_id). Null
+    scores give null changes.
+    """
+    types = {f.name: f.dataType.simpleString() for f in scans.schema}
+    names = ("scan_id", "scan_time", "score", "issue_count")
+
+    def each(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(frames)).sort_values(["scan_time", "scan_id"])  # one document's scans of one micro-batch
+        first = last = state.get if state.exists else None
+        out = []
+        for scan_id, time, score, issues in zip(*[rows[c] for c in names], strict=True):
+            found = [key[0], scan_id, time, score, issues]
+            if first is not None and (time, scan_id) <= (pd.Timestamp(first[0]), first[1]):
+                out.append([*found, None, None, None, True, True])
+                continue
+            number = (last[4] if last is not None else 0) + 1
+            change = [score - last[2], issues - last[3]] if last is not None else [None, None]
+            out.append([*found, number, *change, last is not None, False])
+            last = (time, scan_id, score, issues, number)
+        if last is not None:
+            state.update((pd.Timestamp(last[0]).to_pydatetime(), last[1], last[2], last[3], last[4]))
+        ends = int(pd.Timestamp(last[0]).timestamp() * 1000) + ttl_ms
+        state.setTimeoutTimestamp(max(ends, state.getCurrentWatermarkMs() + 1))
+        columns = ["document_id", *names, "scan_number", "score_change", "issue_change", "is_rescan", "late"]
+        frame = pd.DataFrame(out, columns=columns)
+        yield frame.astype({"scan_number": "Int64", "score_change": "float64", "issue_change": "float64"})
+
+    slim = late_by(scans, "scan_time", delay).select("document_id", "scan_id", "scan_time", F.col("score").cast("double").alias("score"), F.col("issue_count").cast("double").alias("issue_count"))
+    out, kept = CHANGE.format(id=types["document_id"], scan=types["scan_id"]), LAST_SCAN.format(scan=types["scan_id"])
+    return slim.groupBy("document_id").applyInPandasWithState(each, out, kept, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def on_time(changed: DataFrame) -> DataFrame:
+    return changed.where("NOT late").drop("late")
+
+
+def dead_letters(changed: DataFrame) -> DataFrame:
+    """The scans that came after a later one of their document."""
+    return changed.where("late").select("document_id", "scan_id", "scan_time", "score", "issue_count")
+
+
 def run_to_memory(df: DataFrame, name: str, mode: str) -> DataFrame:
     """Runs a stream over all that is there and returns its result; for tests and small checks."""
     q = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
