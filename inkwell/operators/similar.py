@@ -9,6 +9,7 @@ from inkwell.functions.text import cosine, lower_words
 from inkwell.operators.graph import with_hubs
 from inkwell.operators.metrics import top_k
 from inkwell.operators.text import STOPWORDS, tokens
+from inkwell.sources.stored import stored
 
 
 def dictionary_of(texts: DataFrame) -> DataFrame:
@@ -104,6 +105,34 @@ def evaluate(expected: DataFrame, found: DataFrame) -> DataFrame:
     return per.select("doc_id", "hits", F.coalesce(p, F.lit(0.0)).alias("precision"), F.coalesce(r, F.lit(0.0)).alias("recall"), F.coalesce(2 * p * r / F.nullif(p + r, F.lit(0.0)), F.lit(0.0)).alias("f1"))
 
 
+def evaluate_containing(expected: DataFrame, found: DataFrame) -> DataFrame:
+    """(doc_id, exact, partial, missed, extra, precision, recall, f1) of found against expected phrases, both (doc_id, item).
+
+    A phrase counts as matched if the other side has it, or, among those that are left, one that holds it or that it holds, as
+    words in a row. Phrases meet by an equi-join of the runs of words of one with the whole of the other.
+    """
+    sides = [df.select("doc_id", F.trim(F.lower("item")).alias("item")).where("item <> ''").distinct() for df in (expected, found)]
+    exact = sides[0].join(sides[1], ["doc_id", "item"])
+    e, f = (stored(s.join(exact, ["doc_id", "item"], "left_anti")) for s in sides)
+    n = F.size(F.split("item", r"\s+"))
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(i, n), lambda j: F.array_join(F.slice(F.split("item", r"\s+"), i, j - i + 1), " "))))
+
+    def holding(long: DataFrame, short: DataFrame, a: str, b: str) -> DataFrame:
+        parts = long.select("doc_id", F.col("item").alias(a), F.explode(F.array_distinct(runs)).alias(b))
+        return parts.join(short.withColumnRenamed("item", b), ["doc_id", b]).select("doc_id", "e", "f")
+
+    pairs = stored(holding(e, f, "e", "f").unionByName(holding(f, e, "f", "e")).distinct())
+    count = lambda df, name: df.groupBy("doc_id").agg(F.count("*").alias(name))
+    tables = [count(sides[0], "wanted"), count(sides[1], "got"), count(exact, "exact"), count(pairs.select("doc_id", "e").distinct(), "e_partial"), count(pairs.select("doc_id", "f").distinct(), "f_partial")]
+    all_ = tables[0]
+    for t in tables[1:]:
+        all_ = all_.join(t, "doc_id", "full")
+    all_ = all_.na.fill(0)
+    p, r = (F.col("exact") + F.col("f_partial")) / F.nullif("got", F.lit(0)), (F.col("exact") + F.col("e_partial")) / F.nullif("wanted", F.lit(0))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    return all_.select("doc_id", "exact", F.col("e_partial").alias("partial"), (F.col("wanted") - F.col("exact") - F.col("e_partial")).alias("missed"), (F.col("got") - F.col("exact") - F.col("f_partial")).alias("extra"), zero(p).alias("precision"), zero(r).alias("recall"), zero(2 * p * r / F.nullif(p + r, F.lit(0.0))).alias("f1"))
+
+
 def align_lines(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, line, status): equal lines of two versions are paired by their number of occurrence; the rest were added or deleted."""
     def numbered(df: DataFrame, side: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkwell.functions.text import cosine
@@ -86,6 +86,26 @@ def evaluate(spark: SparkSession, sf: str) -> DataFrame:
     return S.evaluate(words.join(known, "item", "left_semi").select("doc_id", "item"), words.where(F.length("item") >= 5))
 
 
+@query(
+    "j28_evaluate_containing",
+    f"""WITH {TOKENS}, g AS (SELECT doc_id, pos, word, lead(word) OVER w AS w2, lead(word, 2) OVER w AS w3 FROM tokens WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+e AS (SELECT DISTINCT doc_id, word || ' ' || w2 AS item FROM g WHERE pos % 8 = 0 AND w2 IS NOT NULL),
+f AS (SELECT doc_id, word AS item FROM g WHERE pos % 13 = 0 UNION SELECT doc_id, word || ' ' || w2 || ' ' || w3 FROM g WHERE pos % 5 = 0 AND w3 IS NOT NULL UNION SELECT doc_id, word || ' ' || w2 FROM g WHERE pos % 16 = 0 AND w2 IS NOT NULL),
+x AS (SELECT doc_id, item FROM e INTERSECT SELECT doc_id, item FROM f), le AS (SELECT * FROM e EXCEPT SELECT * FROM x), lf AS (SELECT * FROM f EXCEPT SELECT * FROM x),
+p AS (SELECT le.doc_id, le.item AS e, lf.item AS f FROM le JOIN lf ON le.doc_id = lf.doc_id AND (contains(' ' || le.item || ' ', ' ' || lf.item || ' ') OR contains(' ' || lf.item || ' ', ' ' || le.item || ' '))),
+n AS (SELECT doc_id, (SELECT count(*) FROM e WHERE e.doc_id = d.doc_id) AS wanted, (SELECT count(*) FROM f WHERE f.doc_id = d.doc_id) AS got, (SELECT count(*) FROM x WHERE x.doc_id = d.doc_id) AS exact,
+  (SELECT count(DISTINCT e) FROM p WHERE p.doc_id = d.doc_id) AS ep, (SELECT count(DISTINCT f) FROM p WHERE p.doc_id = d.doc_id) AS fp FROM (SELECT DISTINCT doc_id FROM (SELECT doc_id FROM e UNION SELECT doc_id FROM f)) d),
+s AS (SELECT *, (exact + fp) / nullif(got, 0)::DOUBLE AS p, (exact + ep) / nullif(wanted, 0)::DOUBLE AS r FROM n)
+SELECT doc_id, exact, ep AS partial, wanted - exact - ep AS missed, got - exact - fp AS extra, coalesce(p, 0.0) AS precision, coalesce(r, 0.0) AS recall, coalesce(2 * p * r / nullif(p + r, 0), 0.0) AS f1 FROM s""",
+)
+def evaluate_containing(spark: SparkSession, sf: str) -> DataFrame:
+    w = Window.partitionBy("doc_id").orderBy("pos")
+    g = T.tokens(docs(spark, sf)).withColumns({"w2": F.lead("word").over(w), "w3": F.lead("word", 2).over(w)})
+    two, three = F.concat("word", F.lit(" "), "w2"), F.concat("word", F.lit(" "), "w2", F.lit(" "), "w3")
+    item = lambda c, by: g.where(F.col("pos") % by == 0).select("doc_id", c.alias("item")).where("item is not null")
+    return S.evaluate_containing(item(two, 8), item(F.col("word"), 13).unionByName(item(three, 5)).unionByName(item(two, 16)))
+
+
 @query("w13_align_versions", "WITH t AS (SELECT conv_id, turn, unnest(string_split(text, ' ')) AS line, generate_subscripts(string_split(text, ' '), 1) AS i FROM conversations), n AS (SELECT conv_id, turn, line, row_number() OVER (PARTITION BY conv_id, turn, line ORDER BY i) AS o FROM t), a AS (SELECT conv_id, turn AS pair, line, o FROM n), b AS (SELECT conv_id, turn - 1 AS pair, line, o FROM n WHERE turn > 0), k AS (SELECT coalesce(a.conv_id, b.conv_id) AS conv_id, coalesce(a.pair, b.pair) AS pair, a.line AS was, b.line AS now FROM a FULL JOIN b ON a.conv_id = b.conv_id AND a.pair = b.pair AND a.line = b.line AND a.o = b.o) SELECT conv_id, pair, count(*) FILTER (was IS NOT NULL AND now IS NOT NULL) AS unchanged, count(*) FILTER (was IS NULL) AS added, count(*) FILTER (now IS NULL) AS deleted FROM k GROUP BY ALL")
 def align_versions(spark: SparkSession, sf: str) -> DataFrame:
     t = table(spark, sf, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", " ")).alias("line_idx", "line"))
