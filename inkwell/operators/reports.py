@@ -219,8 +219,8 @@ def role_context(mentions: DataFrame, name: str) -> DataFrame:
     bare = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
     exact = F.col("role") == name
     hit = mentions.where(exact | (bare("role") == bare(F.lit(name)))).withColumn("exact", exact)
-    any_exact = F.max("exact").over(Window.partitionBy())  # the rows of one role
-    return hit.withColumn("any", any_exact).where("exact OR NOT any").select("document_id", "role", "mention_count")
+    found = hit.agg(F.max("exact").alias("any"))  # one row
+    return hit.join(F.broadcast(found)).where("exact OR NOT any").select("document_id", "role", "mention_count")
 
 
 def documents_by_source(docs: DataFrame, like: str) -> DataFrame:
