@@ -82,12 +82,12 @@ def dice_part(least: float) -> float:
 
 def one_to_one(scored: DataFrame, keys: list[str]) -> DataFrame:
     """The greedy one-to-one choice of (keys, l, r, score): pairs that are each other's best are taken, until none is left."""
-    left, out = scored.select(*keys, "l", "r", "score").checkpoint(), None
+    left, out = stored(scored.select(*keys, "l", "r", "score")), None
     while left.limit(1).count():
         best = lambda side: F.row_number().over(Window.partitionBy(*keys, side).orderBy(F.desc("score"), "l", "r"))
-        taken = left.withColumns({"i": best("l"), "j": best("r")}).where("i = 1 AND j = 1").drop("i", "j").checkpoint()
+        taken = stored(left.withColumns({"i": best("l"), "j": best("r")}).where("i = 1 AND j = 1").drop("i", "j"))
         out = taken if out is None else out.unionByName(taken)
-        left = left.join(taken.select(*keys, "l"), [*keys, "l"], "left_anti").join(taken.select(*keys, "r"), [*keys, "r"], "left_anti").checkpoint()
+        left = stored(left.join(taken.select(*keys, "l"), [*keys, "l"], "left_anti").join(taken.select(*keys, "r"), [*keys, "r"], "left_anti"))
     return left if out is None else out
 
 

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkwell.operators import matching as M
-from inkwell.operators import versions as V
 from inkwell.plans.metrics import COUNTED, TOKENS, docs
 from inkwell.registry import query, table
 
@@ -61,12 +60,3 @@ def hdd(spark: SparkSession, sf: str) -> DataFrame:
 @query("a11_mtld")
 def mtld(spark: SparkSession, sf: str) -> DataFrame:
     return M.mtld(docs(spark, sf))
-
-
-@query("w13_versions_in_order")
-def versions_in_order(spark: SparkSession, sf: str) -> DataFrame:
-    """Sentences of each turn against those of the next one; without SQL, as the ratio and the rising runs are tested by brute force."""
-    cut = lambda c: F.posexplode(F.split(c, r"(?<=[.!?])\s+")).alias("i", "line")
-    side = lambda c: turns(spark, sf).select("conv_id", "turn", cut(c))
-    keys = ["conv_id", "turn"]
-    return V.version_statistics(V.align_versions(side("old"), side("new"), keys), keys)
