@@ -187,7 +187,7 @@ def action(context: Column, role: Column) -> tuple[Column, Column]:
     after = F.when((at > 0) & (role != ""), F.trim(F.substr(context, at + F.length(role)))).otherwise("")
     head = F.substring(after, 1, 100)
     said = F.regexp_extract_all(F.lower(head), F.lit(r"\w+"), F.lit(0))
-    verb = F.try_element_at(F.filter(F.array(*[F.lit(v) for v, _ in VERBS]), lambda v: F.array_contains(said, v)), F.lit(1))
+    verb = F.try_element_at(F.array_intersect(F.array(*[F.lit(v) for v, _ in VERBS]), said), F.lit(1))
     before = F.call_function("regexp_extract", head, F.concat(F.lit(r"(?i)^(.*?\b"), verb, F.lit(r")\b")), F.lit(1))
     rest = F.trim(F.substr(after, F.length(before) + 1))
     task = F.when(F.regexp_like(rest, F.lit("[.;]")), F.regexp_extract(rest, "^[^.;]*", 0)).otherwise(F.substring(rest, 1, 100))
@@ -199,7 +199,7 @@ def action(context: Column, role: Column) -> tuple[Column, Column]:
 def found_names(paras: DataFrame, patterns: tuple[Pattern, ...] = PATTERNS) -> DataFrame:
     """(doc_id, para_idx, sent_idx, spot, rank, part, name, context): every place where a pattern finds a name.
 
-    A sentence ends with a full stop. `spot` counts the characters from the full stop before it (from the paragraph's begin: 1).
+    A sentence ends with a full stop. `spot` is 1 at a sentence's first character and 0 at the full stop before.
     The context is the sentence, for a match that begins with the full stop before also the sentence before, for one that
     takes its own full stop also the next. A null text has no names.
     """

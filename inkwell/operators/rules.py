@@ -7,13 +7,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from inkwell.functions.text import grade, issue_id, lower_words
+from inkwell.functions.text import grade, issue_id, lower_words, words
 from inkwell.operators.metrics import top_k
 from inkwell.operators.text import drop_boilerplate, paragraphs, repeated_words, sentences
 
 ISSUE = "doc_id long, para_idx int, seq long, category string, severity string, rule_id string, message string, flagged string, suggestion string"
 #: What an issue of each severity takes from a score (fixed values).
 SEVERITY_WEIGHTS = {"Critical": 15.0, "High": 5.0, "Medium": 2.0, "Low": 0.5, "Info": 0.1}
+#: What an issue of each severity counts in a document's summary (fixed values).
+SUMMARY_WEIGHTS = {"Critical": 4.0, "High": 3.0, "Medium": 2.0, "Low": 1.0, "Info": 0.5}
 #: Categories that say the same, by the name they are compared under (fixed values).
 SAME_CATEGORY = {
     "requirement traceability": "req_traceability",
@@ -147,6 +149,26 @@ def issue_summary(issues: DataFrame) -> DataFrame:
     return named.rollup("doc_id", "severity", "category").agg(F.count("*").alias("issues"), F.countDistinct("para_idx").alias("paragraphs"))
 
 
+def document_summary(issues: DataFrame, docs: DataFrame, k: int = 3) -> DataFrame:
+    """(doc_id, issues, critical, fixable, weighted, density, paragraphs_with_issues, clean_paragraphs, top) of every document.
+
+    Weighted sums SUMMARY_WEIGHTS (1 for another severity), density is issues per 1,000 words (per 1,000 without any), fixable
+    has a suggestion other than '' and '-', top holds the k categories with most issues, ties by name. Null texts are empty.
+    """
+    weight = F.create_map(*[F.lit(x) for pair in SUMMARY_WEIGHTS.items() for x in pair])
+    named = issues.withColumn("category", normal_category(F.col("category")))
+    fixable = F.count_if(~F.coalesce("suggestion", F.lit("")).isin("", "-"))
+    per = named.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(F.col("severity") == "Critical").alias("critical"), fixable.alias("fixable"), F.round(F.sum(F.coalesce(weight[F.col("severity")], F.lit(1.0))), 1).alias("weighted"), F.countDistinct("para_idx").alias("marked"))
+    best = top_categories(named, k).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "category"))).alias("t"))
+    top = F.array_join(F.transform("t", lambda x: F.concat(x["category"], F.lit(" "), -x["n"])), ", ")
+    text = F.coalesce("text", F.lit(""))
+    sizes = docs.select("doc_id", F.size(words(text)).alias("words"), F.size(F.filter(F.split(text, "\n"), lambda p: F.trim(p) != "")).alias("paras"))
+    none = lambda c, zero=0: F.coalesce(c, F.lit(zero))
+    joined = sizes.join(per, "doc_id", "left").join(best.select("doc_id", top.alias("top")), "doc_id", "left")
+    density = F.round(none("n") / F.greatest("words", F.lit(1)) * 1000, 2)
+    return joined.select("doc_id", none("n").alias("issues"), none("critical").alias("critical"), none("fixable").alias("fixable"), none("weighted", 0.0).alias("weighted"), density.alias("density"), none("marked").alias("paragraphs_with_issues"), (F.col("paras") - none("marked")).alias("clean_paragraphs"), none("top", "").alias("top"))
+
+
 def top_categories(issues: DataFrame, k: int = 3) -> DataFrame:
     n = issues.groupBy("doc_id", "category").agg(F.count("*").alias("n"))
     return top_k(n, ["doc_id"], [F.desc("n"), F.asc("category")], k)

@@ -226,3 +226,43 @@ def tense_profile(sents: DataFrame, markers: tuple[str, ...] = ("will", "shall",
     per = t.groupBy("doc_id").agg(F.sum("past").alias("past"), F.sum("present").alias("present"), F.sum("future").alias("future"), F.count_if(mixed).alias("inconsistent"))
     top = F.greatest("past", "present", "future")
     return per.withColumn("dominant", F.when(top == 0, F.lit(None)).when(F.col("past") == top, "past").when(F.col("present") == top, "present").otherwise("future"))
+
+
+#: Verbs whose form does not show their tense, and marks of the future (fixed values).
+PAST_VERBS = (
+    "was", "were", "had", "did", "went", "came", "saw", "made", "said", "took", "got", "gave", "found", "thought", "told", "became", "left",
+    "felt", "brought", "began", "kept", "held", "wrote", "stood", "heard", "let", "meant", "set", "met", "ran", "paid", "sat", "spoke", "lay",
+    "led", "read", "grew", "lost", "knew", "sent", "built", "fell", "cut", "put",
+)
+PRESENT_VERBS = ("is", "am", "are", "has", "does", "goes", "comes", "sees", "makes", "says", "takes", "gets", "gives")
+FUTURE_MARKS = ("will", "shall", "'ll", "going to")
+NO_VERBS = ("the", "a", "an", "is", "are", "to")
+
+
+def word_tense(word: Column) -> Column:
+    """past, present or null of a lower-case word: a known verb's, else by -ed (over 3 letters), -s (over 2, but not -ss, -us, -is) or -ing (over 4)."""
+    known = F.when(word.isin(*PAST_VERBS), "past").when(word.isin(*PRESENT_VERBS), "present")
+    n = F.length(word)
+    by_end = F.when(word.endswith("ed") & (n > 3), "past").when(word.endswith("s") & (n > 2) & ~F.regexp_like(word, F.lit("(ss|us|is)$")), "present").when(word.endswith("ing") & (n > 4), "present")
+    return F.coalesce(known, by_end)
+
+
+def tenses(docs: DataFrame) -> DataFrame:
+    """(doc_id, past, present, future, verbs, dominant, inconsistent) from every verb-like word of every sentence.
+
+    A sentence with a mark of the future counts once for it; words of NO_VERBS and single letters have no tense. A sentence of
+    more than one tense is inconsistent. The dominant tense is the most frequent, of equals past before present before
+    future, and `unknown` without any. A document without sentences, or a null text, has zeros.
+    """
+    low = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[.!?]+"), lambda s: F.regexp_like(s, F.lit(r"\S")))
+    tense = lambda w: F.when((F.length(w) >= 2) & ~w.isin(*NO_VERBS), word_tense(w))
+    future = lambda s: F.greatest(*[F.contains(s, F.lit(m)) for m in FUTURE_MARKS])
+    of = lambda s: F.struct(F.transform(F.regexp_extract_all(s, F.lit(r"\b[a-z]+\b"), F.lit(0)), tense).alias("t"), future(s).cast("int").alias("future"))
+    each = docs.select("doc_id", F.explode_outer(F.transform(low, of)).alias("s"))
+    count = lambda t: F.coalesce(F.size(F.filter("s.t", lambda x: x == t)), F.lit(0))
+    per_sentence = each.select("doc_id", count("past").alias("past"), count("present").alias("present"), F.coalesce("s.future", F.lit(0)).alias("future"))
+    mixed = (F.col("past") > 0).cast("int") + (F.col("present") > 0).cast("int") + F.col("future") > 1
+    per = per_sentence.groupBy("doc_id").agg(F.sum("past").alias("past"), F.sum("present").alias("present"), F.sum("future").alias("future"), F.count_if(mixed).alias("inconsistent"))
+    most = F.greatest("past", "present", "future")
+    dominant = F.when(most == 0, "unknown").when(F.col("past") == most, "past").when(F.col("present") == most, "present").otherwise("future")
+    return per.select("doc_id", "past", "present", "future", (F.col("past") + F.col("present") + F.col("future")).alias("verbs"), dominant.alias("dominant"), "inconsistent")

@@ -71,6 +71,16 @@ def controlled_vocabulary(docs: DataFrame, approved: DataFrame) -> DataFrame:
     return per.withColumn("approved_pct", share(F.col("approved"), F.col("words"), 100.0))
 
 
+def word_alternatives(docs: DataFrame, unapproved: DataFrame) -> DataFrame:
+    """(doc_id, word, alternative, n, first): unapproved words of each document, their times and first place.
+
+    unapproved: (word, alternative); of several alternatives the least in order counts, and a null one is ''.
+    """
+    n = tokens(docs).groupBy("doc_id", "word").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
+    listed = unapproved.groupBy(F.lower("word").alias("word")).agg(F.min("alternative").alias("alternative"))
+    return n.join(listed, "word").select("doc_id", "word", F.coalesce("alternative", F.lit("")).alias("alternative"), "n", "first")
+
+
 def easy_word_grades(docs: DataFrame, easy: DataFrame) -> DataFrame:
     """(doc_id, spache, dale_chall) from sentence length and the share of words that the list of easy words lacks."""
     c = F.col

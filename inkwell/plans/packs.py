@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from inkwell.operators import packs as P
 from inkwell.operators import text as T
-from inkwell.operators.rules import SEVERITY_WEIGHTS, SAME_CATEGORY
+from inkwell.operators.rules import SAME_CATEGORY, SEVERITY_WEIGHTS, SUMMARY_WEIGHTS
+from inkwell.operators.rules import document_summary as document_summary_of
 from inkwell.plans.metrics import LINES, docs
 from inkwell.plans.review import REVIEW
 from inkwell.plans.statements import SPEC, spec
@@ -56,6 +57,21 @@ def review_all_packs(spark: SparkSession, sf: str) -> DataFrame:
     return P.full_review(docs(spark, sf))
 
 
+_SUMMED = "CASE severity " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in SUMMARY_WEIGHTS.items()) + " ELSE 1 END"
+
+
+@query("a31_document_summary", rf"""WITH {LINES}, {scan_sql('lines')},
+per AS (SELECT doc_id, count(*) AS n, count(*) FILTER (severity = 'Critical') AS critical, count(*) FILTER (replacement NOT IN ('', '-')) AS fixable, round(sum({_SUMMED}), 1) AS weighted, count(DISTINCT para_idx) AS marked FROM pack_hits GROUP BY 1),
+kinds AS (SELECT doc_id, category, count(*) AS n FROM pack_hits GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, category) <= 3),
+best AS (SELECT doc_id, string_agg(category || ' ' || n, ', ' ORDER BY n DESC, category) AS top FROM kinds GROUP BY 1),
+sizes AS (SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[a-zA-Z]+(?:''[a-zA-Z]+)?')) AS words, len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda p: trim(p) <> '')) AS paras FROM documents)
+SELECT doc_id, coalesce(n, 0) AS issues, coalesce(critical, 0) AS critical, coalesce(fixable, 0) AS fixable, coalesce(weighted, 0.0)::DOUBLE AS weighted, round(coalesce(n, 0) / greatest(words, 1)::DOUBLE * 1000, 2) AS density, coalesce(marked, 0) AS paragraphs_with_issues, paras - coalesce(marked, 0) AS clean_paragraphs, coalesce(top, '') AS top
+FROM sizes LEFT JOIN per USING (doc_id) LEFT JOIN best USING (doc_id)""")
+def document_summary(spark: SparkSession, sf: str) -> DataFrame:
+    texts = docs(spark, sf)
+    return document_summary_of(P.pack_scan(T.paragraphs(texts)).withColumnRenamed("replacement", "suggestion"), texts)
+
+
 #: The specification's lines, some with wide spaces and splices.
 _WIDE = "wide AS (SELECT doc_id, para_idx, CASE para_idx % 5 WHEN 0 THEN '  ' || replace(text, ' ', '  ') WHEN 1 THEN replace(text, ' of ', ', it runs of ') WHEN 2 THEN replace(text, '. ', ', however ') WHEN 3 THEN '4.1  ' || text || '  end' ELSE text END AS text FROM spec)"
 _SPLICE = ", ".join(rf"nullif(regexp_extract(lower(regexp_replace(text, '[^\x01-\x7F]', '_', 'g')), '{p}'), '')" for p in P.SPLICES)

@@ -206,3 +206,18 @@ p AS (SELECT doc_id, sum(past)::BIGINT AS past, sum(present)::BIGINT AS present,
 SELECT *, CASE WHEN greatest(past, present, future) = 0 THEN NULL WHEN past >= greatest(present, future) THEN 'past' WHEN present >= future THEN 'present' ELSE 'future' END AS dominant FROM p""")
 def tense_profile(spark: SparkSession, sf: str) -> DataFrame:
     return S.tense_profile(spec(spark, sf).withColumn("text", F.regexp_replace("text", r"[^\x01-\x7F]", "_")))
+
+
+_LISTED = lambda of: ", ".join(f"'{quoted(w)}'" for w in of)
+_MARKED = " OR ".join(f"contains(s, '{quoted(m)}')" for m in S.FUTURE_MARKS)
+
+
+@query("a72_tenses", rf"""WITH s AS (SELECT doc_id, unnest(list_filter(string_split_regex(lower(regexp_replace(text, '[^\x01-\x7F]', '_', 'g')), '[.!?]+'), lambda s: regexp_matches(s, '\S'))) AS s FROM documents),
+w AS (SELECT doc_id, ({_MARKED})::INTEGER AS future, list_transform(regexp_extract_all(s, '\b[a-z]+\b'), lambda w: CASE WHEN length(w) < 2 OR w IN ({_LISTED(S.NO_VERBS)}) THEN NULL WHEN w IN ({_LISTED(S.PAST_VERBS)}) THEN 'past' WHEN w IN ({_LISTED(S.PRESENT_VERBS)}) THEN 'present'
+  WHEN w LIKE '%ed' AND length(w) > 3 THEN 'past' WHEN w LIKE '%s' AND length(w) > 2 AND NOT regexp_matches(w, '(ss|us|is)$') THEN 'present' WHEN w LIKE '%ing' AND length(w) > 4 THEN 'present' END) AS t FROM s),
+c AS (SELECT doc_id, future, len(list_filter(t, lambda x: x = 'past')) AS past, len(list_filter(t, lambda x: x = 'present')) AS present FROM w),
+p AS (SELECT doc_id, sum(past)::BIGINT AS past, sum(present)::BIGINT AS present, sum(future)::BIGINT AS future, count(*) FILTER ((past > 0)::INTEGER + (present > 0)::INTEGER + future > 1) AS inconsistent FROM c GROUP BY 1),
+a AS (SELECT doc_id, coalesce(past, 0) AS past, coalesce(present, 0) AS present, coalesce(future, 0) AS future, coalesce(inconsistent, 0) AS inconsistent FROM documents LEFT JOIN p USING (doc_id))
+SELECT *, past + present + future AS verbs, CASE WHEN past + present + future = 0 THEN 'unknown' WHEN past >= greatest(present, future) THEN 'past' WHEN present >= future THEN 'present' ELSE 'future' END AS dominant FROM a""")
+def tenses(spark: SparkSession, sf: str) -> DataFrame:
+    return S.tenses(docs(spark, sf).withColumn("text", F.regexp_replace("text", r"[^\x01-\x7F]", "_")))

@@ -52,6 +52,14 @@ def controlled_vocabulary(spark: SparkSession, sf: str) -> DataFrame:
     return C.controlled_vocabulary(docs(spark, sf), dictionary(spark, sf))
 
 
+@query("a35_word_alternatives", f"WITH {BENCH}, {TOK}, told AS (SELECT word, length(word) % 3 = 0 AS bad FROM dict), other AS (SELECT word[1] AS letter, min(word) AS alternative FROM told WHERE NOT bad GROUP BY 1), listed AS (SELECT word, alternative FROM told LEFT JOIN other ON word[1] = letter WHERE bad) SELECT doc_id, word, coalesce(alternative, '') AS alternative, count(*) AS n, min(pos)::BIGINT AS first FROM tokens JOIN listed USING (word) GROUP BY ALL")
+def word_alternatives(spark: SparkSession, sf: str) -> DataFrame:
+    told = dictionary(spark, sf).select("word", (F.length("word") % 3 == 0).alias("bad"), F.substring("word", 1, 1).alias("letter"))
+    other = told.where("NOT bad").groupBy("letter").agg(F.min("word").alias("alternative"))
+    found = C.word_alternatives(docs(spark, sf), told.where("bad").join(other, "letter", "left").select("word", "alternative"))
+    return found.withColumn("first", F.col("first").cast("long"))
+
+
 @query("a3_easy_word_grades", f"WITH {BENCH}, {BASE}, {COUNTED}, {VOCABULARY}, h AS (SELECT doc_id, b.words / b.sentences::DOUBLE AS wps, (v.words - v.approved) / v.words::DOUBLE * 100 AS pct FROM base b JOIN v USING (doc_id) WHERE b.words > 0 AND b.sentences > 0) SELECT doc_id, 0.141::DOUBLE * wps + 0.086::DOUBLE * pct + 0.839::DOUBLE AS spache, 0.1579::DOUBLE * pct + 0.0496::DOUBLE * wps + CASE WHEN pct > 5 THEN 3.6365::DOUBLE ELSE 0 END AS dale_chall FROM h")
 def easy_word_grades(spark: SparkSession, sf: str) -> DataFrame:
     return C.easy_word_grades(docs(spark, sf), dictionary(spark, sf))
