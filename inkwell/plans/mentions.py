@@ -95,3 +95,8 @@ def role_mentions(spark: SparkSession, sf: str) -> DataFrame:
 @query("a42_role_document_counts", f"WITH {FOUND} SELECT role, doc_id, count(*) AS mentions, count(DISTINCT action) AS actions FROM mentions WHERE kind <> 'deliverable' GROUP BY ALL")
 def role_document_counts(spark: SparkSession, sf: str) -> DataFrame:
     return M.role_document_counts(mentions(spark, sf))
+
+
+@query("f11_action_types", f"WITH {FOUND} SELECT role, action, count(*) AS mentions, count(DISTINCT doc_id) AS documents, count(*) FILTER (responsibility <> '') AS with_task FROM mentions GROUP BY ALL")
+def action_types(spark: SparkSession, sf: str) -> DataFrame:
+    return mentions(spark, sf).groupBy("role", "action").agg(F.count("*").alias("mentions"), F.countDistinct("doc_id").alias("documents"), F.count_if(F.col("responsibility") != "").alias("with_task"))
