@@ -120,8 +120,12 @@ def dedupe_urls(links: DataFrame) -> DataFrame:
 
 
 def stale_files(manifest: DataFrame, listing: DataFrame) -> DataFrame:
-    """(library, filename, state) of listed files: new, changed (newer, or of another size), or current."""
-    m = manifest.select("library", "filename", F.col("modified").alias("known"), F.col("size").alias("known_size"))
+    """(library, filename, state) of listed files: new, changed (newer, or of another size), or current.
+
+    A row a listed file: of several entries of the manifest for one file the latest counts.
+    """
+    latest = F.max_by(F.struct("modified", "size"), F.struct("modified", "size"))
+    m = manifest.groupBy("library", "filename").agg(latest.alias("m")).select("library", "filename", F.col("m.modified").alias("known"), F.col("m.size").alias("known_size"))
     state = F.when(F.col("known").isNull(), "new").when((F.col("modified") > F.col("known")) | (F.col("size") != F.col("known_size")), "changed").otherwise("current")
     return listing.join(m, ["library", "filename"], "left").select("library", "filename", state.alias("state"))
 

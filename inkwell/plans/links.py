@@ -101,7 +101,8 @@ def link_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("s5_stale_files", "SELECT 'lib' || (page_id % 3) AS library, CASE WHEN page_id % 4 = 0 THEN 'new' WHEN page_id % 4 = 1 THEN 'changed' ELSE 'current' END AS state, count(*) AS files FROM pages GROUP BY ALL")
 def stale_files(spark: SparkSession, sf: str) -> DataFrame:
-    listing = pages(spark, sf).select(F.concat(F.lit("lib"), (F.col("page_id") % 3).cast("string")).alias("library"), F.col("url").alias("filename"), F.col("page_id").alias("modified"), F.length("html").alias("size"), "page_id")
+    filename = F.concat_ws("#", "url", F.col("page_id").cast("string"))  # pages may share a url, files no name
+    listing = pages(spark, sf).select(F.concat(F.lit("lib"), (F.col("page_id") % 3).cast("string")).alias("library"), filename.alias("filename"), F.col("page_id").alias("modified"), F.length("html").alias("size"), "page_id")
     manifest = listing.where("page_id % 4 <> 0").withColumn("size", F.when(F.col("page_id") % 4 == 1, F.col("size") + 1).otherwise(F.col("size")))
     return L.stale_files(manifest, listing).groupBy("library", "state").agg(F.count("*").alias("files"))
 

@@ -185,3 +185,17 @@ def test_rule_scan_takes_each_delivery_once(spark):
     t = datetime.datetime(2024, 1, 1)
     docs = spark.createDataFrame([(1, "the the cat", t), (1, "the the cat", t), (2, "fine", t)], "doc_id long, text string, ts timestamp")
     assert [r.hit for r in X.rule_scan(docs, lambda d: T.repeated_words(T.paragraphs(d))).collect()] == ["the the"]
+
+
+def test_stale_files_are_one_row_a_listed_file(spark):
+    schema = "library string, filename string, modified int, size int"
+    manifest = spark.createDataFrame([("a", "x", 1, 5), ("a", "x", 3, 6), ("a", "y", 1, 5)], schema)
+    listing = spark.createDataFrame([("a", "x", 3, 6), ("a", "y", 1, 7), ("a", "z", 1, 1)], schema)
+    assert sorted(r[1:] for r in L.stale_files(manifest, listing).collect()) == [("x", "current"), ("y", "changed"), ("z", "new")]
+
+
+def test_pages_that_share_a_url_are_files_of_their_own(spark, tmp_path):
+    from inkwell.plans.links import stale_files
+
+    spark.createDataFrame([(i, "http://same", "<p>") for i in range(12)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert sum(r.files for r in stale_files(spark, str(tmp_path)).collect()) == 12
