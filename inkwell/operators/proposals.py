@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.functions.text import grade
+from inkwell.sources.stored import stored
 
 FLAG_POINTS = {"critical": 3, "warning": 2, "info": 1}
 
@@ -86,13 +87,17 @@ def rate_analysis(items: DataFrame) -> DataFrame:
 def identical_pricing(items: DataFrame, least: int = 3, share: float = 0.6) -> DataFrame:
     """Pairs of vendors that price most of their common items alike.
 
-    Pairs come from equal (item, amount) keys, so only vendors that agree somewhere are joined; the items they have in
-    common are then counted for those pairs alone.
+    Candidates come from equal (item, amount) keys: a pair must agree on more than its share of the fewest common items.
+    The items in common are counted by meeting at each item, for vendors of candidates alone; what a vendor prices is
+    never multiplied by the vendors it agrees with.
     """
     a = items.where("amount > 0").select("item_id", F.round("amount", 2).alias("amount"), F.col("proposal_id").alias("a"))
     b = a.select("item_id", "amount", F.col("a").alias("b"))
     alike = a.join(b, ["item_id", "amount"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("alike"))
-    common = alike.join(a.select("a", "item_id"), "a").join(b.select("b", "item_id"), ["b", "item_id"]).groupBy("a", "b").agg(F.first("alike").alias("alike"), F.count("*").alias("common"))
+    alike = stored(alike.where(F.col("alike") > share * least - 1e-9))
+    sides = [df.select(c, "item_id").join(alike.select(c).distinct(), c, "left_semi") for df, c in ((a, "a"), (b, "b"))]
+    met = sides[0].join(sides[1], "item_id").where("a < b").select("a", "b")
+    common = met.join(alike, ["a", "b"]).groupBy("a", "b").agg(F.first("alike").alias("alike"), F.count("*").alias("common"))
     return common.where((F.col("common") >= least) & (F.col("alike") / F.col("common") > share))
 
 

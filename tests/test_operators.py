@@ -199,3 +199,13 @@ def test_pages_that_share_a_url_are_files_of_their_own(spark, tmp_path):
 
     spark.createDataFrame([(i, "http://same", "<p>") for i in range(12)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     assert sum(r.files for r in stale_files(spark, str(tmp_path)).collect()) == 12
+
+
+def test_vendors_that_agree_once_are_not_compared_by_all_their_items(spark):
+    import time
+
+    own = spark.range(1_000 * 2_000).select((F.col("id") % 1_000).alias("proposal_id"), (F.col("id") + 1).alias("item_id"), F.lit(7.0).alias("amount"))
+    every = spark.range(1_000).select(F.col("id").alias("proposal_id"), F.lit(0).cast("long").alias("item_id"), F.lit(7.0).alias("amount"))
+    start = time.monotonic()
+    assert P.identical_pricing(own.unionByName(every)).count() == 0  # 500,000 pairs agree on one item
+    assert time.monotonic() - start < 60
