@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from inkwell.functions.text import lower_words
-from inkwell.operators.text import STOPWORDS, paragraphs, sentences
-from inkwell.sources.stored import stored
+from inkwell.operators.text import SENTENCE_ENDS, STOPWORDS, paragraphs
 
 DAMPING, CLOSE, SENTENCES = 0.85, 1e-4, 5
 #: A paragraph of at least SHORTEST characters and over FEW phrases adds little if under LOW of them are in the summary.
@@ -16,62 +18,70 @@ SHORTEST, FEW, LOW, PHRASE_WORDS = 50, 5, 0.15, 3
 PHRASE_STOPWORDS = ("a", "the", "and", "or", "but", "in", "is", "to", "of", "that", "this", "be", "as", "for", "on", "with", "by", "are", "was")
 
 
-def document_sentences(docs: DataFrame) -> DataFrame:
-    """(doc_id, sent, sentence, words, n): a document's sentences in order, with their content words."""
-    order = Window.partitionBy("doc_id").orderBy("para_idx", "sent_idx")
-    found = sentences(paragraphs(docs)).withColumn("sent", F.row_number().over(order) - 1)
-    content = F.filter(lower_words(F.col("sentence")), lambda w: ~w.isin(*STOPWORDS))
-    return found.select("doc_id", "sent", "sentence", content.alias("words")).withColumn("n", F.size("words"))
+def document_sentences(text: Column) -> Column:
+    """A document's sentences in order."""
+    lines = F.filter(F.split(text, "\n"), lambda p: F.trim(p) != "")
+    cut = lambda p: F.transform(F.split(p, SENTENCE_ENDS["space"]), lambda s: F.trim(F.regexp_replace(s, r"\s+", " ")))
+    return F.filter(F.flatten(F.transform(lines, cut)), lambda s: s != "")
 
 
-def likeness(shared: Column, n: Column, m: Column) -> Column:
-    """Shared words of two sentences over the sum of the logarithms of their lengths (over nothing if both have one word)."""
-    norm = F.log(n.cast("double")) + F.log(m.cast("double"))
-    return F.when(norm > 0, shared / norm).otherwise(shared)
+#: Numbers that an array of one turn holds at most, or those of one length of sentences.
+CELLS = 4_000_000
 
 
-def _spread(terms: DataFrame, own: DataFrame, given: DataFrame) -> DataFrame:
-    """(doc_id, sent, got): the sum over all sentences of their likeness times what they give, (doc_id, sent, g).
+def page_rank(sents: list[np.ndarray], damping: float, close: float) -> np.ndarray:
+    """The ranks of a document's sentences, given as their content words; 0 for those without.
 
-    A sentence's gift goes to its words and from these to their sentences: as the likeness depends on the lengths
-    alone, what sentences of one length give to a word is added up first, and no pair of sentences is ever made.
+    The likeness of two sentences is their shared words over the sum of the logarithms of their lengths (over nothing if
+    both have one word). As it depends on the lengths alone, what sentences of one length give to a word is added up
+    first, and no pair of sentences is ever made.
     """
-    to_words = terms.join(given, ["doc_id", "sent"]).groupBy("doc_id", "word", F.col("n").alias("m")).agg(F.sum(F.col("c") * F.col("g")).alias("a"))
-    shared = terms.join(to_words, ["doc_id", "word"]).groupBy("doc_id", "sent").agg(F.sum(likeness(F.col("c") * F.col("a"), F.col("n"), F.col("m"))).alias("shared"))
-    alone = own.join(given, ["doc_id", "sent"]).select("doc_id", "sent", (F.col("own") * F.col("g")).alias("alone"))
-    return alone.join(shared, ["doc_id", "sent"], "left").select("doc_id", "sent", (F.col("alone") + F.coalesce("shared", F.lit(0.0))).alias("got"))
+    lengths = np.array([len(x) for x in sents], dtype=np.int64)
+    rank, live = np.zeros(len(sents)), np.flatnonzero(lengths)
+    if not len(live):
+        return rank
+    n = lengths[live]
+    _, word = np.unique(np.concatenate([sents[i] for i in live]).astype(str), return_inverse=True)
+    kinds = word.max() + 1
+    pair, c = np.unique(np.repeat(np.arange(len(n)), n) * kinds + word, return_counts=True)
+    s, w = pair // kinds, pair % kinds
+    first = np.searchsorted(s, np.arange(len(n)))
+    different, kind = np.unique(n, return_inverse=True)
+    block = max(1, CELLS // len(pair))
+
+    def spread(given: np.ndarray) -> np.ndarray:
+        got = np.zeros(len(n))
+        for at in range(0, len(different), block):
+            size = min(block, len(different) - at)
+            here = (kind[s] >= at) & (kind[s] < at + size)
+            to_words = np.bincount(w[here] * size + kind[s[here]] - at, (c * given[s])[here], kinds * size).reshape(kinds, size)
+            shared = np.add.reduceat(c[:, None] * to_words[w], first)
+            norm = np.log(n)[:, None] + np.log(different[at : at + size])
+            got += (shared / np.where(norm > 0, norm, 1.0)).sum(axis=1)
+        return got
+
+    ties, now, moved = spread(np.ones(len(n))), np.full(len(n), 1 / len(n)), np.inf
+    while moved > close:
+        new = (1 - damping) / len(n) * now.sum() + damping * spread(now / ties)
+        moved, now = np.sqrt(((new - now) ** 2).sum()), new
+    rank[live] = now
+    return rank
 
 
 def text_rank(docs: DataFrame, damping: float = DAMPING, close: float = CLOSE) -> DataFrame:
     """(doc_id, sent, sentence, rank) of every sentence: PageRank on the graph of shared words of its document.
 
-    The graphs of all documents are iterated together; a document whose ranks moved by at most `close` (Euclidean) has
-    its last ones and takes no further part. Sentences without content words are not in the graph and have rank 0.
+    A document's ranks are those after the first turn that moves them by at most `close` (Euclidean). They need its own
+    row alone, so nothing is shuffled. Sentences without content words are not in the graph and have rank 0.
     """
-    sents = stored(document_sentences(docs))
-    count = sents.select("doc_id", "sent", "n", F.explode("words").alias("word")).groupBy("doc_id", "sent", "n", "word").agg(F.count("*").alias("c"))
-    within = F.count("*").over(Window.partitionBy("doc_id", "word"))
-    terms = stored(count.withColumn("sents", within))
-    alone = F.sum(F.when(F.col("sents") == 1, likeness(F.col("c") * F.col("c"), F.col("n"), F.col("n"))).otherwise(0.0))
-    own = stored(terms.groupBy("doc_id", "sent").agg(alone.alias("own")))  # words of one sentence tie it to itself only
-    terms = terms.where("sents > 1").drop("sents")
-    sums = _spread(terms, own, own.select("doc_id", "sent", F.lit(1.0).alias("g"))).withColumnRenamed("got", "ties")
-    size = F.count("*").over(Window.partitionBy("doc_id"))
-    ranks = stored(sents.where("n > 0").join(sums, ["doc_id", "sent"]).select("doc_id", "sent", "ties", size.alias("size")).withColumn("rank", F.lit(1.0) / F.col("size")))
-    done = None
-    whole = Window.partitionBy("doc_id")
-    while ranks.limit(1).count():
-        live = ranks.select("doc_id").distinct()
-        got = _spread(terms.join(live, "doc_id", "left_semi"), own, ranks.select("doc_id", "sent", (F.col("rank") / F.col("ties")).alias("g")))
-        base = (1 - damping) / F.col("size") * F.sum("rank").over(whole)
-        new = ranks.join(got, ["doc_id", "sent"], "left").withColumn("new", base + damping * F.coalesce("got", F.lit(0.0)))
-        moved = F.sqrt(F.sum((F.col("new") - F.col("rank")) ** 2).over(whole))
-        turn = stored(new.select("doc_id", "sent", "ties", "size", moved.alias("moved"), F.col("new").alias("rank")))
-        still = turn.where(F.col("moved") <= close).select("doc_id", "sent", "rank")
-        done = still if done is None else done.unionByName(still)
-        ranks = turn.where(F.col("moved") > close).drop("moved")
-    found = done if done is not None else ranks.select("doc_id", "sent", "rank")
-    return sents.select("doc_id", "sent", "sentence").join(found, ["doc_id", "sent"], "left").select("doc_id", "sent", "sentence", F.coalesce("rank", F.lit(0.0)).alias("rank"))
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def ranks(sents: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else page_rank(list(x), damping, close) for x in sents])
+
+    content = F.transform("s", lambda x: F.filter(lower_words(x), lambda w: ~w.isin(*STOPWORDS)))
+    ranked = docs.select("doc_id", document_sentences(F.col("text")).alias("s")).select("doc_id", "s", ranks.asNondeterministic()(content).alias("r"))
+    return ranked.select("doc_id", F.posexplode(F.arrays_zip("s", "r")).alias("sent", "x")).select("doc_id", "sent", F.col("x.s").alias("sentence"), F.col("x.r").alias("rank"))
 
 
 def summaries(docs: DataFrame, most: int = SENTENCES) -> DataFrame:

@@ -62,3 +62,14 @@ def test_summary_and_coverage(spark):
 
 def test_no_documents(spark):
     assert S.summary_coverage(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_ranks_need_no_shuffle_and_do_not_depend_on_the_size_of_blocks(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "Pump stops. Valve opens pump.\nThe of. Valve stops now. Crew."), (2, None), (3, "")], "doc_id long, text string")
+    ranked = S.text_rank(docs)
+    assert "Exchange" not in ranked._jdf.queryExecution().executedPlan().toString()
+    assert {(r.doc_id, r.sent) for r in ranked.collect()} == {(1, i) for i in range(5)}
+    sents = [list(x) for x in (["pump", "stops"], ["valve", "opens", "pump"], [], ["valve", "stops", "now"], ["crew"])]
+    whole = S.page_rank(sents, S.DAMPING, S.CLOSE)
+    monkeypatch.setattr(S, "CELLS", 1)
+    assert abs(whole - S.page_rank(sents, S.DAMPING, S.CLOSE)).max() < 1e-12 and whole[2] == 0
