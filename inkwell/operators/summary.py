@@ -90,12 +90,16 @@ def summaries(docs: DataFrame, most: int = SENTENCES) -> DataFrame:
     return text_rank(docs).withColumn("place", F.row_number().over(best)).where(F.col("place") <= most).drop("place")
 
 
-def phrases(text: Column, words: int = PHRASE_WORDS) -> Column:
-    """The distinct runs of so many lower-case words, but for those of stopwords only."""
+def phrases(texts: DataFrame, text: Column, to: str, words: int = PHRASE_WORDS) -> DataFrame:
+    """The rows without their text, and the distinct runs of so many lower-case words in it, but for those of stopwords only."""
     w = F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), lambda x: F.regexp_like(x, F.lit("^[a-z]+$")))
-    runs = F.when(F.size(w) >= words, F.transform(F.sequence(F.lit(1), F.size(w) - words + 1), lambda i: F.slice(w, i, words))).otherwise(F.array())
+    # the words are a column of their own: an expression would be worked out anew for every run
+    cut = texts.withColumn("w", w)
+    run = lambda i: F.array(*[F.get("w", i + k) for k in range(words)])
+    runs = F.when(F.size("w") >= words, F.transform(F.sequence(F.lit(0), F.size("w") - words), run)).otherwise(F.array())
     some = F.filter(runs, lambda r: F.exists(r, lambda x: ~x.isin(*PHRASE_STOPWORDS)))
-    return F.array_distinct(F.transform(some, lambda r: F.array_join(r, " ")))
+    keys = [c for c in texts.columns if c not in ("text", "s")]
+    return cut.select(*keys, F.array_distinct(F.transform(some, lambda r: F.array_join(r, " "))).alias(to))
 
 
 def summary_coverage(docs: DataFrame) -> DataFrame:
@@ -104,8 +108,8 @@ def summary_coverage(docs: DataFrame) -> DataFrame:
     Coverage is the share of its phrases that the summary has; of the paragraphs that add little the first is reported.
     """
     chosen = summaries(docs).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("sent", "sentence"))).alias("s"))  # a few sentences a document
-    known = chosen.select("doc_id", phrases(F.array_join(F.transform("s", lambda x: x["sentence"]), " ")).alias("known"))
-    paras = paragraphs(docs).where(F.length(F.trim("text")) >= SHORTEST).select("doc_id", "para_idx", phrases(F.col("text")).alias("own"))
+    known = phrases(chosen, F.array_join(F.transform("s", lambda x: x["sentence"]), " "), "known")
+    paras = phrases(paragraphs(docs).where(F.length(F.trim("text")) >= SHORTEST), F.col("text"), "own")
     coverage = F.size(F.array_intersect("own", F.coalesce("known", F.array()))) / (F.size("own") + 1)
     found = paras.join(known, "doc_id", "left").select("doc_id", "para_idx", F.size("own").alias("phrases"), coverage.alias("coverage"))
     low = (F.col("coverage") < LOW) & (F.col("phrases") > FEW)
