@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +32,10 @@ class Pattern:
             body = body.replace(f"<{k}>", rf"([A-Z][a-zA-Z]+(?:\s+[a-zA-Z]+){{0,{k}}}?)")
         return f"({body}){self.end}"
 
+    def needs(self) -> str:
+        """What every match holds, for linear matching (RE2): the expression without word bounds, with Java's white space."""
+        return self.regex().replace(r"\b", "").replace(r"[\s", r"[\s\x0b").replace(r"\s+", r"[\s\x0b]+").replace(r"\s*", r"[\s\x0b]*")
+
     def begins_at_end(self) -> bool:
         """The match may begin with the full stop of the sentence before."""
         return self.body.startswith(r"(?:^|\.")
@@ -196,6 +204,19 @@ def action(context: Column, role: Column) -> tuple[Column, Column]:
     return F.coalesce(of, F.when(done != "", "performs").otherwise("unknown")), F.when(verb.isNotNull(), F.trim(task)).otherwise(done)
 
 
+def fitting(patterns: tuple[Pattern, ...]) -> Callable[[Column], Column]:
+    """A function of a text to the ranks of the patterns that it may hold; no pattern that it holds is missing."""
+    needed = [p.needs() for p in patterns]
+
+    @F.arrow_udf("array<int>")
+    def fit(text: pa.Array) -> pa.Array:
+        held = np.stack([pc.match_substring_regex(text, n).fill_null(False).to_numpy(zero_copy_only=False) for n in needed], axis=1)
+        ends = np.concatenate([[0], held.sum(axis=1).cumsum()])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(held.nonzero()[1], pa.int32()))
+
+    return fit
+
+
 def found_names(paras: DataFrame, patterns: tuple[Pattern, ...] = PATTERNS) -> DataFrame:
     """(doc_id, para_idx, sent_idx, spot, rank, part, name, context): every place where a pattern finds a name.
 
@@ -208,32 +229,39 @@ def found_names(paras: DataFrame, patterns: tuple[Pattern, ...] = PATTERNS) -> D
     pieces = paras.select("doc_id", "para_idx", F.posexplode(F.transform(cut, lambda t, i: F.struct(t.alias("own"), F.when(i > 0, F.get(cut, i - 1)).alias("before"), F.get(cut, i + 1).alias("next"), (i + 2 == F.size(cut)).alias("last")))).alias("sent_idx", "s"))
     own = F.concat(F.col("s.own"), stop(F.col("s.next").isNotNull()))
     units = pieces.select("doc_id", "para_idx", "sent_idx", "s.before", own.alias("own"), F.concat("s.next", stop(~F.col("s.last"))).alias("next"), F.concat(stop(F.col("sent_idx") > 0), own).alias("unit"))
-    scans = [F.struct(F.lit(i).alias("rank"), F.lit(p.regex()).alias("regex"), F.lit(p.both).alias("both"), F.lit(p.begins_at_end()).alias("early"), F.lit(p.takes_the_stop()).alias("late"), F.regexp_extract_all("unit", F.lit(p.regex()), F.lit(0)).alias("hits")) for i, p in enumerate(patterns)]
-    scanned = units.where(F.regexp_like("unit", F.lit("[A-Za-z]"))).select("*", F.inline(F.filter(F.array(*scans), lambda s: F.size(s["hits"]) > 0)))
-    each = scanned.withColumn("gaps", F.split("unit", F.col("regex"), -1)).select("*", F.posexplode("hits").alias("i", "hit"))
+    which = units.where(F.regexp_like("unit", F.lit("[A-Za-z]"))).withColumn("fits", fitting(patterns)(F.col("unit")))
+
+    def scan(rank: int, p: Pattern) -> Column:
+        group = lambda g: F.regexp_extract_all("unit", F.lit(p.regex()), F.lit(g))
+        parts = {"hits": group(0), "one": group(2), "two": group(3) if p.both else F.lit(None).cast("array<string>"), "gaps": F.split("unit", p.regex(), -1)}
+        found = F.struct(F.lit(rank).alias("rank"), F.lit(p.begins_at_end()).alias("early"), F.lit(p.takes_the_stop()).alias("late"), *[c.alias(n) for n, c in parts.items()])
+        return F.when(F.array_contains("fits", rank), found)
+
+    scanned = which.select("*", F.inline(F.filter(F.array(*[scan(i, p) for i, p in enumerate(patterns)]), lambda s: s.isNotNull())))
+    each = scanned.select("*", F.posexplode("hits").alias("i", "hit"))
     joined = lambda parts, n: F.length(F.array_join(F.slice(parts, F.lit(1), n), ""))
     early = F.col("early") & F.startswith("hit", F.lit("."))
     context = F.concat(F.when(early, F.concat("before", F.lit("."))).otherwise(""), "own", F.when(F.col("late"), F.coalesce("next", F.lit(""))).otherwise(""))
-    group = lambda g: F.call_function("regexp_extract", F.col("hit"), F.col("regex"), F.lit(g))
-    names = F.when(F.col("both"), F.array(group(2), group(3))).otherwise(F.array(group(2)))
+    first, second = F.get("one", F.col("i")), F.get("two", F.col("i"))
     return each.select(
         "doc_id", "para_idx", "sent_idx", (joined("gaps", F.col("i") + 1) + joined("hits", F.col("i")) + 1 - (F.col("sent_idx") > 0).cast("int")).alias("spot"), "rank",
-        F.trim(F.regexp_replace(context, r"\s+", " ")).alias("context"), F.posexplode(names).alias("part", "name"),
+        F.trim(F.regexp_replace(context, r"\s+", " ")).alias("context"), F.posexplode(F.when(F.col("two").isNotNull(), F.array(first, second)).otherwise(F.array(first))).alias("part", "name"),
     )
 
 
 def role_mentions(paras: DataFrame, known: DataFrame, none: DataFrame, never: DataFrame, aliases: dict[str, tuple[str, ...]] = ALIASES, patterns: tuple[Pattern, ...] = PATTERNS) -> DataFrame:
     """(doc_id, para_idx, sent_idx, spot, role, name, pattern, confidence, kind, action, responsibility, context).
 
-    paras: (doc_id, para_idx, text); the lists are those of `valid_role_names`, which judges every distinct name once. Of the
-    names found at one place for one role, the first pattern's stays. Names that occur very often are joined by broadcast.
+    paras: (doc_id, para_idx, text); the lists are those of `valid_role_names`. Every distinct name is cleaned, judged and put
+    under its role once. Of the names found at one place for one role, the first pattern's stays. Names that occur very often
+    are joined by broadcast.
     """
-    cleaned = found_names(paras, patterns).withColumn("name", candidate(F.col("name"))).where("name <> ''")
-    found = stored(cleaned.withColumn("low", F.lower("name")))
-    often = found.groupBy("low").agg(F.count("*").alias("often"))
+    found = stored(found_names(paras, patterns).withColumnRenamed("name", "said"))
+    counted = stored(found.groupBy("said").agg(F.count("*").alias("often")))  # stored, or the cleaning below would go to every place
+    often = stored(counted.withColumn("name", candidate(F.col("said"))).where("name <> ''").withColumn("low", F.lower("name")))
     judged = valid_role_names(often.select(F.col("low").alias("name")), known, none, never).where("valid")
-    known_names = often.join(judged.select(F.col("name").alias("low"), "confidence", "kind"), "low")
-    roles = with_hubs(found, known_names, ["low"], "often", found.count()).withColumn("role", canonical_name(F.col("name"), aliases))
+    known_names = stored(often.join(judged.select(F.col("name").alias("low"), "confidence", "kind"), "low").drop("low").withColumn("role", canonical_name(F.col("name"), aliases)))
+    roles = with_hubs(found, known_names, ["said"], "often", found.count())
     rest = F.struct("name", "rank", "confidence", "kind", "context")
     first = roles.groupBy("doc_id", "para_idx", "sent_idx", "spot", "role").agg(F.min_by(rest, F.struct("rank", "part")).alias("m")).select("doc_id", "para_idx", "sent_idx", "spot", "role", "m.*")
     act, task = action(F.col("context"), F.col("name"))

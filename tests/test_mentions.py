@@ -66,3 +66,12 @@ def test_cleaning(spark):
 def test_names_and_actions_without_any(spark):
     row = spark.sql("SELECT 'pp&c lead' AS a, 'System Safety Engineer' AS b, 'no role here' AS c, '' AS d").select(M.canonical_name(F.col("a")).alias("a"), M.canonical_name(F.col("b")).alias("b"), *[x.alias(n) for x, n in zip(M.action(F.col("c"), F.col("b")), "cd")], M.action(F.col("c"), F.col("d"))[0].alias("e")).first()
     assert tuple(row) == ("PP&C Lead", "Safety Engineer", "unknown", "", "unknown")
+
+
+def test_only_patterns_that_a_text_may_hold_are_scanned_and_none_is_missing(spark):
+    texts = [*LINES, "Reports by\x0bthe\tProject\x0bManager, who", "A The Systems Engineer shall", "éThe Chief Engineer will see", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", M.fitting(M.PATTERNS)(F.col("text")).alias("fits"), *[F.regexp_like("text", F.lit(p.regex())).alias(f"p{i}") for i, p in enumerate(M.PATTERNS)]).collect()
+    for r in rows:
+        assert {i for i in range(len(M.PATTERNS)) if r[f"p{i}"]} <= set(r.fits), r.text
+    fits = {r.text: r.fits for r in rows}
+    assert fits["no name here"] == fits[""] == fits[None] == [] and fits[texts[len(LINES)]] and sum(map(len, fits.values())) < len(texts) * 8
