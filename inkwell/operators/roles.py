@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkwell.sources.stored import stored
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -156,8 +158,10 @@ def valid_role_names(names: DataFrame, known: DataFrame, none: DataFrame, never:
     `known` are roles, `none` are names that are none, alone or at an edge of a longer one, `never` single words that are
     none. The first rule that fits decides. Kind is role, deliverable, false_positive or unknown; a last word of TIEBREAK makes
     a role of what would be a deliverable. A part of a name is known only as whole words. Names that cannot be cleaned go.
+    Names are read once, and one that comes often is cleaned once.
     """
-    own = names.select(cleaned(F.col("name")).alias("name")).where("name <> ''").distinct()
+    said = stored(names.select("name").distinct())  # stored, or the cleaning would go before the distinct, to every row
+    own = stored(said.select(cleaned(F.col("name")).alias("name")).where("name <> ''").distinct())
     listed = lambda df, to: df.select(F.lower("name").alias("name")).distinct().withColumn(to, F.lit(True))
     runs = _runs(own)
     parts = runs.where("edge").join(none.select(F.lower("name").alias("run")).distinct(), "run").select("name").distinct().withColumn("part_none", F.lit(True))

@@ -55,6 +55,7 @@ def lists(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame
 
 @query("r18_valid_role_names", SQL)
 def valid_role_names(spark: SparkSession, sf: str) -> DataFrame:
-    form = F.element_at(F.array(*map(F.lit, FORMS)), (F.col("pos") % len(FORMS) + 1).cast("int"))
-    names = T.tokens(docs(spark, sf)).select(F.replace(form, F.lit("{}"), F.col("word")).alias("name"))
+    form = F.element_at(F.array(*map(F.lit, FORMS)), F.col("k"))
+    places = T.tokens(docs(spark, sf)).select("word", (F.col("pos") % len(FORMS) + 1).cast("int").alias("k")).distinct()
+    names = places.select(F.replace(form, F.lit("{}"), F.col("word")).alias("name"))
     return R.valid_role_names(names, *lists(spark, sf))

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from inkwell.operators import roles as R
 
 NAMES = {
@@ -48,3 +50,16 @@ def test_the_first_rule_decides(spark):
 
 def test_every_rule_is_tested():
     assert {r.reason for r in R.RULES} - {v[1] for v in NAMES.values()} <= {"too long", "phone number", "fragment"}
+
+
+def test_names_are_read_once(spark):
+    read = spark.sparkContext.accumulator(0)
+    one = lambda *names: spark.createDataFrame([(n,) for n in names], "name string")
+
+    def seen(name):
+        read.add(1)
+        return name
+
+    names = spark.range(0, 90, numPartitions=3).select(F.concat(F.lit("Chief "), F.col("id") % 3).alias("name")).select(F.udf(seen)("name").alias("name"))
+    assert len(R.valid_role_names(names, one("chief 0"), one("mission assurance"), one("progress")).collect()) == 3
+    assert read.value == 90
