@@ -298,12 +298,15 @@ def deliverables(sents: DataFrame, kinds: tuple[tuple[str, str], ...]) -> DataFr
 
 
 def role_mentions(sents: DataFrame, heads: tuple[str, ...], aliases: DataFrame) -> DataFrame:
-    """(doc_id, para_idx, role, n): capitalised names that end in a head word (Manager, Crew), under their canonical name."""
+    """(doc_id, para_idx, role, n): capitalised names that end in a head word (Manager, Crew), under their canonical name.
+
+    Names are few and each comes everywhere, so mentions stay where they are and the list of aliases goes to them.
+    """
     pattern = r"(?:[A-Z][A-Za-z]+ )*(?:" + "|".join(heads) + ")"
     hits = sents.select("doc_id", "para_idx", F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("name"))
     bare = hits.withColumn("name", F.regexp_replace("name", "^(?:The|A|An|See|Each|Of) ", ""))
     a = aliases.select(F.lower("alias").alias("key"), "canonical")
-    return bare.join(a, F.lower("name") == F.col("key"), "left").groupBy("doc_id", "para_idx", F.coalesce("canonical", "name").alias("role")).agg(F.count("*").alias("n"))
+    return bare.join(F.broadcast(a), F.lower("name") == F.col("key"), "left").groupBy("doc_id", "para_idx", F.coalesce("canonical", "name").alias("role")).agg(F.count("*").alias("n"))
 
 
 def roles_from_tables(cells: DataFrame, header: str = r"(?i)\b(role|responsible|owner|position)\b") -> DataFrame:

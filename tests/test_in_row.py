@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from inkwell.operators import metrics as M
+from inkwell.operators import reports as R
 from inkwell.operators import terms as C
 
 TEXTS = [(1, "Pump pump PUMP valve Valve\n\npUMP don't Don't DON'T"), (2, None), (3, ""), (4, "alpha alpha beta the the\n" * 9 + "gamma gamma\n" * 3 + "\n"), (5, "Pump")]
@@ -45,3 +46,12 @@ def test_crowding_words_are_counted_in_their_row(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan and "Join" not in plan
     assert {tuple(r) for r in found.collect()} == {(1, "alpha", 3, "first"), (1, "omega", 3, "last"), (6, "crowd", 3, "first")}
+
+
+def test_mentions_of_few_names_are_not_gathered_by_name(spark):
+    lines = spark.createDataFrame([(1, 0, "The Quality Manager asks each Flight Crew, Flight Crew and QUALITY Manager"), (1, 1, None), (2, 0, "no names")], "doc_id long, para_idx int, text string")
+    aliases = spark.createDataFrame([("Quality Manager", "QM")], "alias string, canonical string")
+    found = R.role_mentions(lines, ("Manager", "Crew"), aliases)
+    assert {tuple(r) for r in found.collect()} == {(1, 0, "QM", 2), (1, 0, "Flight Crew", 2)}
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
