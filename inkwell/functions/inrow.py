@@ -50,3 +50,31 @@ def crowded(least: int, over: float, shortest: int, skip: Sequence[str]) -> Call
         return _lists(each_word[good] // size, len(paragraphs), word=known.take(pa.array(each_word[good] % size)), paragraphs=pa.array(n[good], pa.int64()), place=place)
 
     return found
+
+
+def repeated(sizes: Sequence[int], least: int) -> Callable[[Column], Column]:
+    """A function of words to (gram, n, size) of the phrases of so many words that come at least so often.
+
+    A phrase is looked at only where both phrases of one word less in it come so often; no other is ever made into text.
+    """
+
+    @F.arrow_udf("array<struct<gram:string,n:bigint,size:int>>")
+    def found(lists: pa.Array) -> pa.Array:
+        words, doc = _flat(lists)
+        code, known = _coded(words)
+        vocabulary = max(len(known), 1)
+        at, key, longer, hits = np.arange(len(code)), doc * vocabulary + code, 1, []
+        while len(at):
+            _, first, gram, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+            if longer in sizes:
+                hits += [(doc[at[first[k]]], at[first[k]], n[k], longer) for k in np.flatnonzero(n >= least)]
+            often = n[gram] >= least
+            at, gram = at[often], gram[often]
+            beside = np.flatnonzero((np.diff(at) == 1) & (doc[at[:-1]] == doc[at[1:]])) if longer < max(sizes) else []
+            key, at, longer = gram[beside] * vocabulary + code[at[beside] + longer], at[beside], longer + 1
+        hits.sort()
+        texts = [" ".join(known.take(pa.array(code[p : p + size])).to_pylist()) for _, p, _, size in hits]
+        row = np.array([h[0] for h in hits], np.int64)
+        return _lists(row, len(lists), gram=pa.array(texts, pa.string()), n=pa.array([h[2] for h in hits], pa.int64()), size=pa.array([h[3] for h in hits], pa.int32()))
+
+    return found

@@ -1,3 +1,6 @@
+import re
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from inkwell.operators import metrics as M
@@ -55,3 +58,17 @@ def test_mentions_of_few_names_are_not_gathered_by_name(spark):
     assert {tuple(r) for r in found.collect()} == {(1, 0, "QM", 2), (1, 0, "Flight Crew", 2)}
     plan = found._jdf.queryExecution().sparkPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_phrases_are_counted_in_their_row(spark):
+    texts = TEXTS + [(6, "A b c d e. " * 3 + "a B c x"), (7, "don't stop, Don't stop; don't go"), (8, "the pump "), (9, "x " * 6)]
+    found = M.repeated_phrases(spark.createDataFrame(texts, "doc_id long, text string"), top=4)
+    assert exchanges(found) == 0
+
+    def want(text, top=4):
+        w = [x.lower() for x in re.findall("[a-zA-Z]+(?:'[a-zA-Z]+)?", text or "")]
+        n = Counter((" ".join(w[i : i + k]), k) for k in (3, 4, 5) for i in range(len(w) - k + 1))
+        return [(g, k, c) for g, k, c in sorted(((g, k, c) for (g, k), c in n.items() if c >= 3), key=lambda x: (-x[2], -x[1], x[0]))[:top]]
+
+    assert {tuple(r) for r in found.collect()} == {(i, *x, place + 1) for i, t in texts for place, x in enumerate(want(t))}
+    assert found.where("doc_id = 6").count() == 4 and found.where("doc_id = 9").count() == 2
