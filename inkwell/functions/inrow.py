@@ -78,3 +78,18 @@ def repeated(sizes: Sequence[int], least: int) -> Callable[[Column], Column]:
         return _lists(row, len(lists), gram=pa.array(texts, pa.string()), n=pa.array([h[2] for h in hits], pa.int64()), size=pa.array([h[3] for h in hits], pa.int32()))
 
     return found
+
+
+def counted(fewer: int) -> Callable[[Column], Column]:
+    """A function of words to (word, n) of those, in lower case, that come fewer than so many times."""
+
+    @F.arrow_udf("array<struct<word:string,n:bigint>>")
+    def found(lists: pa.Array) -> pa.Array:
+        words, doc = _flat(lists)
+        code, known = _coded(words)
+        size = max(len(known), 1)
+        each, n = np.unique(doc * size + code, return_counts=True)
+        each, n = each[n < fewer], n[n < fewer]
+        return _lists(each // size, len(lists), word=known.take(pa.array(each % size)), n=pa.array(n, pa.int64()))
+
+    return found

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from inkwell.operators import metrics as M
 from inkwell.operators import reports as R
+from inkwell.operators import similar as S
 from inkwell.operators import terms as C
 
 TEXTS = [(1, "Pump pump PUMP valve Valve\n\npUMP don't Don't DON'T"), (2, None), (3, ""), (4, "alpha alpha beta the the\n" * 9 + "gamma gamma\n" * 3 + "\n"), (5, "Pump")]
@@ -72,3 +73,12 @@ def test_phrases_are_counted_in_their_row(spark):
 
     assert {tuple(r) for r in found.collect()} == {(i, *x, place + 1) for i, t in texts for place, x in enumerate(want(t))}
     assert found.where("doc_id = 6").count() == 4 and found.where("doc_id = 9").count() == 2
+
+
+def test_unknown_words_are_counted_in_their_row(spark):
+    known = spark.createDataFrame([("alpha",), ("pump",)], "word string")
+    found = S.unknown_words(docs(spark), known)
+    assert exchanges(found) == 0  # each word of each document met in one before
+    assert {tuple(r) for r in found.collect()} == {(1, "valve", 2)}  # don't, the, beta and gamma come three times or more
+    texts = spark.createDataFrame([(1, "pumps Pump xpump xPump zz"), (2, "zz zz ZZ pumping"), (3, None)], "doc_id long, text string")
+    assert {tuple(r) for r in S.unknown_by_rule(texts, known).collect()} == {(1, "xpump", 2), (1, "zz", 1)}
