@@ -7,6 +7,8 @@ from inkwell.operators import metrics as M
 from inkwell.operators import reports as R
 from inkwell.operators import similar as S
 from inkwell.operators import terms as C
+from inkwell.plans import graphs as P
+from inkwell.registry import table
 
 TEXTS = [(1, "Pump pump PUMP valve Valve\n\npUMP don't Don't DON'T"), (2, None), (3, ""), (4, "alpha alpha beta the the\n" * 9 + "gamma gamma\n" * 3 + "\n"), (5, "Pump")]
 
@@ -82,3 +84,14 @@ def test_unknown_words_are_counted_in_their_row(spark):
     assert {tuple(r) for r in found.collect()} == {(1, "valve", 2)}  # don't, the, beta and gamma come three times or more
     texts = spark.createDataFrame([(1, "pumps Pump xpump xPump zz"), (2, "zz zz ZZ pumping"), (3, None)], "doc_id long, text string")
     assert {tuple(r) for r in S.unknown_by_rule(texts, known).collect()} == {(1, "xpump", 2), (1, "zz", 1)}
+
+
+def test_a_task_counts_so_many_mentions_whatever_the_table(spark, sf, monkeypatch):
+    monkeypatch.setattr(P, "MENTIONS_A_TASK", 100, raising=False)
+    lines = table(spark, sf, "lineitem").count()
+    found = P.merge_roles(spark, sf)
+    per = P.mentions(spark, sf).groupBy(F.spark_partition_id().alias("part")).agg(F.count("*").alias("n")).collect()
+    assert len(per) > lines / 200 and max(r.n for r in per) < 300 < lines
+    merged = table(spark, sf, "lineitem").select("l_orderkey", (F.col("l_suppkey") - F.when(F.col("l_suppkey") % 5 == 1, 1).otherwise(0)).alias("role_id"))
+    want = merged.groupBy("role_id").agg(F.countDistinct("l_orderkey").alias("documents"), F.count("*").alias("mentions"))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
